@@ -1,0 +1,17 @@
+"""All registered queries."""
+
+from __future__ import annotations
+
+
+def _catalogs():
+    from airlake.catalog import rows
+
+    return [rows.catalog]
+
+
+def all_queries():
+    return {name: q for c in _catalogs() for name, q in c.queries.items()}
+
+
+def all_sql():
+    return {name: q for c in _catalogs() for name, q in c.sql.items()}

@@ -183,41 +183,62 @@ def box_stats(df: DataFrame, column: str = S.TARGET, keys: Sequence[str] = S.KEY
 def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of all pairs over the rows that have both values: (x, y, r).
 
-    Each task adds up its part of the moment matrices batch by batch and emits them once; the
-    sums are merged by column pair. Values are shifted by the column minimum, which keeps the
-    sums small and makes a constant column exactly zero (no correlation: null).
+    Each task adds up its part of the moment matrices batch by batch and emits one row per pair:
+    count, means, central moments and extremes. Spark merges these by pair, so only
+    (tasks x pairs) rows are shuffled. A column that is constant over a pair's rows gives null.
     """
     names = list(columns)
-    low = df.agg(*[F.coalesce(F.min(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in names])
-    base = df.select(*[F.col(c).cast("double").alias(c) for c in names])
-    shifted = base.crossJoin(F.broadcast(low.select(F.array(*names).alias("_low")))).select(  # one row
-        *[(F.col(c) - F.col("_low")[i]).alias(c) for i, c in enumerate(names)]
-    )
+    parts = ["n", "mx", "my", "cxx", "cyy", "cxy", "lox", "hix", "loy", "hiy"]
 
     def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = len(names)
-        total = np.zeros((6, p, p))
+        shift = None
+        n = sx = sxx = sxy = np.zeros((p, p))
+        low, high = np.full((p, p), np.inf), np.full((p, p), -np.inf)
         for batch in batches:
             x = batch.to_numpy(dtype=float)
-            there = (~np.isnan(x)).astype(float)
-            x = np.where(there > 0, x, 0.0)
-            total += np.stack(
-                [there.T @ there, x.T @ there, there.T @ x, (x * x).T @ there, there.T @ (x * x), x.T @ x]
-            )
+            there = ~np.isnan(x)
+            if shift is None:
+                shift = np.where(there.any(axis=0), np.where(there, x, np.inf).min(axis=0, initial=np.inf), 0.0)
+            for j in range(p):
+                with_j = there & there[:, [j]]
+                low[:, j] = np.minimum(low[:, j], np.where(with_j, x, np.inf).min(axis=0, initial=np.inf))
+                high[:, j] = np.maximum(high[:, j], np.where(with_j, x, -np.inf).max(axis=0, initial=-np.inf))
+            d = np.where(there, x - shift, 0.0)
+            t = there.astype(float)
+            n, sx, sxx, sxy = n + t.T @ t, sx + d.T @ t, sxx + (d * d).T @ t, sxy + d.T @ d
+        if shift is None:
+            return
+        count = np.maximum(n, 1.0)
+        values = {
+            "n": n,
+            "mx": sx / count + shift[:, None],
+            "my": sx.T / count + shift[None, :],
+            "cxx": sxx - sx * sx / count,
+            "cyy": (sxx - sx * sx / count).T,
+            "cxy": sxy - sx * sx.T / count,
+            "lox": low,
+            "hix": high,
+            "loy": low.T,
+            "hiy": high.T,
+        }
         i, j = (a.ravel() for a in np.indices((p, p)))
-        yield pd.DataFrame(
-            {"x": [names[k] for k in i], "y": [names[k] for k in j]}
-            | {n: total[k].ravel() for k, n in enumerate(["n", "sx", "sy", "sxx", "syy", "sxy"])}
-        )
+        pairs = {"x": [names[k] for k in i], "y": [names[k] for k in j]}
+        out = pd.DataFrame(pairs | {k: values[k].ravel() for k in parts})
+        yield out[out["n"] > 0]
 
-    kinds = "x string, y string, n double, sx double, sy double, sxx double, syy double, sxy double"
-    sums = shifted.mapInPandas(moments, kinds).groupBy("x", "y").agg(
-        *[F.sum(c).alias(c) for c in ["n", "sx", "sy", "sxx", "syy", "sxy"]]
-    )
-    cross = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
-    var_x = F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")
-    var_y = F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")
-    return sums.select("x", "y", F.try_divide(cross, F.sqrt(var_x) * F.sqrt(var_y)).alias("r"))
+    base = df.select(*[F.col(c).cast("double").alias(c) for c in names])
+    per_task = base.mapInPandas(moments, "x string, y string, " + ", ".join(f"{c} double" for c in parts))
+    n, mx, my = F.sum("n"), F.sum(F.col("n") * F.col("mx")), F.sum(F.col("n") * F.col("my"))
+
+    def moment(within: str, a: str, b: str, total_a: Column, total_b: Column) -> Column:
+        between = F.sum(F.col("n") * F.col(a) * F.col(b)) - total_a * total_b / n
+        return F.sum(within) + between
+
+    varies = (F.max("hix") > F.min("lox")) & (F.max("hiy") > F.min("loy"))
+    spread = F.sqrt(moment("cxx", "mx", "mx", mx, mx)) * F.sqrt(moment("cyy", "my", "my", my, my))
+    r = F.when(varies, F.try_divide(moment("cxy", "mx", "my", mx, my), spread))
+    return per_task.groupBy("x", "y").agg(r.alias("r"))
 
 
 # --- long forms for charts ------------------------------------------------
@@ -276,11 +297,18 @@ def store_status(df: DataFrame) -> DataFrame:
 
 def health(store: DataFrame, registry: DataFrame) -> DataFrame:
     """One row: status, warnings and the counts behind them."""
-    models = registry.agg(F.count(F.lit(1)).alias("model_count"))
-    both = store_status(store).crossJoin(F.broadcast(models))  # one row each
+    rows = store_status(store).select("row_count", "latest_timestamp", F.lit(0).cast("bigint").alias("model_count"))
+    models = registry.select(
+        F.lit(0).cast("bigint"), F.lit(None).cast("timestamp_ntz"), F.lit(1).cast("bigint")
+    )
+    both = rows.union(models).agg(
+        F.max("row_count").alias("row_count"),
+        F.max("latest_timestamp").alias("latest_timestamp"),
+        F.sum("model_count").alias("model_count"),
+    )
     notes = F.array_compact(
         F.array(
-            F.when(~F.col("available"), F.lit("Feature store has no recent data yet.")),
+            F.when(F.col("row_count") == 0, F.lit("Feature store has no recent data yet.")),
             F.when(F.col("model_count") == 0, F.lit("No trained models are registered yet.")),
         )
     )
