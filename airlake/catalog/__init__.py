@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _catalogs():
-    from airlake.catalog import rows
+    from airlake.catalog import forecasts, rows, summaries
 
-    return [rows.catalog]
+    return [rows.catalog, summaries.catalog, forecasts.catalog]
 
 
 def all_queries():

@@ -32,3 +32,8 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 def at(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
+
+
+def shown_sql(x: str, digits: int = 2) -> str:
+    """SQL of ``round_half_up``: decimal rounding of a value without its last bits."""
+    return f"cast(round(cast({x} as decimal(28, 9)), {digits}) as double)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from airlake import schema as S
-from airlake.catalog.base import Catalog, at, rounded
+from airlake.catalog.base import Catalog, at, rounded, shown_sql
 from airlake.functions import scalars as X
 from airlake.operators import aggregates as A
 from airlake.operators import align, evaluation, features, quality, series
@@ -245,7 +245,7 @@ def numeric_only(spark, folder):
 
 @add(
     "hazard_alerts",
-    f"""with air as ({V.air_quality_sql()}) select station, ts, round(us_aqi, 2) as aqi, {_advisory_sql(_band_sql('us_aqi', 2))} as message
+    f"""with air as ({V.air_quality_sql()}) select station, ts, {shown_sql('us_aqi')} as aqi, {_advisory_sql(_band_sql('us_aqi', 2))} as message
 from air where us_aqi > 200""",
 )
 def hazard_alerts(spark, folder):

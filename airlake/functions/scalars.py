@@ -163,6 +163,12 @@ def default_fill(columns: Sequence[str], value: float = 0.0) -> dict[str, Column
     return {c: F.coalesce(F.col(c), F.lit(value)) for c in columns}
 
 
+def round_half_up(value: Column | str, digits: int = 2) -> Column:
+    """Round for display. The last bits of a mean depend on the order of its rows and would decide
+    ties, so they are cut first."""
+    return F.round(F.round(col(value), 9), digits)
+
+
 def display_time(ts: Column | str = S.TS) -> Column:
     return F.date_format(col(ts), "yyyy-MM-dd HH:mm:ss")
 

@@ -24,9 +24,9 @@ def daily_summary(forecast: DataFrame, aqi: str = "aqi", keys: Sequence[str] = S
         *keys,
         "date",
         X.day_name("date").alias("day_name"),
-        F.round("_avg", 2).alias("avg_aqi"),
-        F.round("_max", 2).alias("max_aqi"),
-        F.round("_min", 2).alias("min_aqi"),
+        X.round_half_up("_avg").alias("avg_aqi"),
+        X.round_half_up("_max").alias("max_aqi"),
+        X.round_half_up("_min").alias("min_aqi"),
         *[c.alias(n) for n, c in X.band_columns("_avg", compat).items()],
         X.advisory(X.band_label("_avg", compat)).alias("advisory"),
     )
@@ -269,7 +269,7 @@ def guideline_board(df: DataFrame, keys: Sequence[str] = S.KEYS) -> DataFrame:
 
 def hazard_alerts(df: DataFrame, aqi: str = S.TARGET, threshold: float = S.ALERT_THRESHOLD, keys: Sequence[str] = S.KEYS, compat: bool = False) -> DataFrame:
     return df.where(F.col(aqi) > threshold).select(
-        *keys, S.TS, F.round(aqi, 2).alias("aqi"), X.advisory(X.band_label(aqi, compat)).alias("message")
+        *keys, S.TS, X.round_half_up(aqi).alias("aqi"), X.advisory(X.band_label(aqi, compat)).alias("message")
     )
 
 

@@ -73,7 +73,7 @@ def present(forecast: DataFrame, last: DataFrame, keys: Sequence[str] = S.KEYS,
         "step",
         S.TS,
         F.col("p").alias("aqi_raw"),
-        F.round("p", 2).alias("aqi"),
+        X.round_half_up("p").alias("aqi"),
         *[c.alias(n) for n, c in X.band_columns("p", compat).items()],
         *[c.alias(n) for n, c in X.forecast_band("p").items()],
         "model_used",

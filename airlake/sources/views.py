@@ -148,3 +148,104 @@ wide as (
   from full_rows),
 features as (select {keys}, ts, us_aqi, {", ".join(S.FEATURES)} from wide
   where {" and ".join(c + " is not null" for c in [S.TARGET] + S.FEATURES)})"""
+
+
+# --- registry, results and candidate forecasts ----------------------------
+
+
+def registry(spark: SparkSession, folder: str) -> DataFrame:
+    """A registry with a version per order year; priority classes are the models, one of the chain is absent."""
+    o = table(spark, folder, "orders")
+    name = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", "xgboost")
+        .when(F.col("o_orderpriority") == "2-HIGH", "random_forest")
+        .otherwise(F.lower("o_orderpriority"))
+    )
+    version = (F.year("o_orderdate") - 1994).cast("int")
+    entries = o.groupBy(name.alias("model_name"), version.alias("version")).agg(
+        F.max("o_orderdate").cast("timestamp_ntz").alias("created"),
+        (F.max("o_totalprice") / 1000).alias("rmse"),
+        (F.min("o_totalprice") / 1000).alias("mae"),
+    )
+    # Newest forest: no metrics yet.
+    known = ~((F.col("model_name") == "random_forest") & (F.col("version") >= 7))
+    metrics = F.when(known, F.create_map(F.lit("rmse"), F.col("rmse"), F.lit("mae"), F.col("mae")))
+    return entries.select("model_name", "version", metrics.alias("metrics"), "created")
+
+
+REGISTRY_SQL = """
+select model_name, version, created, case when not (model_name = 'random_forest' and version >= 7) then rmse end as rmse,
+  case when not (model_name = 'random_forest' and version >= 7) then mae end as mae
+from (select case o_orderpriority when '1-URGENT' then 'xgboost' when '2-HIGH' then 'random_forest' else lower(o_orderpriority) end as model_name,
+    cast(year(o_orderdate) - 1994 as int) as version, max(o_orderdate) as created, max(o_totalprice) / 1000 as rmse, min(o_totalprice) / 1000 as mae
+  from orders group by 1, 2) e"""
+
+
+def results(spark: SparkSession, folder: str) -> DataFrame:
+    """Last training results: extremes of the readings of some stations stand for the scores."""
+    e = table(spark, folder, "events")
+    name = (
+        F.when(F.col("event_type") == "view", "ridge")
+        .when(F.col("event_type") == "click", "random_forest")
+        .when(F.col("event_type") == "error", "xgboost")
+        .otherwise(F.col("event_type"))
+    )
+    return e.groupBy(name.alias("model")).agg(
+        F.max("value").alias("rmse"),
+        F.min("value").alias("mae"),
+        (F.min("value") / F.max("value")).alias("r2"),
+        (F.max("value") - F.min("value")).alias("mape"),
+    )
+
+
+RESULTS_SQL = """
+select case event_type when 'view' then 'ridge' when 'click' then 'random_forest' when 'error' then 'xgboost' else event_type end as model,
+  max(value) as rmse, min(value) as mae, min(value) / max(value) as r2, max(value) - min(value) as mape
+from events group by 1"""
+
+
+def candidates(history: DataFrame, steps: int = S.FORECAST_HOURS) -> DataFrame:
+    """Three simple forecasts per station: same hour of the day before, last value, mean of a day.
+
+    Some stations get unusable values, to exercise the choice among models.
+    """
+    h = F.col("history")
+    day = F.slice(h, F.greatest(F.size(h) - 23, F.lit(1)), F.lit(24))
+    mean = F.aggregate(day, F.lit(0.0), lambda a, x: a + x) / F.size(day)
+    step = F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")
+    base = history.select("station", "history", day.alias("day"), mean.alias("c"), step)
+    values = base.select(
+        "station",
+        "step",
+        F.element_at("day", (F.col("step") - 1) % F.size("day") + 1).alias("xgboost"),
+        F.element_at("history", F.lit(-1)).alias("random_forest"),
+        F.col("c").alias("ridge"),
+    )
+    long = values.unpivot(["station", "step"], ["xgboost", "random_forest", "ridge"], "model", "p")
+    s, m = F.col("station"), F.col("model")
+    p = (
+        F.when((s == "error") & (m == "xgboost") & (F.col("step") == 40), 700.0)
+        .when((s == "click") & (m == "xgboost"), float("nan"))
+        .when((s == "click") & (m == "random_forest"), -1.0)
+        .when((s == "view") & (F.col("step") == 72), 601.0)
+        .otherwise(F.col("p"))
+    )
+    return long.withColumn("p", p)
+
+
+HISTORY_SQL = f"""
+air as ({air_quality_sql()}),
+ranked as (select station, ts, us_aqi, row_number() over (partition by station order by ts desc) as rn from air),
+hist as (select station, max(ts) as base_ts, arg_max(us_aqi, ts) as last_aqi, list(us_aqi order by ts) as h from ranked where rn <= 48 group by 1)"""
+
+CANDIDATES_SQL = f"""{HISTORY_SQL},
+steps as (select station, h, base_ts, unnest(range(1, 73)) as step from hist),
+raw as (
+  select station, step, 'xgboost' as model, h[-24:][(step - 1) % len(h[-24:]) + 1] as p from steps
+  union all select station, step, 'random_forest', h[-1] from steps
+  union all select station, step, 'ridge', list_sum(h[-24:]) / len(h[-24:]) from steps),
+candidates as (select station, cast(step as int) as step, model,
+  case when station = 'error' and model = 'xgboost' and step = 40 then 700.0::double
+    when station = 'click' and model = 'xgboost' then 'nan'::double
+    when station = 'click' and model = 'random_forest' then -1.0::double
+    when station = 'view' and step = 72 then 601.0::double else p end as p from raw)"""
