@@ -55,6 +55,7 @@ def engineer(
     leak_free: bool = False,
     drop_incomplete: bool = True,
     span_hours: int = series.SPAN_HOURS,
+    dry_default: float = S.DRY_DAYS_DEFAULT,
 ) -> DataFrame:
     """Fill, add all features, drop rows that still miss a value.
 
@@ -71,6 +72,7 @@ def engineer(
         rain="precipitation",
         span_hours=span_hours,
         back=reach,
+        dry_default=dry_default,
     )
     out = series.bounded(full, history_columns, back=reach, keys=keys)
     out = out.withColumns(row_columns()).select(*keys, S.TS, S.TARGET, *S.FEATURES)

@@ -35,9 +35,17 @@ def sliced(
     ts: str = S.TS,
     span_hours: int = SPAN_HOURS,
 ) -> DataFrame:
-    """Add the slice number and distribute by (keys, slice)."""
+    """Add the slice number and distribute by (keys, slice).
+
+    A row without a station or a time has no place in a series (``quality`` reports such rows).
+    Saying so before the exchange also keeps its two readers alike, the rows and the slice table:
+    otherwise the join would push that filter into one of them and the exchange ran twice.
+    """
     number = F.floor(seconds(ts) / F.lit(span_hours * 3600))
-    return df.withColumn(SLICE, number).repartition(*keys, SLICE)
+    cut = df.withColumn(SLICE, number)
+    for c in (*keys, SLICE):
+        cut = cut.where(F.col(c).isNotNull())
+    return cut.repartition(*keys, SLICE)
 
 
 def slice_window(keys: Sequence[str] = S.KEYS, ts: str = S.TS) -> WindowSpec:
@@ -45,10 +53,15 @@ def slice_window(keys: Sequence[str] = S.KEYS, ts: str = S.TS) -> WindowSpec:
 
 
 def slice_table(df: DataFrame, keys: Sequence[str] = S.KEYS, **aggregates: Column) -> DataFrame:
-    """One row per slice: its row count, the rows before it, the rows of the series, and more."""
-    per_slice = df.groupBy(*keys, SLICE).agg(
-        F.count(F.lit(1)).alias(_ROWS), *[c.alias(name) for name, c in aggregates.items()]
-    )
+    """One row per slice: its row count, the rows before it, the rows of the series, and more.
+
+    No column has more values than there are rows. Counting them all the same makes this reader of
+    the exchange need the columns the other one needs, so Spark runs the exchange, and all that
+    lies before it, once and reuses it.
+    """
+    others = [c for c in df.columns if c not in (*keys, SLICE)]
+    rows = F.greatest(F.count(F.lit(1)), *[F.count(c) for c in others]) if others else F.count(F.lit(1))
+    per_slice = df.groupBy(*keys, SLICE).agg(rows.alias(_ROWS), *[c.alias(name) for name, c in aggregates.items()])
     series = Window.partitionBy(*keys).orderBy(SLICE)
     earlier = series.rowsBetween(Window.unboundedPreceding, -1)
     return per_slice.withColumns(
@@ -115,6 +128,7 @@ def filled(
     dry_days: str = "days_since_rain",
     span_hours: int = SPAN_HOURS,
     back: int = 0,
+    dry_default: float | None = S.DRY_DAYS_DEFAULT,
 ) -> DataFrame:
     """Fill forward, then backward, per series; optionally add the days since the last rain row.
 
@@ -162,7 +176,7 @@ def filled(
     if rain:
         wet_at = F.max(F.when(F.col(rain) > S.RAIN_MM, F.col(ts))).over(so_far)
         since = (seconds(ts) - seconds(F.coalesce(wet_at, F.col("_rain_before")))) / F.lit(86400)
-        out = out.withColumn(dry_days, F.coalesce(since, F.lit(S.DRY_DAYS_DEFAULT)))
+        out = out.withColumn(dry_days, F.coalesce(since, F.lit(dry_default)))
     out = out.drop(*[f"_l_{c}" for c in columns], *[f"_c_{c}" for c in columns], "_rain_before")
     return out if back else out.drop(SLICE, _ROW, _BEFORE)
 

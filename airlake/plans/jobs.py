@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airlake import schema as S
 from airlake.functions import scalars as X
 from airlake.operators import aggregates as A
-from airlake.operators import align, evaluation, features, forecast, quality
+from airlake.operators import align, evaluation, features, forecast, models, quality, series
+from airlake.operators import tune as T
+from airlake.session import materialize
+from airlake.sources import registry, sinks
 
 # --- ingest ---------------------------------------------------------------
 
@@ -32,34 +37,49 @@ def refresh(
 ) -> DataFrame:
     """Features of the newly read hours, with stored hours before them as context.
 
-    Context is the ``lookback`` hours before each station's first new hour, plus the last rain
-    before that, so a refresh gives what a full recomputation would.
+    Context is the ``lookback`` rows before each station's first new hour, the last value of each
+    measure and the last rain before those, so a refresh gives what a full recomputation would.
     """
     current = align.merge_current(weather, air)
     if obs is not None:
         current = align.override_nearest(current, obs)
     current = align.observed_only(current, as_of)
-    quality.require_columns(current, S.RAW)
-    current = current.select(*S.KEYS, S.TS, *S.RAW)
-    start = current.groupBy(*S.KEYS).agg(F.min(S.TS).alias("_start"))
-    before = stored.join(start, list(S.KEYS)).where(F.col(S.TS) < F.col("_start"))
-    context = before.where(F.col(S.TS) >= F.col("_start") - F.make_interval(hours=F.lit(lookback)))
-    context = context.select(*S.KEYS, S.TS, *S.RAW)
-    rain = before.groupBy(*S.KEYS).agg(F.max(F.when(F.col("precipitation") > S.RAIN_MM, F.col(S.TS))).alias("_rain"))
-    out = features.engineer(align.union_history_current(context, current))
-    out = align.since(out, current)
-    return _with_carried_rain(out, rain)
-
-
-def _with_carried_rain(out: DataFrame, rain: DataFrame) -> DataFrame:
-    """Rows that saw no rain in their window count from the station's last stored rain."""
+    current = quality.require_columns(current, S.RAW).select(*S.KEYS, S.TS, *S.RAW)
+    # One written copy of the batch: it is small next to the store and read several times.
+    current = materialize(current, "refresh")
+    return with_context(align.union_history_current(stored.select(*S.KEYS, S.TS, *S.RAW), current), current, lookback)
+
+
+def with_context(raw: DataFrame, changed: DataFrame, lookback: int = S.LOOKBACK_HOURS) -> DataFrame:
+    """Features of every hour from each station's first changed hour on, as a full run gives them.
+
+    Context goes by row: the ``lookback`` rows before that hour, however many hours apart. What
+    earlier rows still contribute is the last value of each measure, added as one row more, and
+    the last rain.
+    """
+    keys = list(S.KEYS)
+    start = changed.groupBy(*keys).agg(F.min(S.TS).alias("_start"))
+    marked = raw.select(*keys, S.TS, *S.RAW).join(start, keys)
+    earlier = marked.where(F.col(S.TS) < F.col("_start")).drop("_start")
+    later = marked.where(F.col(S.TS) >= F.col("_start")).drop("_start")
+    context = align.tail(earlier, lookback)
+    edge = context.groupBy(*keys).agg(F.min(S.TS).alias("_edge"))
+    before = earlier.join(edge, keys).where(F.col(S.TS) < F.col("_edge"))
+    carried = before.groupBy(*keys).agg(
+        F.max(S.TS).alias(S.TS),
+        *[F.expr(f"max_by(`{c}`, `{S.TS}`) filter (where `{c}` is not null)").alias(c) for c in S.RAW],
+    )
+    window = materialize(carried.unionByName(context).unionByName(later), "context")
+    unseen = float("inf")
+    out = features.engineer(window, dry_default=unseen).join(start, keys)
+    out = out.where(F.col(S.TS) >= F.col("_start")).drop("_start")
+    # A row whose window saw no rain counts from the last rain before the window.
+    wet = F.when(F.col("precipitation") > S.RAIN_MM, F.col(S.TS))
+    rain = series.filled(before.select(*keys, S.TS, "precipitation"), ["precipitation"])
+    out = out.join(rain.groupBy(*keys).agg(F.max(wet).alias("_rain")), keys, "left")
     dry = (X.seconds(S.TS) - X.seconds("_rain")) / F.lit(86400)
-    joined = out.join(rain, list(S.KEYS), "left")
-    # Rain inside the window is always later than the carried one, so the smaller count is right,
-    # except where the window saw none and only has its default.
-    seen = F.col("days_since_rain") < dry
-    value = F.when(F.col("_rain").isNull() | seen, F.col("days_since_rain")).otherwise(dry)
-    return joined.withColumn("days_since_rain", value).drop("_rain")
+    value = F.when(F.col("days_since_rain") < unseen, F.col("days_since_rain"))
+    return out.withColumn("days_since_rain", F.coalesce(value, dry, F.lit(S.DRY_DAYS_DEFAULT))).drop("_rain")
 
 
 # --- questions about the present and past ---------------------------------
@@ -109,9 +129,72 @@ def chart_tables(df: DataFrame) -> dict[str, DataFrame]:
 # --- models ---------------------------------------------------------------
 
 
-def model_board(registry: DataFrame, results: DataFrame, chain: Sequence[str] = S.MODEL_CHAIN) -> DataFrame:
+def training_rows(features_table: DataFrame, min_rows: int = evaluation.MIN_ROWS) -> DataFrame:
+    """Labelled rows with their chronological part; written once, read by every model."""
+    labelled = materialize(evaluation.labelled(features_table), "labelled")
+    return materialize(evaluation.chrono_split(labelled, min_rows=min_rows), "split")
+
+
+def train(
+    features_table: DataFrame,
+    root: str,
+    metrics_path: str,
+    created: Column,
+    tune: bool = False,
+    params: Mapping[str, Mapping] | None = None,
+    search_options: Mapping | None = None,
+) -> DataFrame:
+    """Train, score, log and register the three models; returns the scores, best first."""
+    spark = features_table.sparkSession
+    rows = training_rows(features_table)
+    if rows.isEmpty():
+        raise ValueError(f"at least {evaluation.MIN_ROWS} labelled rows per station are required")
+    chosen = {name: dict(p) for name, p in (params or {}).items()}
+    if tune:
+        fit_part, val_part = rows.where("part = 'train'"), rows.where("part = 'val'")
+        for name, search in {"xgboost": T.tune_boosted, "random_forest": T.tune_forest, "ridge": T.tune_ridge}.items():
+            found, _ = search(fit_part, val_part, **(search_options or {}))
+            chosen[name] = {**found, **chosen.get(name, {})}
+    fitted, scores = models.train_all(rows, chosen)
+    scores = materialize(scores, "scores")
+    sinks.write_metrics(scores, metrics_path, created)
+    # One row per model: a handful, whatever the size of the data.
+    metrics = {r["model"]: {k: r[k] for k in ("rmse", "mae", "r2", "mape")} for r in scores.collect()}
+    for name, model in fitted.items():
+        registry.register(model, root, name, metrics[name], S.FEATURES, created, spark)
+    return evaluation.rank_models(scores)
+
+
+def forecast_all(
+    features_table: DataFrame,
+    fitted: Mapping[str, PipelineModel],
+    weather: DataFrame | None = None,
+    model: str | None = None,
+    compat: bool = False,
+    steps: int = S.FORECAST_HOURS,
+) -> dict[str, DataFrame]:
+    """Seventy-two hours for every station: each model of the chain only for stations still open."""
+    chain = evaluation.select_model(S.MODEL_CHAIN, model)
+    keys = list(S.KEYS)
+    last = materialize(align.tail(features_table, 1), "last")
+    history = materialize(align.history_array(features_table), "history")
+    open_history, parts = history, []
+    for name in chain:
+        if name not in fitted:
+            continue
+        p = forecast.recursive_forecast(fitted[name].transform, open_history, last, weather, steps, compat=compat)
+        p = materialize(p.withColumn("model", F.lit(name)), "candidates")
+        parts.append(p)
+        solved = forecast.valid_models(p).where("valid").select(*keys)
+        open_history = open_history.join(solved, keys, "left_anti")
+    empty = last.select(*keys, F.lit(0).alias("step"), F.lit(0.0).alias("p"), F.lit("").alias("model")).where("false")
+    candidates = reduce(DataFrame.unionByName, parts, empty)
+    return answer(candidates, last, model, compat)
+
+
+def model_board(entries: DataFrame, results: DataFrame, chain: Sequence[str] = S.MODEL_CHAIN) -> DataFrame:
     """Models by RMSE with their scores as text. One row per model name, so one window is small."""
-    models = evaluation.complete_models(registry, results, chain)
+    models = evaluation.complete_models(entries, results, chain)
     order = Window.orderBy(F.coalesce("rmse", F.lit(float("inf"))), "model_name")
     return models.select(
         F.row_number().over(order).alias("place"),

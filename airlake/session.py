@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(app: str = "airlake", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,3 +50,14 @@ def work_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="airlake-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    Cuts the lineage and the plan between heavy steps. Unlike cached data the table outlives lost
+    executors, and later readers scan only the columns they need.
+    """
+    path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

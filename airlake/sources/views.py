@@ -28,31 +28,50 @@ def _station(by: str) -> Column:
 
 def air_quality(spark: SparkSession, folder: str, by: str = "event_type") -> DataFrame:
     e = table(spark, folder, "events").select(_station(by), floor_hour("ts").alias("ts"), "value", _k().alias("k"))
-    return e.groupBy("station", "ts").agg(
-        F.max("value").alias("us_aqi"),
-        F.min("value").alias("pm2_5"),
-        (F.max("value") - F.min("value")).alias("pm10"),
-        F.max("k").cast("double").alias("nitrogen_dioxide"),
-        F.min("k").cast("double").alias("sulphur_dioxide"),
-        (F.max("k") - F.min("k")).cast("double").alias("ozone"),
-        (F.count(F.lit(1)) * 100).cast("double").alias("carbon_monoxide"),
-    )
+    return e.groupBy("station", "ts").agg(*[c.alias(n) for n, c in air_measures().items()])
 
 
 def weather(spark: SparkSession, folder: str, by: str = "event_type") -> DataFrame:
     nearest_hour = floor_hour(F.expr("ts + interval 30 minutes")).alias("ts")
     e = table(spark, folder, "events").select(_station(by), nearest_hour, "event_id", "user_id", _k().alias("k"))
+    return e.groupBy("station", "ts").agg(*[c.alias(n) for n, c in weather_measures().items()])
+
+
+def air_measures() -> dict[str, Column]:
+    return {
+        "us_aqi": F.max("value"),
+        "pm2_5": F.min("value"),
+        "pm10": F.max("value") - F.min("value"),
+        "nitrogen_dioxide": F.max("k").cast("double"),
+        "sulphur_dioxide": F.min("k").cast("double"),
+        "ozone": (F.max("k") - F.min("k")).cast("double"),
+        "carbon_monoxide": (F.count(F.lit(1)) * 100).cast("double"),
+    }
+
+
+def weather_measures() -> dict[str, Column]:
     wet = F.max("event_id") % 20 == 0
-    return e.groupBy("station", "ts").agg(
-        F.max(F.col("user_id") % 40).cast("double").alias("temperature_2m"),
-        F.max("k").cast("double").alias("relative_humidity_2m"),
-        (F.min(F.col("user_id") % 20) + 1000).cast("double").alias("surface_pressure"),
-        F.when(wet, F.max("k").cast("double") / 10).otherwise(F.lit(0.0)).alias("precipitation"),
-        F.min("k").cast("double").alias("cloud_cover"),
-        F.max(F.col("k") % 15).cast("double").alias("wind_speed_10m"),
-        (F.max("event_id") * 37 % 360).cast("double").alias("wind_direction_10m"),
-        (F.max(F.col("k") % 15) + F.min(F.col("k") % 10)).cast("double").alias("wind_gusts_10m"),
-    )
+    return {
+        "temperature_2m": F.max(F.col("user_id") % 40).cast("double"),
+        "relative_humidity_2m": F.max("k").cast("double"),
+        "surface_pressure": (F.min(F.col("user_id") % 20) + 1000).cast("double"),
+        "precipitation": F.when(wet, F.max("k").cast("double") / 10).otherwise(F.lit(0.0)),
+        "cloud_cover": F.min("k").cast("double"),
+        "wind_speed_10m": F.max(F.col("k") % 15).cast("double"),
+        "wind_direction_10m": (F.max("event_id") * 37 % 360).cast("double"),
+        "wind_gusts_10m": (F.max(F.col("k") % 15) + F.min(F.col("k") % 10)).cast("double"),
+    }
+
+
+def readings(events: DataFrame) -> DataFrame:
+    """Single readings with the fields that the hourly measures are made of."""
+    return events.select(_station("event_type"), "ts", "event_id", "user_id", "value", _k().alias("k"))
+
+
+def stream_readings(spark: SparkSession, folder: str) -> DataFrame:
+    """The events table as a stream of files."""
+    kinds = table(spark, folder, "events").schema
+    return readings(spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{folder}/event[s].parquet"))
 
 
 def observations(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,9 +102,9 @@ from (select *, cast(json_extract_string(props, '$.k') as int) as k from events)
 group by 1, 2"""
 
 
-def weather_sql(by: str = "event_type") -> str:
+def weather_sql(by: str = "event_type", shift: int = 30) -> str:
     return f"""
-select cast({by} as varchar) as station, date_trunc('hour', ts + interval 30 minute) as ts,
+select cast({by} as varchar) as station, date_trunc('hour', ts + interval {shift} minute) as ts,
   cast(max(user_id % 40) as double) as temperature_2m, cast(max(k) as double) as relative_humidity_2m,
   cast(1000 + min(user_id % 20) as double) as surface_pressure,
   case when max(event_id) % 20 = 0 then cast(max(k) as double) / 10 else 0.0::double end as precipitation,
