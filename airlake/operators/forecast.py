@@ -88,29 +88,58 @@ def _back(history: Column, k: int) -> Column:
     return F.try_element_at(history, F.lit(-k))
 
 
-def history_features(history: Column, frozen: Mapping[str, Column], compat: bool = False) -> dict[str, Column]:
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once for all its uses in an array expression."""
+    return F.transform(F.array(value), use)[0]
+
+
+def day_statistics(history: Column, compat: bool = False) -> Column:
+    """Struct (mean, std) of the newest day of an array of values."""
+    day = F.slice(history, F.greatest(F.size(history) - S.ROLLING_ROWS + 1, F.lit(1)), F.lit(S.ROLLING_ROWS))
+
+    def spread(d: Column, mean: Column) -> Column:
+        squares = F.aggregate(d, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
+        return F.sqrt(F.try_divide(squares, F.size(d) if compat else F.size(d) - 1))
+
+    def both(d: Column) -> Column:
+        mean = F.aggregate(d, F.lit(0.0), lambda a, x: a + x) / F.size(d)
+        return _let(mean, lambda m: F.struct(m.alias("mean"), spread(d, m).alias("std")))
+
+    return _let(day, both)
+
+
+def history_features(
+    history: Column, frozen: Mapping[str, Column], compat: bool = False, day: Column | None = None
+) -> dict[str, Column]:
     """Lag and rolling features from an array of past values, the newest last.
 
     The row describes the hour of the newest value, as in training: its one-hour lag is the value
     before. ``compat`` takes the newest value itself as the one-hour lag and the population
-    deviation. Where the history is too short the ``frozen`` value stays.
+    deviation. Where the history is too short the ``frozen`` value stays. ``day`` is the struct of
+    ``day_statistics`` if the caller has it.
     """
     shift = 0 if compat else 1
-    day = F.slice(history, F.greatest(F.size(history) - S.ROLLING_ROWS + 1, F.lit(1)), F.lit(S.ROLLING_ROWS))
-    size = F.size(day)
-    mean = F.aggregate(day, F.lit(0.0), lambda a, x: a + x) / size
-    squares = F.aggregate(day, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    std = F.sqrt(F.try_divide(squares, size if compat else size - 1))
+    day = day if day is not None else day_statistics(history, compat)
     full = F.size(history) >= S.ROLLING_ROWS
     out = {
-        "aqi_rolling_mean_24h": F.when(full, mean),
-        "aqi_rolling_std_24h": F.when(full, std),
+        "aqi_rolling_mean_24h": F.when(full, day["mean"]),
+        "aqi_rolling_std_24h": F.when(full, day["std"]),
         "aqi_change_rate": (_back(history, 1) - _back(history, 4)) / F.lit(3.0),
         **{f"aqi_lag_{k}h": _back(history, k + shift) for k in S.LAGS},
     }
     return {c: F.coalesce(v, frozen[c]) if c in frozen else v for c, v in out.items()}
 
 
+def _spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per station is little data but much work: spread it over all cores.
+
+    The explicit number keeps adaptive execution from merging the partitions for their size.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *keys)
+
+
 def linear_forecast(
     history: DataFrame,
     steps: DataFrame,
@@ -128,15 +157,20 @@ def linear_forecast(
     an array of one entry per step; a fold appends each prediction to the history.
     """
     known = steps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("step", "known"))).alias("_known"))
-    start = history.join(known, list(keys))
+    start = _spread(history.join(known, list(keys)), keys)
+
+    frozen = {c: F.col(c) for c in coefficients if c in history.columns}
+    rolling = any("rolling" in c for c in coefficients)
 
     def extend(h: Column, s: Column) -> Column:
-        features = history_features(h, {c: F.col(c) for c in coefficients if c in history.columns}, compat)
-        terms = [features[c] * F.lit(float(b)) for c, b in coefficients.items()]
-        total = s["known"]
-        for t in terms:
-            total = total + t
-        return F.concat(h, F.array(total))
+        def step(day: Column | None) -> Column:
+            features = history_features(h, frozen, compat, day)
+            total = s["known"]
+            for c, b in coefficients.items():
+                total = total + features[c] * F.lit(float(b))
+            return F.array(total)
+
+        return F.concat(h, _let(day_statistics(h, compat), step) if rolling else step(None))
 
     full = F.aggregate("_known", F.col("history"), extend)
     predicted = F.slice(full, F.size("history") + 1, F.lit(n_steps))
@@ -152,7 +186,7 @@ def recursive_forecast(
     n_steps: int = S.FORECAST_HOURS,
     keys: Sequence[str] = S.KEYS,
     compat: bool = False,
-    checkpoint_every: int = 8,
+    checkpoint_every: int = 4,
     prediction: str = "prediction",
 ) -> DataFrame:
     """Recursive forecast of any Spark ML model: one ``transform`` per step over all stations.
@@ -168,33 +202,39 @@ def recursive_forecast(
         grid = grid.join(known, list(keys))
     else:
         grid = align.attach_future_weather(grid, weather, last, keys)
-    # The row that predicts step s describes the hour before it; with compat the hour itself.
-    fields = F.struct("step", S.TS, *S.WEATHER)
+    fields = F.struct("step", *S.WEATHER)
     ahead = grid.groupBy(*keys).agg(F.array_sort(F.collect_list(fields)).alias("_ahead"))
-    frozen = [c for c in S.FEATURES if c not in S.CALENDAR]
-    first = last.select(*keys, F.col(S.TS).alias("base_ts"), *[F.col(c).cast("double").alias(c) for c in frozen])
+    frozen = [c for c in S.FEATURES if c not in S.CALENDAR + S.WEATHER]
+    first = last.select(
+        *keys,
+        F.col(S.TS).alias("base_ts"),
+        F.struct(F.lit(0).alias("step"), *[F.col(c).cast("double").alias(c) for c in S.WEATHER]).alias("_now"),
+        *[F.col(c).cast("double").alias(c) for c in frozen],
+    )
     state = history.select(*keys, "history").join(first, list(keys)).join(ahead, list(keys))
-    state = state.withColumn("_p", F.array().cast("array<double>"))
+    # The row that predicts step s describes the hour before it; with compat the hour itself.
+    weather_rows = F.col("_ahead") if compat else F.concat(F.array("_now"), F.col("_ahead"))
+    state = _spread(state.withColumn("_ahead", weather_rows).drop("_now"), keys)
+    state = state.withColumns({"_p": F.array().cast("array<double>"), "_done": F.lit(0)})
     state_columns = state.columns
 
-    def at(step: int) -> dict[str, Column]:
-        hour = F.expr(f"base_ts + interval {step if compat else step - 1} hours")
-        described = step if compat else step - 1
-        wx = {c: F.col("_ahead")[described - 1][c] if described else F.col(c) for c in S.WEATHER}
-        row = {**{c: v.cast("double") for c, v in X.calendar(hour).items()}, **wx}
-        if not compat:
-            row |= {c: v.cast("double") for c, v in X.month_flags(hour).items()}
-            row["wind_from_east"] = X.wind_from_east(wx["wind_direction_10m"]).cast("double")
-            row["wind_x_pm25"] = wx["wind_speed_10m"] * F.col("pm2_5")
-        row["temp_x_humidity"] = wx["temperature_2m"] * wx["relative_humidity_2m"] / F.lit(1.0 if compat else 100.0)
-        return row | history_features(F.col("history"), {c: F.col(c) for c in S.DERIVED}, compat)
+    # The step is a column, so every step has the same expressions and Spark compiles them once.
+    hour = F.col("base_ts") + F.make_interval(hours=F.col("_done") + F.lit(1 if compat else 0))
+    wx = {c: F.col("_ahead")[F.col("_done")][c] for c in S.WEATHER}
+    row = {**{c: v.cast("double") for c, v in X.calendar(hour).items()}, **wx}
+    if not compat:
+        row |= {c: v.cast("double") for c, v in X.month_flags(hour).items()}
+        row["wind_from_east"] = X.wind_from_east(wx["wind_direction_10m"]).cast("double")
+        row["wind_x_pm25"] = wx["wind_speed_10m"] * F.col("pm2_5")
+    row["temp_x_humidity"] = wx["temperature_2m"] * wx["relative_humidity_2m"] / F.lit(1.0 if compat else 100.0)
+    row["_day"] = day_statistics(F.col("history"), compat)
+    lags = history_features(F.col("history"), {c: F.col(c) for c in S.DERIVED}, compat, F.col("_day"))
+    p = F.col(prediction).cast("double")
+    after = {"history": _appended(p), "_p": F.concat("_p", F.array(p)), "_done": F.col("_done") + 1}
 
     for step in range(1, n_steps + 1):
-        predicted = model_transform(state.withColumns(at(step)))
-        p = F.col(prediction).cast("double")
-        state = predicted.withColumns(
-            {"history": _appended(p), "_p": F.concat("_p", F.array(p))}
-        ).select(*state_columns)
+        predicted = model_transform(state.withColumns(row).withColumns(lags))
+        state = predicted.withColumns(after).select(*state_columns)
         if step % checkpoint_every == 0 and step < n_steps:
             state = state.checkpoint()
     return state.select(*keys, F.posexplode("_p").alias("_i", "p")).select(*keys, (F.col("_i") + 1).alias("step"), "p")
