@@ -229,16 +229,23 @@ def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     base = df.select(*[F.col(c).cast("double").alias(c) for c in names])
     per_task = base.mapInPandas(moments, "x string, y string, " + ", ".join(f"{c} double" for c in parts))
-    n, mx, my = F.sum("n"), F.sum(F.col("n") * F.col("mx")), F.sum(F.col("n") * F.col("my"))
+    # Means first, then distances of the tasks' means from them: no large numbers cancel.
+    pair = Window.partitionBy("x", "y")
+    n = F.sum("n").over(pair)
+    merged = per_task.withColumns(
+        {
+            "dx": F.col("mx") - F.sum(F.col("n") * F.col("mx")).over(pair) / n,
+            "dy": F.col("my") - F.sum(F.col("n") * F.col("my")).over(pair) / n,
+        }
+    )
 
-    def moment(within: str, a: str, b: str, total_a: Column, total_b: Column) -> Column:
-        between = F.sum(F.col("n") * F.col(a) * F.col(b)) - total_a * total_b / n
-        return F.sum(within) + between
+    def moment(within: str, a: str, b: str) -> Column:
+        return F.sum(F.col(within) + F.col("n") * F.col(a) * F.col(b))
 
     varies = (F.max("hix") > F.min("lox")) & (F.max("hiy") > F.min("loy"))
-    spread = F.sqrt(moment("cxx", "mx", "mx", mx, mx)) * F.sqrt(moment("cyy", "my", "my", my, my))
-    r = F.when(varies, F.try_divide(moment("cxy", "mx", "my", mx, my), spread))
-    return per_task.groupBy("x", "y").agg(r.alias("r"))
+    spread = F.sqrt(moment("cxx", "dx", "dx")) * F.sqrt(moment("cyy", "dy", "dy"))
+    r = F.when(varies, F.try_divide(moment("cxy", "dx", "dy"), spread))
+    return merged.groupBy("x", "y").agg(r.alias("r"))
 
 
 # --- long forms for charts ------------------------------------------------

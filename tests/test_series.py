@@ -105,7 +105,7 @@ def test_daily_moving_average_needs_all_days(spark):
 
 
 def test_quantiles_with_one_dominant_value(spark):
-    values = [5.0] * 500 + list(np.random.default_rng(0).uniform(0, 10, 499).round(3))
+    values = [5.0] * 500 + np.random.default_rng(0).uniform(0, 10, 499).round(3).tolist()
     df = spark.createDataFrame([("a", v) for v in values], "station string, x double")
     got = {r["p"]: r["value"] for r in A.quantiles(df, "x", [0, 0.1, 0.25, 0.5, 0.9, 1], ranges=16).collect()}
     for p, v in got.items():
