@@ -20,6 +20,9 @@ def build(app: str = "airlake", master: str | None = None, **conf: str) -> Spark
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        # Recording the Python line of every column makes wide plans several times slower to build.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
+        "spark.sql.dataFrameQueryContext.enabled": "false",
         **conf,
     }
     for key, value in settings.items():
