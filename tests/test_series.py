@@ -120,3 +120,12 @@ def test_correlation_is_pairwise_complete_and_null_for_constants(spark):
     got = {(x["x"], x["y"]): x["r"] for x in A.correlation(df, ["a", "b", "c"]).collect()}
     assert abs(got["a", "b"] - pdf["a"].corr(pdf["b"])) < 1e-9
     assert abs(got["a", "a"] - 1) < 1e-12 and got["a", "c"] is None and got["c", "c"] is None
+
+
+def test_pooled_split_cuts_all_stations_at_the_same_times(spark):
+    rows = [(s, dt.datetime(2025, 1, 1) + dt.timedelta(hours=i), 1.0) for s in "ab" for i in range(100 if s == "a" else 50)]
+    df = spark.createDataFrame(rows, "station string, ts timestamp_ntz, us_aqi double")
+    parts = {r.part: (r.lo, r.hi, r.n) for r in evaluation.time_split(df).groupBy("part").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.count("*").alias("n")).collect()}
+    assert sum(p[2] for p in parts.values()) == 150
+    assert parts["train"][1] < parts["val"][0] and parts["val"][1] < parts["test"][0]
+    assert abs(parts["train"][2] - 120) <= 2
