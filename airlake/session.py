@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -30,10 +31,20 @@ def build(app: str = "airlake", master: str | None = None, **conf: str) -> Spark
     return prepare(builder.getOrCreate())
 
 
+#: Most bytes of a batch that goes to a Python worker, so that very long texts do not pile up there.
+BATCH_BYTES = 64 << 20
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the session time zone: stored times are UTC, local time is an explicit conversion."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Pin the session time zone (stored times are UTC, local time is an explicit conversion), bound the batches that
+    Python workers get, and let the workers find this package from any working directory."""
+    for key, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))):
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     return spark
 
 
