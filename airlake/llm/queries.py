@@ -19,3 +19,12 @@ def op4_token_counts(spark, folder):
 
     counts = T.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > T.OVER)
+
+
+@add("op9_weak_supervision")
+def op9_weak_supervision(spark, folder):
+    from airlake.llm import weak_rules as W
+
+    judged = W.judge(table(spark, folder, "documents"))
+    counts = "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
+    return judged.select(*counts, "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
