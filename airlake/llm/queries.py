@@ -9,6 +9,8 @@ from airlake.llm.common import table
 
 catalog = Catalog()
 add = catalog.add
+#: Key of the registered queries; a user brings a secret one.
+KEY = "registered-queries"
 
 
 @add("op4_token_counts")
@@ -28,3 +30,11 @@ def op9_weak_supervision(spark, folder):
     judged = W.judge(table(spark, folder, "documents"))
     counts = "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
     return judged.select(*counts, "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
+
+
+@add("op5_feistel_pseudonyms")
+def op5_feistel_pseudonyms(spark, folder):
+    from airlake.llm import pii_feistel as P
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return P.pseudonymise(docs, KEY, count_col="n_values")
