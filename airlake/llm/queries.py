@@ -13,6 +13,24 @@ add = catalog.add
 KEY = "registered-queries"
 
 
+#: Lower case of A-Z alone, then words, in DuckDB.
+_WORDS = """list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"""
+OP6_SQL = f"""with d as (select doc_id, {_WORDS} as w from documents), b as (select item_id, {_WORDS} as w from benchmark),
+cut as (select item_id, least(len(w), 10) as n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1),
+  lambda i: list_slice(w, i, i + least(len(w), 10) - 1))) as terms from b where len(w) > 0),
+lengths as (select distinct n from cut),
+spots as (select doc_id, n, unnest(range(1, len(w) - n + 2)) as start, w from d, lengths where len(w) >= n),
+met as (select s.doc_id, s.start, c.n, c.item_id from spots s join cut c on c.n = s.n and c.terms = list_slice(s.w, s.start, s.start + s.n - 1)),
+places as (select distinct doc_id, unnest(range(start, start + n)) as place from met),
+hits as (select doc_id, count(*) as n_hit from places group by doc_id),
+found as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct doc_id, cast(item_id as varchar) as item from met) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hits using (doc_id) left join found using (doc_id)"""
+
+
 @add("op4_token_counts")
 def op4_token_counts(spark, folder):
     import public_tokenizers
@@ -38,3 +56,18 @@ def op5_feistel_pseudonyms(spark, folder):
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return P.pseudonymise(docs, KEY, count_col="n_values")
+
+
+@add("op6_positional_index", OP6_SQL)
+def op6_positional_index(spark, folder):
+    from airlake.llm import decontaminate as D
+
+    hits = D.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return hits.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
