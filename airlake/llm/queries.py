@@ -71,3 +71,33 @@ def op6_positional_index(spark, folder):
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+#: Wanted shares of tokens by language.
+TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
+
+
+@add("op10_soft_membership")
+def op10_soft_membership(spark, folder):
+    from airlake.llm import soft_mix as M
+
+    return M.mix(table(spark, folder, "documents"), table(spark, folder, "labels"), TARGETS).drop("membership")
+
+
+@add("op8_levenshtein_lexicon")
+def op8_levenshtein_lexicon(spark, folder):
+    from airlake.llm import toxicity as X
+    from airlake.llm.common import remainder
+
+    docs = table(spark, folder, "documents")
+    scored = X.score(docs, X.learn(docs, table(spark, folder, "labels")))
+    return scored.select(
+        "doc_id",
+        (remainder(F.col("doc_id"), 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= X.THRESHOLD).cast("int").alias("predicted"),
+        "exact",
+        "near",
+        "mentioned",
+        "aimed",
+    )
