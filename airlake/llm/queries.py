@@ -101,3 +101,14 @@ def op8_levenshtein_lexicon(spark, folder):
         "mentioned",
         "aimed",
     )
+
+
+@add("op3_factorisation_machine")
+def op3_factorisation_machine(spark, folder):
+    from airlake.llm import quality_fm as Q
+    from airlake.llm.common import remainder
+
+    docs = table(spark, folder, "documents")
+    scored = Q.score(docs, Q.learn(docs, table(spark, folder, "labels")))
+    held_out, predicted = remainder(F.col("doc_id"), 5) == 0, (F.col("score") >= Q.THRESHOLD).cast("int")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
