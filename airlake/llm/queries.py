@@ -112,3 +112,23 @@ def op3_factorisation_machine(spark, folder):
     scored = Q.score(docs, Q.learn(docs, table(spark, folder, "labels")))
     held_out, predicted = remainder(F.col("doc_id"), 5) == 0, (F.col("score") >= Q.THRESHOLD).cast("int")
     return scored.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+#: Links by counting shared shingles of all pairs, and the smallest id along them.
+OP7_SQL = r"""with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [w]
+  else list_transform(range(1, len(w) - 3), lambda i: list_slice(w, i, i + 4)) end) as s from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 75 * (x.n + y.n - i)),
+r as (select doc_id, doc_id as c from documents union select r.doc_id, l.b from r join links l on l.a = r.c),
+c as (select doc_id, min(c) as component_id from r group by doc_id)
+select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id = component_id as kept from c left join n using (doc_id)"""
+
+
+@add("op7_tensored_minhash", OP7_SQL)
+def op7_tensored_minhash(spark, folder):
+    from airlake.llm import minhash_tensor as H
+
+    return H.near_duplicates(table(spark, folder, "documents"))
