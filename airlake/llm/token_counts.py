@@ -4,10 +4,10 @@ A pre-token here is a stretch of text that starts at a space which follows a non
 byte-level tokenizer reaches over such a place, so a text has as many tokens as its pre-tokens have together, and a
 pre-token's count does not depend on where it stands.
 
-1. Frequent pre-tokens: each task reports those that make up a fixed share of its own; at most ``HOT`` of them are kept,
-   their pieces counted and broadcast (the size is bounded by ``HOT``, whatever the corpus).
-2. Each document is a table of pre-token frequencies. Frequent ones are added up on the spot; the rest is dealt out by
-   pre-token, where each distinct one is tokenized once, and the products go back to the documents as sums.
+1. Frequent pre-tokens of the corpus: each task reports those that make up a fixed share of its own; at most ``HOT`` of
+   them are kept, their pieces counted once and broadcast (the size is bounded by ``HOT``, whatever the corpus).
+2. Each document is a table of pre-token frequencies, joined to that table. The pre-tokens of a block of documents that
+   are not in it are counted once for the block, so that no row of a document is shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 import os
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 
 #: Most pre-tokens that are broadcast.
 HOT = 200_000
-#: A task reports a pre-token that makes up one in so many of its own, and keeps so many counters at most.
-SHARE, COUNTERS = 1_000_000, 1_000_000
+#: A task reports a pre-token that makes up one in so many of its own, and keeps so many counters or counts at most.
+SHARE, COUNTERS = 1_000_000, 300_000
+#: Characters of a block of documents whose pre-tokens are counted together; a longer text is a block of its own.
+BLOCK_CHARS = 1_000_000
 OVER = 1024
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 _LOADED: dict = {}
@@ -41,6 +43,18 @@ def pre_tokens(text: str) -> Counter:
     return out
 
 
+def blocks(texts: Iterable[str]) -> Iterator[list[str]]:
+    block, size = [], 0
+    for text in texts:
+        if block and size + len(text) > BLOCK_CHARS:
+            yield block
+            block, size = [], 0
+        block.append(text)
+        size += len(text)
+    if block:
+        yield block
+
+
 def _pieces(path: str, texts: list[str]) -> list[int]:
     if path not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -74,49 +88,27 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """``id_col``, ``n_bytes`` (UTF-8) and ``n_tokens`` of each document.
 
     ``tokenizer``: path of a tokenizer file with byte-level pre-tokenization, there on each executor.
-    Null texts count as empty: 0 bytes, 0 tokens. Rows that repeat both id and text give one row; equal ids with other
-    texts give a row each. An empty table gives an empty table. Other columns are not read.
+    Null texts count as empty: 0 bytes, 0 tokens. One row for each row, repeated ones included. An empty table gives an
+    empty table. Other columns are not read.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     hot = frequent(texts.select("text"))
     known = spark.sparkContext.broadcast(dict(zip(hot, _pieces(tokenizer, hot))))
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = known.value
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                total, rest, times = 0, [], []
-                for k, n in pre_tokens(text).items():
-                    p = table.get(k)
-                    if p is None:
-                        rest.append(k)
-                        times.append(n)
-                    else:
-                        total += n * p
-                rows.append((total, rest, times))
-            out = pd.DataFrame(rows, columns=["total", "rest", "times"])
-            yield pd.concat([batch[["id", "mark", "n_bytes"]].reset_index(drop=True), out], axis=1)
-
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, rare = known.value, {}
         for batch in batches:
-            pre = batch["pre_token"]
-            open_ = pre.notna()
-            distinct = pre[open_].unique().tolist()
-            pieces = dict(zip(distinct, _pieces(tokenizer, distinct)))
-            batch["n"] = batch["n"].where(~open_, batch["n"] * pre.map(pieces).fillna(0)).astype("int64")
-            yield batch.groupby(["id", "mark"], as_index=False, dropna=False, sort=False).agg({"n_bytes": "max", "n": "sum", "rows": "sum"})
+            sums = []
+            for block in blocks(batch["text"]):
+                tables = [pre_tokens(text) for text in block]
+                if len(rare) > COUNTERS:
+                    rare.clear()
+                new = list({k for found in tables for k in found if k not in table and k not in rare})
+                rare.update(zip(new, _pieces(tokenizer, new)))
+                sums += [sum(n * (table.get(k) or rare[k]) for k, n in found.items()) for found in tables]
+            yield pd.DataFrame({"id": batch["id"], "n_bytes": batch["n_bytes"], "n_tokens": sums})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    marked = texts.withColumns({"mark": F.xxhash64("text"), "n_bytes": F.octet_length("text").cast("long")})
-    per_doc = marked.mapInPandas(split, f"id {kind}, mark long, n_bytes long, total long, rest array<string>, times array<long>")
-    # One row for the document itself, one for each pre-token that is not frequent.
-    own = F.array(F.struct(F.lit(None).cast("string").alias("pre_token"), F.col("total").alias("n"), F.lit(1).cast("long").alias("rows")))
-    others = F.zip_with("rest", "times", lambda k, n: F.struct(k.alias("pre_token"), n.alias("n"), F.lit(0).cast("long").alias("rows")))
-    rows = per_doc.select("id", "mark", "n_bytes", F.explode(F.concat(own, others)).alias("x")).select("id", "mark", "n_bytes", "x.*")
-    dealt = rows.repartition(F.coalesce(F.xxhash64(F.col("pre_token").cast("binary")), F.xxhash64("id", "mark")))
-    dealt = dealt.sortWithinPartitions("pre_token")
-    sums = dealt.mapInPandas(count, f"id {kind}, mark long, n_bytes long, n long, rows long").groupBy("id", "mark")
-    sums = sums.agg(F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-    return sums.select(F.col("id").alias(id_col), "n_bytes", F.expr("n div rows").alias("n_tokens"))
+    sized = texts.withColumn("n_bytes", F.octet_length("text").cast("long"))
+    return sized.mapInPandas(count, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", id_col)
