@@ -151,3 +151,10 @@ def op1_stupid_backoff(spark, folder):
 
     scored = L.score(table(spark, folder, "documents"))
     return scored.withColumns({c: F.round(c, 4) for c in ("score", "mean")})
+
+
+@add("op2_wrapper_induction")
+def op2_wrapper_induction(spark, folder):
+    from airlake.llm import html_extract as X
+
+    return X.extract(table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
