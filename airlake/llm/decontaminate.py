@@ -140,5 +140,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     return joined.select(F.col("doc").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``docs`` with all columns, without the documents that hold a window of a benchmark item. Rows without an id go by
+    their own text only if no other row lacks one; otherwise all of them share the longest-sorting text."""
+    hit = contamination(docs, items).filter("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
+
+
 def _repeats(docs: DataFrame, id_col: str) -> bool:
     return not docs.groupBy(id_col).count().filter("count > 1").isEmpty()

@@ -215,3 +215,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with all columns, with one document of each class: the one of the smallest id. Rows that repeat an id and
+    its text stay once; rows without an id stay."""
+    found = session.materialize(near_duplicates(docs), "near-duplicates")
+    others = found.filter(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(others, "doc_id", "left_anti")
+    repeats = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    return left if repeats.isEmpty() else left.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.filter("doc_id is null"))

@@ -287,7 +287,7 @@ def pseudonym(v: Column, kind: Column, key: str, inverse: bool = False) -> Colum
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: bool = False, count_col: str | None = None) -> DataFrame:
     """All rows and columns, with the values in ``text_col`` replaced; ``count_col`` gets how many were.
 
-    ``key`` is a secret of the caller. Null texts stay null, empty ones empty, texts without values unchanged; rows that
+    Without a key, pseudonyms can be undone by anyone: ``key`` is a secret of the caller. Null texts stay null, empty ones empty, texts without values unchanged; rows that
     repeat get equal results. Values that fail validation (a wrong check digit, 31 February) are no personal data and stay.
     A column named like ``count_col`` is replaced.
     """

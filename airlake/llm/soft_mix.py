@@ -114,20 +114,26 @@ def fit_rates(docs: DataFrame, names: list[str], targets: dict[str, float], budg
     return _rate(steps, common)["r"]
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain_col: str = "lang", id_col: str = "doc_id", budget: float | None = None) -> DataFrame:
-    """(``id_col``, n_tokens, domain, membership, rate, copies), a row for each row.
+def weigh(docs: DataFrame, domains: Domains, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", budget: float | None = None, keep_text: bool = True) -> DataFrame:
+    """``docs`` with all columns and n_tokens, domain, membership, rate, copies, which replace columns of those names.
 
     ``domain``: the likeliest one. ``rate``: how often the document is expected to be taken, 0 or more; ``copies``: the rate
     as a whole number, rounded up or down by a hash of the id, so that a rerun gives the same. Null ids, null and empty
     texts, repeated rows are rows like others; an empty table gives an empty table.
     """
-    domains = Domains(labelled_sample(docs, labels, domain_col, id_col))
-    seen = domains.posteriors(docs.select(F.col(id_col).alias("__id"), "text")).select("__id", "n_tokens", "membership")
-    seen = session.materialize(seen, "memberships")
+    mine = ("n_tokens", "domain", "membership", "rate", "copies")
+    seen = domains.posteriors(docs.drop(*mine), text_col)
+    seen = session.materialize(seen if keep_text else seen.drop(text_col), "memberships")
     rate = fit_rates(seen, domains.names, targets, budget)
-    rated = seen.withColumn("rate", F.round(rate, 9))
     names = F.array(*map(F.lit, domains.names)) if domains.names else F.array().cast("array<string>")
     likeliest = F.get(names, (F.array_position("membership", F.array_max("membership")) - 1).cast("int"))
-    chance = F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit("copies")), F.lit(1_000_000)) / 1_000_000
-    rated = rated.withColumns({"domain": likeliest, "copies": F.floor(F.col("rate") + chance).cast("int")})
-    return rated.select(F.col("__id").alias(id_col), "n_tokens", "domain", "membership", "rate", "copies")
+    chance = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("copies")), F.lit(1_000_000)) / 1_000_000
+    rated = seen.withColumn("rate", F.round(rate, 9))
+    return rated.withColumns({"domain": likeliest, "copies": F.floor(F.col("rate") + chance).cast("int")})
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], domain_col: str = "lang", id_col: str = "doc_id", budget: float | None = None) -> DataFrame:
+    """(``id_col``, n_tokens, domain, membership, rate, copies), a row for each row: ``weigh`` by a model of ``labels``."""
+    domains = Domains(labelled_sample(docs, labels, domain_col, id_col))
+    columns = id_col, "n_tokens", "domain", "membership", "rate", "copies"
+    return weigh(docs.select(id_col, "text"), domains, targets, id_col, budget=budget, keep_text=False).select(*columns)

@@ -261,6 +261,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return found.withColumn("score", 1 / (1 + F.exp(-odds)))
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with all columns, without the documents whose score reaches the threshold. Rows without an id stay."""
+    rejected = score(docs, model).filter(F.col("score") >= threshold).select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti")
+
+
 def learn(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, folds: int = 3) -> Model:
     """A model from labelled documents, without those whose crc32 of the id leaves ``held_out`` modulo ``folds``."""
     known = labels if held_out is None else labels.filter(remainder(F.col("doc_id"), folds) != held_out)
