@@ -29,7 +29,7 @@ from airlake.llm.common import remainder
 #: At most so many labelled documents are used for the fit, those with the smallest hash of their id.
 LABELLED = 12_000
 WORD_BUCKETS, FACTORS = 1 << 15, 8
-EPOCHS, BATCH, RATE, RIDGE, SEED = 6, 256, 0.05, 1e-5, 7
+EPOCHS, STEPS, BATCH, RATE, RIDGE, SEED = 6, 300, 128, 0.05, 1e-5, 7
 THRESHOLD = 0.3
 MEMO = 300_000
 SYMBOLS = "#*$%&|<>"
@@ -121,12 +121,12 @@ class Machine:
         return self.w0 + np.add.reduceat(self.w[index] * value, starts) + 0.5 * (sums * sums - squares).sum(1), sums
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Machine:
-        """Logistic loss, batches in a fixed random order, steps scaled by past slopes."""
+        """Logistic loss, batches in a fixed random order, steps scaled by past slopes; at least ``STEPS`` steps."""
         share = min(max(labels.mean(), 1e-3), 1 - 1e-3)
         self.w0 = math.log(share / (1 - share))
         order = np.random.default_rng(SEED)
         past_w, past_v = np.full(SIZE, 1e-6, np.float32), np.full((SIZE, FACTORS), 1e-6, np.float32)
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, math.ceil(STEPS * BATCH / len(rows)))):
             shuffled = order.permutation(len(rows))
             for at in range(0, len(rows), BATCH):
                 chosen = shuffled[at : at + BATCH]
