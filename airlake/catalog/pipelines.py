@@ -193,8 +193,11 @@ weather as ({V.weather_sql(shift=0)}),
 hourly as (select station, ts, {', '.join(S.RAW)} from weather join air_quality using (station, ts))"""
 
 
-def _hours(spark, folder):
-    return stream.stream_hourly(V.stream_readings(spark, folder), {**V.air_measures(), **V.weather_measures()})
+def _readings(spark, folder):
+    return V.stream_readings(spark, folder, sinks.new_folder(spark, "stream-landed"))
+
+
+_MEASURES = {**V.air_measures(), **V.weather_measures()}
 
 
 def _run(query):
@@ -202,30 +205,33 @@ def _run(query):
     return query
 
 
+def _stream(spark, folder, then):
+    log, checkpoint = sinks.new_folder(spark, "stream-log"), sinks.new_folder(spark, "stream-state")
+    writer = _readings(spark, folder).writeStream.option("checkpointLocation", checkpoint)
+    _run(writer.foreachBatch(stream.complete_hours(log, _MEASURES, then)).trigger(availableNow=True).start())
+
+
 @add("stream_hourly", f"with {_STREAM_HOURS} select * from hourly")
 def stream_hourly(spark, folder):
-    """The events as a stream of files into hourly rows, upserted per micro-batch."""
-    raw, checkpoint = sinks.new_folder(spark, "stream-raw"), sinks.new_folder(spark, "stream-state")
-    writer = _hours(spark, folder).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    _run(writer.foreachBatch(lambda b, _: stream.upsert_raw(b, raw)).trigger(availableNow=True).start())
+    """The events as a stream of unordered files into hourly rows, upserted per micro-batch."""
+    raw = sinks.new_folder(spark, "stream-raw")
+    _stream(spark, folder, lambda hours, _: stream.upsert_raw(hours, raw))
     return stream.read_raw(spark, raw).select("station", "ts", *S.RAW)
 
 
 @add("stream_refresh", f"with {V.features_sql(source=_STREAM_HOURS)} select station, ts, {_STORED} from features")
 def stream_refresh(spark, folder):
     """Features kept up to date by the stream equal those of one batch run."""
-    path, raw, checkpoint = (sinks.new_folder(spark, n) for n in ("stream-store", "stream-raw", "stream-state"))
-    _run(stream.start_refresh(_hours(spark, folder), path, raw, checkpoint))
+    path, raw, log, checkpoint = (sinks.new_folder(spark, n) for n in ("stream-store", "stream-raw", "stream-log", "stream-state"))
+    _run(stream.start_refresh(_readings(spark, folder), _MEASURES, path, raw, log, checkpoint))
     return rounded(store.read_table(spark, path).drop(store.MONTH), *_FLOATS)
 
 
 @add("stream_alerts", f"with {_STREAM_HOURS} select station, ts, round(us_aqi, 2) as aqi from hourly where us_aqi > 200")
 def stream_alerts(spark, folder):
-    out, checkpoint = sinks.new_folder(spark, "stream-alerts"), sinks.new_folder(spark, "stream-state")
-    alerts = stream.stream_alerts(_hours(spark, folder)).select("station", "ts", "aqi")
-    writer = alerts.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    _run(writer.foreachBatch(lambda b, _: b.write.mode("append").parquet(out)).trigger(availableNow=True).start())
-    return spark.read.schema("station string, ts timestamp_ntz, aqi double").parquet(out)
+    out = sinks.new_folder(spark, "stream-alerts")
+    _stream(spark, folder, stream.alert_batch(out))
+    return stream.read_alerts(spark, out).select("station", "ts", "aqi")
 
 
 _W = "over (partition by station order by ts)"
@@ -238,23 +244,16 @@ _24 = "over (partition by station order by ts rows between 23 preceding and curr
   round(avg(us_aqi) {_24}, 6) as aqi_rolling_mean_24h, round(stddev_samp(us_aqi) {_24}, 6) as aqi_rolling_std_24h, round((us_aqi - lag(us_aqi, 3) {_W}) / 3, 6) as aqi_change_rate from hourly""",
 )
 def stream_stateful_lags(spark, folder):
-    """Finished hours as a stream; every station keeps the values its lags need."""
+    """Finished hours as a stream of unordered files; every station keeps the values its lags need."""
     hours = sinks.new_folder(spark, "stream-hours")
-    V.air_quality(spark, folder).select("station", "ts", "us_aqi").write.parquet(hours)
-    source = spark.readStream.schema("station string, ts timestamp_ntz, us_aqi double").parquet(hours)
+    V.air_quality(spark, folder).select("station", "ts", "us_aqi").repartition(6, F.xxhash64("ts")).write.parquet(hours)
+    source = spark.readStream.schema("station string, ts timestamp_ntz, us_aqi double").option("maxFilesPerTrigger", 2).parquet(hours)
     out, checkpoint = sinks.new_folder(spark, "stream-lags"), sinks.new_folder(spark, "stream-state")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        writer = stream.stateful_lags(source).writeStream.format("parquet").option("path", out)
-        _run(writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    finally:
-        spark.conf.set(provider, before)
-    rows = spark.read.schema(stream.STATE_OUTPUT).parquet(out)
-    return rounded(
-        rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")), "aqi_rolling_mean_24h", "aqi_rolling_std_24h", "aqi_change_rate"
-    )
+    writer = stream.stateful_lags(source).writeStream.format("parquet").option("path", out)
+    _run(writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    emitted = spark.read.schema(stream.STATE_OUTPUT).parquet(out)
+    rows = stream.repaired(emitted, spark.read.parquet(hours))
+    return rounded(rows, "aqi_rolling_mean_24h", "aqi_rolling_std_24h", "aqi_change_rate")
 
 
 # --- models ---------------------------------------------------------------

@@ -21,6 +21,7 @@ def build(app: str = "airlake", master: str | None = None, **conf: str) -> Spark
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
+        "spark.sql.streaming.stateStore.providerClass": ROCKS,
         # Recording the Python line of every column makes wide plans several times slower to build.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.sql.dataFrameQueryContext.enabled": "false",
@@ -31,6 +32,8 @@ def build(app: str = "airlake", master: str | None = None, **conf: str) -> Spark
     return prepare(builder.getOrCreate())
 
 
+#: The state store that custom stateful operators need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Most bytes of a batch that goes to a Python worker, so that very long texts do not pile up there.
 BATCH_BYTES = 64 << 20
 
@@ -38,7 +41,12 @@ BATCH_BYTES = 64 << 20
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the session time zone (stored times are UTC, local time is an explicit conversion), bound the batches that
     Python workers get, and let the workers find this package from any working directory."""
-    for key, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))):
+    settings = {
+        "spark.sql.session.timeZone": "UTC",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),
+        "spark.sql.streaming.stateStore.providerClass": ROCKS,
+    }
+    for key, value in settings.items():
         if spark.conf.get(key) != value:
             spark.conf.set(key, value)
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

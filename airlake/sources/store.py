@@ -15,6 +15,7 @@ from airlake import schema as S
 from airlake.functions.scalars import iso_time
 from airlake.operators import align, quality
 from airlake.operators.features import as_stored
+from airlake.session import materialize
 from airlake.sources.sinks import new_folder
 
 MONTH = "month_key"
@@ -45,6 +46,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_schema()).parquet(path)
 
 
+def stored_months(spark: SparkSession, path: str, months: list[str]) -> DataFrame:
+    return read_table(spark, path).where(F.col(MONTH).isin(months))
+
+
 def read_features(spark: SparkSession, path: str, start: Column, end: Column) -> DataFrame:
     """Rows between two times, both included; whole months outside are not read."""
     months = F.col(MONTH).between(_month(start), _month(end))
@@ -67,24 +72,33 @@ def write_snapshot(df: DataFrame, path: str) -> None:
     as_stored(df).write.mode("overwrite").parquet(path)
 
 
+def months_of(batch: DataFrame) -> list[str]:
+    """Months that the rows of a batch lie in: a short list, twelve for a year."""
+    return sorted(r[0] for r in batch.select(_month(S.TS).alias(MONTH)).distinct().collect() if r[0])
+
+
 def upsert_features(batch: DataFrame, path: str, order: str | None = None, check: bool = True) -> None:
     """Validate the batch and write it over the rows of the same (station, ts).
 
-    ``order`` decides among duplicates within the batch. Only the months of the batch are read
-    and rewritten. The merged months are staged first, so the table is never read and
-    overwritten in one job and a failed write can be repeated.
+    ``order`` names the column that decides among duplicates within the batch, the largest stays;
+    without it, duplicates are an error. The batch is staged once. Its months are a list, so the
+    table's other months are pruned by their folders and neither read nor rewritten. The merged
+    months are staged as well, so the table is never read and overwritten in one job and a failed
+    write can be repeated.
     """
     spark = batch.sparkSession
+    batch = materialize(batch, "staged-batch")
     if check:
         quality.validate(batch)
-    seq = F.col(order) if order else F.lit(0)
-    new = batch.withColumn("_order", seq)
-    new = align.keep_last(new, "_order") if order else new.dropDuplicates([*S.KEYS, S.TS])
+    if order:
+        new = align.keep_last(batch.withColumn("_order", F.col(order)), "_order")
+    elif not batch.groupBy(*S.KEYS, S.TS).count().where("count > 1").isEmpty():
+        raise ValueError("rows repeat a station and time: name the column that orders them")
+    else:
+        new = batch
     new = as_stored(new).withColumns({MONTH: _month(S.TS), "batch_seq": F.lit(1)})
     if exists(spark, path):
-        months = batch.select(_month(S.TS).alias(MONTH)).distinct()
-        kept = read_table(spark, path).join(months, MONTH, "left_semi").withColumn("batch_seq", F.lit(0))
-        new = align.keep_last(kept.unionByName(new), "batch_seq")
+        new = align.keep_last(stored_months(spark, path, months_of(batch)).withColumn("batch_seq", F.lit(0)).unionByName(new), "batch_seq")
     staged = new_folder(spark, "staged-features")
     new.drop("batch_seq").hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(staged)
     merged = spark.read.schema(_schema()).parquet(staged)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from airlake import schema as S
 from airlake.functions.scalars import floor_hour
-from airlake.operators import align
+from airlake.operators import align, series
 from airlake.operators.aggregates import hazard_alerts
 from airlake.plans.jobs import with_context
 from airlake.session import materialize
@@ -44,26 +45,52 @@ def without_replays(readings: DataFrame, key: str, late: str = LATE) -> DataFram
     return timed.dropDuplicatesWithinWatermark([key])
 
 
-def refresh_batch(path: str, raw_path: str, lookback: int = S.LOOKBACK_HOURS) -> Callable[[DataFrame, int], None]:
-    """Body of ``foreachBatch``: store the raw hours, recompute features from the look-back on.
+def complete_hours(
+    log_path: str,
+    aggregates: dict[str, Column],
+    then: Callable[[DataFrame, str], None],
+    keys=S.KEYS,
+) -> Callable[[DataFrame, int], None]:
+    """Body of ``foreachBatch`` over readings: every reading counts, however late and in whatever order files come.
 
-    A late hour changes the features of the hours after it, so features are recomputed from each
-    station's earliest hour in the batch up to its newest stored hour. Writing the same batch
-    again gives the same table. Any failure leaves this function and fails the query, so the
-    offsets are not committed.
+    Readings are appended to a log by month; the hours that the batch touches are computed again
+    from the log's months of the batch, and handed to ``then`` with the batch's name. The log is
+    what remembers, so no state grows and no watermark drops anything. A batch that runs again
+    overwrites its own part of the log. Any failure leaves this function and fails the query, so
+    the offsets are not committed.
     """
 
-    def body(batch: DataFrame, _: int) -> None:
+    def body(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        hours = batch.select(*S.KEYS, S.TS, *S.RAW).persist()
-        try:
-            if hours.isEmpty():
-                return
-            upsert_raw(hours, raw_path)
-            out = with_context(read_raw(spark, raw_path), hours, lookback)
-            store.upsert_features(out, path, check=False)
-        finally:
-            hours.unpersist()
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
+        name = f"{query}-{number}"
+        marked = batch.withColumns({store.MONTH: F.date_format(S.TS, "yyyy-MM"), "log_batch": F.lit(name)})
+        marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(store.MONTH, "log_batch").parquet(log_path)
+        log = spark.read.schema(marked.schema).parquet(log_path)
+        own = log.where(F.col("log_batch") == name)
+        months = store.months_of(own)
+        if not months:
+            return
+        touched = own.select(*keys, floor_hour(S.TS).alias(S.TS)).distinct()
+        readings = log.where(F.col(store.MONTH).isin(months)).drop(store.MONTH, "log_batch")
+        hours = hourly_batch(readings, aggregates, keys).join(touched, [*keys, S.TS], "left_semi")
+        then(materialize(hours, "touched-hours"), name)
+
+    return body
+
+
+def refresh_batch(path: str, raw_path: str, lookback: int = S.LOOKBACK_HOURS) -> Callable[[DataFrame, str], None]:
+    """Store changed hours and recompute features from the look-back on.
+
+    A late hour changes the features of the hours after it, so features are recomputed from each
+    station's earliest changed hour up to its newest stored hour. Writing the same hours again
+    gives the same table.
+    """
+
+    def body(hours: DataFrame, _: str) -> None:
+        hours = hours.select(*S.KEYS, S.TS, *S.RAW)
+        upsert_raw(hours, raw_path)
+        store.upsert_features(with_context(read_raw(hours.sparkSession, raw_path), hours, lookback), path, check=False)
 
     return body
 
@@ -73,24 +100,30 @@ def read_raw(spark, raw_path: str) -> DataFrame:
 
 
 def upsert_raw(hours: DataFrame, raw_path: str) -> None:
-    """Raw hours by month, the newest value of an hour wins."""
+    """Raw hours by month, the newest value of an hour wins. Only the months of the batch are read and rewritten."""
     spark = hours.sparkSession
     new = hours.withColumns({store.MONTH: F.date_format(S.TS, "yyyy-MM"), "batch_seq": F.lit(1)})
     if store.exists(spark, raw_path):
-        months = new.select(store.MONTH).distinct()
-        kept = read_raw(spark, raw_path).withColumn(store.MONTH, F.date_format(S.TS, "yyyy-MM"))
-        kept = kept.join(months, store.MONTH, "left_semi").withColumn("batch_seq", F.lit(0))
-        new = align.keep_last(kept.unionByName(new), "batch_seq")
+        kinds = new.drop("batch_seq").schema
+        kept = spark.read.schema(kinds).parquet(raw_path).where(F.col(store.MONTH).isin(store.months_of(new)))
+        new = align.keep_last(kept.withColumn("batch_seq", F.lit(0)).unionByName(new), "batch_seq")
     merged = materialize(new.drop("batch_seq"), "staged-raw")
     merged.hint("rebalance", store.MONTH).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         store.MONTH
     ).parquet(raw_path)
 
 
-def start_refresh(hourly: DataFrame, path: str, raw_path: str, checkpoint: str, lookback: int = S.LOOKBACK_HOURS) -> StreamingQuery:
+def start_refresh(
+    readings: DataFrame,
+    aggregates: dict[str, Column],
+    path: str,
+    raw_path: str,
+    log_path: str,
+    checkpoint: str,
+    lookback: int = S.LOOKBACK_HOURS,
+) -> StreamingQuery:
     return (
-        hourly.writeStream.outputMode("update")
-        .foreachBatch(refresh_batch(path, raw_path, lookback))
+        readings.writeStream.foreachBatch(complete_hours(log_path, aggregates, refresh_batch(path, raw_path, lookback)))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -102,54 +135,134 @@ def stream_alerts(hourly: DataFrame, threshold: float = S.ALERT_THRESHOLD) -> Da
     return hazard_alerts(hourly, S.TARGET, threshold)
 
 
+def alert_batch(path: str, threshold: float = S.ALERT_THRESHOLD) -> Callable[[DataFrame, str], None]:
+    """Keep one row per hazardous hour: an hour that is seen again is replaced, or goes if it is hazardous no more."""
+
+    def body(hours: DataFrame, _: str) -> None:
+        spark = hours.sparkSession
+        found = stream_alerts(hours, threshold).withColumn(store.MONTH, F.date_format(S.TS, "yyyy-MM"))
+        if store.exists(spark, path):
+            kept = spark.read.schema(found.schema).parquet(path).where(F.col(store.MONTH).isin(store.months_of(hours)))
+            found = kept.join(hours, [*S.KEYS, S.TS], "left_anti").unionByName(found)
+        # A month without alerts left must be overwritten too, so each month keeps a row that is no alert.
+        none = hours.select(F.date_format(S.TS, "yyyy-MM").alias(store.MONTH)).distinct()
+        staged = materialize(found.unionByName(none, allowMissingColumns=True), "staged-alerts")
+        staged = staged.dropDuplicates([*S.KEYS, S.TS, store.MONTH])
+        staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(store.MONTH).parquet(path)
+
+    return body
+
+
+def read_alerts(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path).where(F.col(S.TS).isNotNull()).drop(store.MONTH)
+
+
+#: Hours a station's state holds: what the longest lag needs, and five days of late arrivals.
+HELD_HOURS = 25 + 120
+
+
 class RollingState(StatefulProcessor):
-    """Keeps the last values of a station and emits lag and rolling features per new hour.
+    """Keeps the last hours of a station and emits lag and rolling features per new hour.
 
-    For consumers that need features within a trigger instead of a refresh. Hours must arrive in
-    order per station; late hours are left to the refresh. The state is at most 25 values.
+    For consumers that need features within a trigger instead of a refresh. An hour that comes
+    late is put in its place among the hours held, and it and the hours it bears on are emitted
+    again with a higher ``version``; ``newest_version`` keeps the last word. An hour older than
+    all that is held is emitted with ``late`` set and no features, for a batch repair: nothing is
+    skipped. The state is at most ``HELD_HOURS`` hours.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", "values array<double>, newest timestamp")
+        self._held = handle.getValueState("held", "ts array<long>, values array<double>, version long, full boolean")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: TimerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(S.TS)
-        values: list[float] = []
-        newest = None
-        if self._last.exists():
-            stored = self._last.get()
-            values, newest = list(stored[0]), pd.Timestamp(stored[1])
-        out = []
-        for ts, v in zip(new[S.TS], new[S.TARGET]):
-            if newest is not None and ts <= newest:
+        at, values, version, full = np.empty(0, np.int64), np.empty(0), 0, False
+        if self._held.exists():
+            stored = self._held.get()
+            at, values, version, full = np.array(stored[0], np.int64), np.array(stored[1], float), stored[2], stored[3]
+        for batch in rows:
+            batch = batch.sort_values(S.TS).drop_duplicates(S.TS, keep="last")
+            new = batch[S.TS].astype("datetime64[us]").astype("int64").to_numpy()
+            seen = batch[S.TARGET].to_numpy(dtype=float)
+            version += 1
+            known = (new >= at[0]) | (not full) if len(at) else np.ones(len(new), bool)
+            if (~known).any():
+                yield _rows(key[0], new[~known], seen[~known], np.full((int((~known).sum()), len(LAG_COLUMNS)), np.nan), version, True)
+            new, seen = new[known], seen[known]
+            if not len(new):
                 continue
-            newest = ts
-            values = [*values, float(v)][-25:]
-            day = pd.Series(values[-24:])
-            row = {"station": key[0], S.TS: ts, S.TARGET: float(v)}
-            row |= {f"aqi_lag_{k}h": values[-1 - k] if len(values) > k else None for k in S.LAGS}
-            row["aqi_rolling_mean_24h"] = day.mean()
-            row["aqi_rolling_std_24h"] = day.std() if len(day) > 1 else None
-            row["aqi_change_rate"] = (values[-1] - values[-4]) / 3 if len(values) > 3 else None
-            out.append(row)
-        self._last.update((values, newest))
-        if out:
-            yield pd.DataFrame(out)
+            stay = ~np.isin(at, new)
+            at, values = np.concatenate([at[stay], new]), np.concatenate([values[stay], seen])
+            order = np.argsort(at, kind="stable")
+            at, values = at[order], values[order]
+            made = lag_features(values)
+            touched = np.zeros(len(at), bool)
+            for k in np.searchsorted(at, new):
+                touched[k : k + 25] = True
+            pick = np.flatnonzero(touched)
+            # The oldest hours held after a cut lack their own past.
+            late = pick < (24 if full else 0)
+            made[pick[late]] = np.nan
+            for part, is_late in ((pick[late], True), (pick[~late], False)):
+                if len(part):
+                    yield _rows(key[0], at[part], values[part], made[part], version, is_late)
+            if len(at) > HELD_HOURS:
+                at, values, full = at[-HELD_HOURS:], values[-HELD_HOURS:], True
+        self._held.update(([int(x) for x in at], [float(x) for x in values], int(version), bool(full)))
 
     def close(self) -> None:
         pass
 
 
-STATE_OUTPUT = "station string, ts timestamp, us_aqi double, " + ", ".join(
-    f"{c} double" for c in [f"aqi_lag_{k}h" for k in S.LAGS] + ["aqi_rolling_mean_24h", "aqi_rolling_std_24h", "aqi_change_rate"]
-)
+LAG_COLUMNS = [f"aqi_lag_{k}h" for k in S.LAGS] + ["aqi_rolling_mean_24h", "aqi_rolling_std_24h", "aqi_change_rate"]
+
+
+def lag_features(values: np.ndarray) -> np.ndarray:
+    """Lags, mean and sample deviation of the last 24 values, and change rate, for each place of a series."""
+    v = pd.Series(values)
+    day = v.rolling(24, min_periods=1)
+    columns = [v.shift(k) for k in S.LAGS] + [day.mean(), day.std(), (v - v.shift(3)) / 3]
+    return np.column_stack([c.to_numpy(dtype=float) for c in columns])
+
+
+def _rows(station: str, at: np.ndarray, values: np.ndarray, made: np.ndarray, version: int, late: bool) -> pd.DataFrame:
+    out = pd.DataFrame({"station": station, S.TS: at.astype("datetime64[us]"), S.TARGET: values})
+    for k, c in enumerate(LAG_COLUMNS):
+        out[c] = pd.array(made[:, k], dtype="Float64")  # nan becomes null
+    return out.assign(version=version, late=late)
+
+
+STATE_OUTPUT = "station string, ts timestamp, us_aqi double, " + ", ".join(f"{c} double" for c in LAG_COLUMNS) + ", version long, late boolean"
+
+
+def newest_version(emitted: DataFrame) -> DataFrame:
+    """Of the rows emitted for an hour the last one; rows that are ``late`` await a repair."""
+    last = emitted.groupBy("station", S.TS).agg(F.max_by(F.struct(S.TARGET, *LAG_COLUMNS, "late"), "version").alias("x"))
+    return last.select("station", S.TS, "x.*")
+
+
+def repaired(emitted: DataFrame, hours: DataFrame) -> DataFrame:
+    """Newest rows of each hour; those of stations with ``late`` hours are computed from ``hours`` (station, ts, us_aqi), from the first late one on."""
+    rows = newest_version(emitted).withColumn(S.TS, F.col(S.TS).cast("timestamp_ntz"))
+    start = rows.where("late").groupBy("station").agg(F.min(S.TS).alias("_start"))
+    again = hours.join(start, "station").select("station", S.TS, S.TARGET, "_start")
+
+    def lags(w):
+        day = w.rowsBetween(-23, 0)
+        lagged = {f"aqi_lag_{k}h": F.lag(S.TARGET, k).over(w) for k in S.LAGS}
+        change = (F.col(S.TARGET) - F.lag(S.TARGET, 3).over(w)) / 3
+        return {**lagged, "aqi_rolling_mean_24h": F.avg(S.TARGET).over(day), "aqi_rolling_std_24h": F.stddev_samp(S.TARGET).over(day), "aqi_change_rate": change}
+
+    fixed = series.bounded(again, lags, back=24).where(F.col(S.TS) >= F.col("_start")).drop("_start")
+    kept = rows.join(start, "station", "left").where(F.col("_start").isNull() | (F.col(S.TS) < F.col("_start")))
+    columns = ["station", S.TS, S.TARGET, *LAG_COLUMNS]
+    return kept.select(*columns).unionByName(fixed.select(*columns))
 
 
 def stateful_lags(hourly: DataFrame) -> DataFrame:
     """(station, ts, us_aqi) in, the same with lag and rolling features out.
 
-    State is per station and small, but a station's new hours of one trigger are handled by one
-    task; they are one row per hour.
+    State is per station and small; a station's new hours of one trigger are handled by one task,
+    one bounded batch at a time. Needs the RocksDB state store, which ``session.build`` sets.
     """
     timed = hourly.select("station", F.col(S.TS).cast("timestamp").alias(S.TS), S.TARGET)
     return timed.groupBy("station").transformWithStateInPandas(

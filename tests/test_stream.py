@@ -29,16 +29,17 @@ def test_late_and_repeated_files_end_in_the_batch_result(spark):
     from airlake.operators import features
 
     source = sinks.new_folder(spark, "t-source")
-    path, raw, state = (sinks.new_folder(spark, n) for n in ("t-store", "t-raw", "t-state"))
-    for hours in (range(0, 50), range(60, 100), range(50, 60), range(90, 95)):
+    path, raw, log, state = (sinks.new_folder(spark, n) for n in ("t-store", "t-raw", "t-log", "t-state"))
+    for hours in (range(500, 520), range(0, 50), range(60, 100), range(50, 60), range(90, 95)):
         write(spark, source, hours)
-        stream.start_refresh(hours_of(spark, source), path, raw, state).awaitTermination()
+        readings = spark.readStream.schema(KINDS).parquet(source)
+        stream.start_refresh(readings, agg(), path, raw, log, state).awaitTermination()
     batch = stream.hourly_batch(spark.read.schema(KINDS).parquet(source), agg())
     columns = ["station", "ts", S.TARGET, *S.FEATURES]
     full = features.as_stored(features.engineer(batch)).select(*columns)
     got = store.read_table(spark, path).select(*columns)
     # Hours stored while a gap was still open are replaced once it is filled.
-    assert got.count() == full.count() == 76
+    assert got.count() == full.count() == 96
     rounded = [[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in d.dtypes] for d in (got, full)]
     assert got.select(rounded[0]).exceptAll(full.select(rounded[1])).isEmpty()
 
