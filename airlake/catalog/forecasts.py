@@ -136,9 +136,9 @@ _LIN_COMPAT = "2.0::double + 0.6 * h[-1] + 0.2 * h[-3] + 0.1 * h[-24]"
 
 def _recursive_sql(history: str, formula: str) -> str:
     return f"""with recursive {history},
-r as (select station, base_ts, h, 0 as step from hist
-  union all select station, base_ts, list_append(h, {formula}), step + 1 from r where step < 72)
-select station, cast(step as int) as step, round(h[-1], 6) as p from r where step > 0"""
+r as (select station, base_ts, h, 0 as step, h[-1] as known from hist
+  union all select station, base_ts, list_append(h, {formula}), step + 1, known from r where step < 72)
+select station, cast(step as int) as step, round(coalesce(h[-1], known), 6) as p from r where step > 0"""
 
 
 @add("recursive_forecast_compat", _recursive_sql(V.HISTORY_SQL, _LIN_COMPAT))
@@ -156,17 +156,22 @@ _CANON = {
     "aqi_rolling_std_24h": 0.05,
     "aqi_change_rate": 0.2,
 }
-_LIN = """2.0::double + 0.05 * hour(base_ts + to_hours(step)) + 0.3 * h[-2] + 0.1 * h[-7] + 0.4 * list_avg(h[-24:])
-  + 0.05 * list_stddev_samp(h[-24:]) + 0.2 * ((h[-1] - h[-4]) / 3)"""
+_LIN = """2.0::double + 0.05 * hour(base_ts + to_hours(step)) + 0.3 * h[-2] + 0.1 * h[-7] + 0.4 * case when len(h) >= 24 then list_avg(h[-24:]) end
+  + 0.05 * case when len(h) >= 24 then list_stddev_samp(h[-24:]) end + 0.2 * ((h[-1] - h[-4]) / 3)"""
 
 
 def _linear(spark, folder, by):
-    """Lags, rolling mean and deviation, change rate and the hour of day of the row before each step."""
-    history = _history(spark, folder, by).where(F.size("history") >= 25)
+    """Lags, rolling mean and deviation, change rate and the hour of day of the row before each step.
+
+    A station whose history is too short for them keeps its last known value.
+    """
+    history = _history(spark, folder, by)
     described = F.expr("ts + make_interval(0, 0, 0, 0, step - 1)")
     steps = history.select("station", "ts", F.explode(F.sequence(F.lit(1), F.lit(72))).alias("step"))
     steps = steps.select("station", "step", (F.lit(2.0) + F.lit(0.05) * F.hour(described)).alias("known"))
-    return rounded(forecast.linear_forecast(history, steps, _CANON), "p")
+    known = history.select("station", F.element_at("history", -1).alias("known"))
+    out = forecast.linear_forecast(history, steps, _CANON).join(known, "station")
+    return rounded(out.select("station", "step", F.coalesce("p", "known").alias("p")), "p")
 
 
 @add("recursive_forecast", _recursive_sql(V.HISTORY_SQL, _LIN))
@@ -174,12 +179,12 @@ def recursive_forecast(spark, folder):
     return _linear(spark, folder, "event_type")
 
 
-_MANY = V.HISTORY_SQL.replace(V.air_quality_sql(), V.air_quality_sql("user_id")).replace("hist as (", "every as (")
+_MANY = V.HISTORY_SQL.replace(V.air_quality_sql(), V.air_quality_sql("user_id"))
 
 
 @add(
     "recursive_forecast_many_stations",
-    _recursive_sql(f"{_MANY}, hist as (select * from every where len(h) >= 25)", _LIN),
+    _recursive_sql(_MANY, _LIN),
 )
 def recursive_forecast_many_stations(spark, folder):
     return _linear(spark, folder, "user_id")

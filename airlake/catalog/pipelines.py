@@ -163,10 +163,14 @@ def upsert_features(spark, folder):
     return store.read_table(spark, path).select("station", "ts", "us_aqi", "pm2_5")
 
 
-@add("backfill_to_store", f"{_FEATURES}")
+_RANGE = f"""{V.hourly_sql().replace('hourly as', 'every as')},
+hourly as (select * from every where cast(ts as date) between date '2024-01-03' and date '2024-01-27')"""
+
+
+@add("backfill_to_store", f"with {V.features_sql(source=_RANGE)} select station, ts, {_STORED} from features")
 def backfill_to_store(spark, folder):
     path = sinks.new_folder(spark, "store")
-    built = jobs.backfill(V.weather(spark, folder), V.air_quality(spark, folder), at("2024-01-01"), at("2024-12-31"))
+    built = jobs.backfill(V.weather(spark, folder), V.air_quality(spark, folder), at("2024-01-03"), at("2024-01-27"))
     store.upsert_features(materialize(built, "backfill"), path)
     return rounded(store.read_table(spark, path).drop(store.MONTH), *_FLOATS)
 
@@ -304,7 +308,8 @@ def explain_trees(spark, folder):
     return explain.top_features(explain.mean_abs_contribution(phi))
 
 
-_COEF = {"aqi_lag_1h": 0.6, "aqi_rolling_mean_24h": 0.3, "temperature_2m": -0.25, "hour": 0.05}
+#: A coefficient for each of the 35 features, of different size and sign.
+_COEF = {c: round((-1) ** i * (0.9 - 0.02 * i), 2) for i, c in enumerate(S.FEATURES)}
 _SAMPLE = f"""{V.features_sql()},
 r as (select *, row_number() {_W} - 1 as pos, count(*) over (partition by station) as n from features),
 older as (select *, row_number() over (partition by station order by ts desc) as k from r where pos < floor(n * 0.8::double)),
@@ -333,17 +338,17 @@ def mean_abs_contribution(spark, folder):
     return rounded(explain.mean_abs_contribution(_phi(spark, folder)), "importance")
 
 
-@add("top_features", f"{_IMPORTANCE} select feature, round(importance, 6) as importance from imp order by importance desc, feature limit 3")
+@add("top_features", f"{_IMPORTANCE} select feature, round(importance, 6) as importance from imp order by importance desc, feature limit 15")
 def top_features(spark, folder):
-    return rounded(explain.top_features(explain.mean_abs_contribution(_phi(spark, folder)), 3), "importance")
+    return rounded(explain.top_features(explain.mean_abs_contribution(_phi(spark, folder))), "importance")
 
 
 @add(
     "top_features_display",
-    f"{_IMPORTANCE} select feature, round(importance, 6) as importance from (select * from imp order by importance desc, feature limit 2) order by importance",
+    f"{_IMPORTANCE} select feature, round(importance, 6) as importance from (select * from imp order by importance desc, feature limit 12) order by importance",
 )
 def top_features_display(spark, folder):
-    return rounded(explain.top_features_display(explain.mean_abs_contribution(_phi(spark, folder)), 2), "importance")
+    return rounded(explain.top_features_display(explain.mean_abs_contribution(_phi(spark, folder))), "importance")
 
 
 @add(

@@ -497,11 +497,11 @@ def hourly_seasonal(spark, folder):
 @add(
     "chrono_split",
     f"""{INNER}, r as (select station, ts, row_number() {_W} - 1 as pos, count(*) over (partition by station) as n from hourly)
-select station, ts, case when pos < floor(n * 0.8::double) then 'train' when pos < floor(n * 0.9::double) then 'val' else 'test' end as part from r where n >= 100""",
+select station, ts, case when pos < floor(n * 0.8::double) then 'train' when pos < floor(n * 0.9::double) then 'val' else 'test' end as part from r""",
 )
 def chrono_split(spark, folder):
     h = _hourly(spark, folder).select("station", "ts")
-    return evaluation.chrono_split(h, min_rows=evaluation.MIN_ROWS)
+    return evaluation.chrono_split(h)
 
 
 @add(

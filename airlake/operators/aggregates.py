@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from airlake import schema as S
 from airlake.functions import scalars as X
 from airlake.operators import series
+from airlake.session import materialize
 
 # --- days -----------------------------------------------------------------
 
@@ -118,25 +119,32 @@ def decompose(df: DataFrame, rows: int = 168, keys: Sequence[str] = S.KEYS) -> D
 
 def histogram(df: DataFrame, column: str = S.TARGET, bins: int = 50, keys: Sequence[str] = S.KEYS) -> DataFrame:
     """Counts in equal bins between the smallest and largest value; the last bin is closed."""
-    x = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
+    # Two scans of one column; what is shuffled is a row per station and task, then per bin.
+    x = df.where(F.col(column).isNotNull()).select(*keys, column)
     edges = x.groupBy(*keys).agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     share = F.try_divide(F.col(column) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
     number = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins) + 1, F.lit(bins)).cast("int")
-    return x.join(edges, list(keys)).groupBy(*keys, number.alias("bin")).agg(F.sum("_n").alias("n"))
+    return x.join(edges, list(keys)).groupBy(*keys, number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Rows of a value range that ``quantiles`` ranks in one task, about.
+RANGE_ROWS = 100_000
 
 
 def quantiles(
-    df: DataFrame, column: str, probabilities: Sequence[float], keys: Sequence[str] = S.KEYS, ranges: int = 64
+    df: DataFrame, column: str, probabilities: Sequence[float], keys: Sequence[str] = S.KEYS, ranges: int | None = None
 ) -> DataFrame:
     """Exact interpolated quantiles without sorting a whole group in one task.
 
-    Equal values are counted first. An approximate sketch cuts each group into value ranges of
-    similar size; counts per range tell which ranges hold the wanted ranks, and only those are
+    An approximate sketch cuts each group into value ranges of similar size, more of them the more
+    rows there are; counts per range tell which ranges hold the wanted ranks, and only those are
     ranked. The cuts affect balance only, never the result.
     """
+    if ranges is None:
+        ranges = max(64, df.select(column).where(F.col(column).isNotNull()).count() // RANGE_ROWS)
     counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
     cuts = [i / ranges for i in range(1, ranges)]
-    sketch = df.groupBy(*keys).agg(F.percentile_approx(column, cuts).alias("_cuts"))
+    sketch = df.groupBy(*keys).agg(F.percentile_approx(column, cuts, max(10_000, 10 * ranges)).alias("_cuts"))
     in_range = counts.join(sketch, list(keys)).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col(column))))
     in_range = in_range.drop("_cuts")
     order = Window.partitionBy(*keys).orderBy("_r")
@@ -229,15 +237,11 @@ def correlation(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     base = df.select(*[F.col(c).cast("double").alias(c) for c in names])
     per_task = base.mapInPandas(moments, "x string, y string, " + ", ".join(f"{c} double" for c in parts))
-    # Means first, then distances of the tasks' means from them: no large numbers cancel.
-    pair = Window.partitionBy("x", "y")
-    n = F.sum("n").over(pair)
-    merged = per_task.withColumns(
-        {
-            "dx": F.col("mx") - F.sum(F.col("n") * F.col("mx")).over(pair) / n,
-            "dy": F.col("my") - F.sum(F.col("n") * F.col("my")).over(pair) / n,
-        }
-    )
+    # Means first, a row for each pair; then distances of the tasks' means from them: no large numbers cancel.
+    per_task = materialize(per_task, "moments")
+    weighted = lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
+    means = per_task.groupBy("x", "y").agg(weighted("mx").alias("ax"), weighted("my").alias("ay"))
+    merged = per_task.join(means, ["x", "y"]).withColumns({"dx": F.col("mx") - F.col("ax"), "dy": F.col("my") - F.col("ay")})
 
     def moment(within: str, a: str, b: str) -> Column:
         return F.sum(F.col(within) + F.col("n") * F.col(a) * F.col(b))

@@ -24,14 +24,14 @@ def labelled(df: DataFrame, steps: int = 1, keys: Sequence[str] = S.KEYS) -> Dat
 
 
 def chrono_split(
-    df: DataFrame, train: float = 0.8, val: float = 0.1, keys: Sequence[str] = S.KEYS, min_rows: int = 0
+    df: DataFrame, train: float = 0.8, val: float = 0.1, keys: Sequence[str] = S.KEYS, **slices: int
 ) -> DataFrame:
-    """Add ``part`` (train, val, test) by row number in time order; short series are left out."""
-    out = series.numbered(df, keys)
+    """Add ``part`` (train, val, test) by row number in time order; every series stays, however short."""
+    out = series.numbered(df, keys, **slices)
     first_val = F.floor(F.col("n_rows") * F.lit(train))
     first_test = F.floor(F.col("n_rows") * F.lit(train + val))
     part = F.when(F.col("pos") < first_val, "train").when(F.col("pos") < first_test, "val").otherwise("test")
-    return out.where(F.col("n_rows") >= min_rows).withColumn("part", part).drop("pos", "n_rows")
+    return out.withColumn("part", part).drop("pos", "n_rows")
 
 
 def time_split(df: DataFrame, train: float = 0.8, val: float = 0.1, accuracy: int = 10000) -> DataFrame:

@@ -87,6 +87,11 @@ def importances(model: PipelineModel, features: Sequence[str] = S.FEATURES) -> l
     return sorted(zip(features, (float(v) for v in values)), key=lambda p: -p[1])
 
 
+def importance_table(spark, model: PipelineModel, features: Sequence[str] = S.FEATURES) -> DataFrame:
+    """(feature, importance) of a tree model."""
+    return spark.createDataFrame(importances(model, features), "feature string, importance double")
+
+
 FITS: dict[str, Callable[..., PipelineModel]] = {"ridge": fit_ridge, "random_forest": fit_forest, "xgboost": fit_boosted}
 
 
@@ -98,8 +103,9 @@ def train_all(
     Input is what ``chrono_split`` gives. A model that fails is left out and logged.
     """
     columns = ["station", S.TS, S.TARGET, S.LABEL, *features]
-    train = split.where("part = 'train'").select(*columns).persist()
-    test = split.where("part = 'test'").select(*columns).persist()
+    # The split is a written table: each fit scans the columns it needs, and nothing stays cached.
+    train = split.where("part = 'train'").select(*columns)
+    test = split.where("part = 'test'").select(*columns)
     models: dict[str, PipelineModel] = {}
     scores = persistence_baseline(test)
     for name, fit in FITS.items():

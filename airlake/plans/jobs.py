@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -13,19 +14,23 @@ from airlake import schema as S
 from airlake.functions import scalars as X
 from airlake.operators import aggregates as A
 from airlake.operators import align, evaluation, features, forecast, models, quality, series
+from airlake.operators import explain as attribution
 from airlake.operators import tune as T
 from airlake.session import materialize
 from airlake.sources import registry, sinks
 
+log = logging.getLogger(__name__)
+
 # --- ingest ---------------------------------------------------------------
 
 
 def backfill(weather: DataFrame, air: DataFrame, start: Column, end: Column, by_month: bool = False) -> DataFrame:
-    """Features of a range of history, both ends included.
+    """Features of a range of history, both days included as a whole.
 
     ``by_month`` engineers each calendar month on its own: every month then starts without lags.
     """
-    merged = align.merge_history(weather, air).where(F.col(S.TS).between(start, end))
+    day = F.col(S.TS).cast("date")
+    merged = align.merge_history(weather, air).where(day.between(start.cast("date"), end.cast("date")))
     if not by_month:
         return features.engineer(merged)
     chunked = merged.withColumn("chunk", F.date_trunc("month", S.TS).cast("date"))
@@ -130,9 +135,17 @@ def chart_tables(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def training_rows(features_table: DataFrame, min_rows: int = evaluation.MIN_ROWS) -> DataFrame:
-    """Labelled rows with their chronological part; written once, read by every model."""
+    """Labelled rows with their part; written once, read by every model.
+
+    One model serves all stations, so the parts are cut at two times common to all: no row that a
+    model is fitted on is later than one it is scored on. Fewer than ``min_rows`` rows in all are
+    an error; no station is left out.
+    """
     labelled = materialize(evaluation.labelled(features_table), "labelled")
-    return materialize(evaluation.chrono_split(labelled, min_rows=min_rows), "split")
+    found = labelled.count()
+    if found < min_rows:
+        raise ValueError(f"{found} labelled rows, at least {min_rows} are required")
+    return materialize(evaluation.time_split(labelled), "split")
 
 
 def train(
@@ -147,8 +160,6 @@ def train(
     """Train, score, log and register the three models; returns the scores, best first."""
     spark = features_table.sparkSession
     rows = training_rows(features_table)
-    if rows.isEmpty():
-        raise ValueError(f"at least {evaluation.MIN_ROWS} labelled rows per station are required")
     chosen = {name: dict(p) for name, p in (params or {}).items()}
     if tune:
         fit_part, val_part = rows.where("part = 'train'"), rows.where("part = 'val'")
@@ -174,6 +185,7 @@ def forecast_all(
     steps: int = S.FORECAST_HOURS,
 ) -> dict[str, DataFrame]:
     """Seventy-two hours for every station: each model of the chain only for stations still open."""
+    # A model that fails is logged and the next one is asked; none is asked once every station has a forecast.
     chain = evaluation.select_model(S.MODEL_CHAIN, model)
     keys = list(S.KEYS)
     last = materialize(align.tail(features_table, 1), "last")
@@ -182,16 +194,39 @@ def forecast_all(
     for name in chain:
         if name not in fitted:
             continue
-        p = forecast.recursive_forecast(fitted[name].transform, open_history, last, weather, steps, compat=compat)
-        p = materialize(p.withColumn("model", F.lit(name)), "candidates")
+        try:
+            p = forecast.recursive_forecast(fitted[name].transform, open_history, last, weather, steps, compat=compat)
+            p = materialize(p.withColumn("model", F.lit(name)), "candidates")
+        except Exception:
+            log.exception("forecast by %s failed", name)
+            continue
         parts.append(p)
         solved = forecast.valid_models(p).where("valid").select(*keys)
-        open_history = open_history.join(solved, keys, "left_anti")
+        open_history = materialize(open_history.join(solved, keys, "left_anti"), "still-open")
+        if open_history.isEmpty():
+            break
     empty = last.select(*keys, F.lit(0).alias("step"), F.lit(0.0).alias("p"), F.lit("").alias("model")).where("false")
     candidates = reduce(DataFrame.unionByName, parts, empty)
     return answer(candidates, last, model, compat)
 
 
+def explain(features_table: DataFrame, model: PipelineModel, days: int = 30, samples: int = 50) -> DataFrame:
+    """(feature, importance), largest first: mean absolute attribution of the newest rows.
+
+    Rows and background are taken from the last ``days`` days. If the attributions fail, a tree
+    model's own importances stand in, as a log line says.
+    """
+    newest = features_table.agg(F.max(S.TS).alias("at"))
+    recent = features_table.join(F.broadcast(newest), F.col(S.TS) >= F.col("at") - F.make_interval(days=F.lit(days))).drop("at")
+    background, rows = (materialize(d, "explained") for d in attribution.explain_sample(recent))
+    try:
+        phi = materialize(attribution.sampled_contributions(rows, background, model.transform, samples=samples), "contributions")
+    except Exception:
+        log.exception("attributions failed; importances of the model stand in")
+        return attribution.top_features(models.importance_table(features_table.sparkSession, model))
+    return attribution.top_features(attribution.mean_abs_contribution(phi))
+
+
 def model_board(entries: DataFrame, results: DataFrame, chain: Sequence[str] = S.MODEL_CHAIN) -> DataFrame:
     """Models by RMSE with their scores as text. One row per model name, so one window is small."""
     models = evaluation.complete_models(entries, results, chain)

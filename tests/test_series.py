@@ -85,7 +85,7 @@ def test_split_is_chronological(spark, span):
     assert series.numbered(df, span_hours=span).orderBy("ts").select("pos").toPandas()["pos"].tolist() == list(range(100))
     parts = evaluation.chrono_split(df).groupBy("part").agg(F.count("*"), F.min("us_aqi"), F.max("us_aqi")).collect()
     assert {tuple(p) for p in parts} == {("train", 80, 0.0, 79.0), ("val", 10, 80.0, 89.0), ("test", 10, 90.0, 99.0)}
-    assert evaluation.chrono_split(df, min_rows=101).count() == 0
+    assert evaluation.chrono_split(df.limit(3)).count() == 3  # short series stay
 
 
 def test_rolling_std_of_first_rows(spark):
