@@ -470,6 +470,19 @@ def centered_mean(spark, folder):
     return rounded(A.centered_mean(air), "trend")
 
 
+@add("centered_mean_sliced", f"with air as ({V.air_quality_sql()}) select station, ts, us_aqi, round({_TREND}, 6) as trend from air")
+def centered_mean_sliced(spark, folder):
+    """A frame of a week over slices of a day: rows go to neighbours several slices away."""
+    air = V.air_quality(spark, folder).select("station", "ts", "us_aqi")
+    return rounded(A.centered_mean(air, span_hours=24), "trend")
+
+
+@add("centered_mean_years", f"with air as ({V.DAILY_SQL}) select station, ts, us_aqi, round({_TREND}, 3) as trend from air")
+def centered_mean_years(spark, folder):
+    """Seven years of days: the usual span cuts each series into 28 slices."""
+    return rounded(A.centered_mean(V.daily_series(spark, folder)), "trend", digits=3)
+
+
 _DECOMPOSED = f"""air as ({V.air_quality_sql()}),
 t as (select station, ts, us_aqi as original, {_TREND} as trend from air where us_aqi is not null),
 s as (select *, avg(original - trend) over (partition by station, hour(ts)) as seasonal from t)"""
@@ -504,6 +517,16 @@ def chrono_split(spark, folder):
     return evaluation.chrono_split(h)
 
 
+@add(
+    "chrono_split_sliced",
+    f"""with d as ({V.DAILY_SQL}), r as (select station, ts, row_number() {_W} - 1 as pos, count(*) over (partition by station) as n from d)
+select station, ts, case when pos < floor(n * 0.8::double) then 'train' when pos < floor(n * 0.9::double) then 'val' else 'test' end as part from r""",
+)
+def chrono_split_sliced(spark, folder):
+    """Row numbers over slices of a month in seven years of days."""
+    return evaluation.chrono_split(V.daily_series(spark, folder).select("station", "ts"), span_hours=720)
+
+
 @add(
     "chrono_split_many_stations",
     f"""with {V.hourly_sql(by='user_id')}, r as (select station, ts, row_number() {_W} - 1 as pos, count(*) over (partition by station) as n from hourly)
@@ -602,6 +625,21 @@ def engineer_features(spark, folder):
     return rounded(features.engineer(_hourly(spark, folder)), *_FLOATS)
 
 
+#: Slices of a day: the month of test events makes thirty of them for each station.
+SLICED = {"span_hours": 24}
+
+
+@add("engineer_features_sliced", features_out_sql())
+def engineer_features_sliced(spark, folder):
+    """As above, with values carried and rows copied between thirty slices of each station."""
+    return rounded(features.engineer(_hourly(spark, folder), **SLICED), *_FLOATS)
+
+
+@add("engineer_features_gaps_sliced", features_out_sql(how="full"))
+def engineer_features_gaps_sliced(spark, folder):
+    return rounded(features.engineer(_hourly(spark, folder, "full"), **SLICED), *_FLOATS)
+
+
 @add("engineer_features_gaps", features_out_sql(how="full"))
 def engineer_features_gaps(spark, folder):
     return rounded(features.engineer(_hourly(spark, folder, "full")), *_FLOATS)

@@ -82,7 +82,7 @@ def monthly_pattern(df: DataFrame, keys: Sequence[str] = S.KEYS) -> DataFrame:
     return by_month.select(*keys, "month", name.alias("month_name"), S.TARGET)
 
 
-def centered_mean(df: DataFrame, column: str = S.TARGET, rows: int = 168, keys: Sequence[str] = S.KEYS) -> DataFrame:
+def centered_mean(df: DataFrame, column: str = S.TARGET, rows: int = 168, keys: Sequence[str] = S.KEYS, **slices: int) -> DataFrame:
     """Mean over ``rows`` rows around each row, null unless the window is full.
 
     An even window reaches one row further back than ahead.
@@ -94,7 +94,7 @@ def centered_mean(df: DataFrame, column: str = S.TARGET, rows: int = 168, keys:
         frame = w.rowsBetween(-back, ahead)
         return {"trend": F.when(F.count(column).over(frame) == rows, F.avg(column).over(frame))}
 
-    return series.bounded(df, build, back, ahead, keys)
+    return series.bounded(df, build, back, ahead, keys, **slices)
 
 
 def hourly_seasonal(detrended: DataFrame, column: str = "detrended", keys: Sequence[str] = S.KEYS) -> DataFrame:

@@ -14,6 +14,8 @@ from airlake import catalog, session
 HEADLINE = [
     "engineer_features",
     "engineer_features_many_stations",
+    "engineer_features_sliced",
+    "centered_mean_years",
     "merge_current",
     "override_nearest",
     "fill_forward_back",
