@@ -185,7 +185,9 @@ hourly as (select * from both_sides where ts < timestamp '2024-01-20' union all
 def hourly_refresh(spark, folder):
     """A week of new hours on top of stored ones equals recomputing everything."""
     cut, weather, air = at("2024-01-20"), V.weather(spark, folder), V.air_quality(spark, folder)
-    stored = materialize(align.merge_history(weather, air).where(F.col("ts") < cut), "stored")
+    raw = sinks.new_folder(spark, "refresh-raw")
+    stream.upsert_raw(align.merge_history(weather, air).where(F.col("ts") < cut).select("station", "ts", *S.RAW), raw)
+    stored = stream.read_context(spark, raw, ["2024-01"])
     new = [df.where(F.col("ts") >= cut) for df in (weather, air)]
     return rounded(jobs.refresh(*new, None, stored, at("2024-01-27 12:30:00")), *_FLOATS)
 

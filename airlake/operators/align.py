@@ -122,6 +122,29 @@ def union_history_current(stored: DataFrame, current: DataFrame) -> DataFrame:
     return keep_last(both).drop("batch_seq")
 
 
+def condensed(df: DataFrame, part: str, lookback: int = S.LOOKBACK_HOURS, keys: Sequence[str] = S.KEYS) -> DataFrame:
+    """Of each series and ``part`` (a month), the rows that later hours can still depend on.
+
+    These are its last ``lookback`` rows and, of the rows before them, at most three: the last
+    one, the last with rain and the last before any rain was read, each with the values known by
+    then. Filling, lags and days since rain of later hours come out the same as from all rows.
+    """
+    order = Window.partitionBy(*keys, part).orderBy(S.TS)
+    whole = Window.partitionBy(*keys, part)
+    known = {c: F.last(c, ignorenulls=True).over(order) for c in S.RAW}
+    out = df.withColumns({f"_{c}": v for c, v in known.items()})
+    out = out.withColumns({"_pos": F.row_number().over(order), "_n": F.count(F.lit(1)).over(whole)})
+    old, rain = F.col("_pos") <= F.col("_n") - lookback, F.col("_precipitation")
+    last = {
+        "_last": F.max(F.when(old, F.col("_pos"))).over(whole),
+        "_wet": F.max(F.when(old & (rain > S.RAIN_MM), F.col("_pos"))).over(whole),
+        "_unread": F.max(F.when(old & rain.isNull(), F.col("_pos"))).over(whole),
+    }
+    out = out.withColumns(last).where(~old | F.col("_pos").isin(*[F.col(c) for c in last]))
+    values = [F.when(old, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in S.RAW]
+    return out.select(*keys, S.TS, *values, part)
+
+
 def tail(df: DataFrame, n: int, keys: Sequence[str] = S.KEYS) -> DataFrame:
     """The last n rows of each series. Map tasks already keep n rows per series."""
     w = Window.partitionBy(*keys).orderBy(F.col(S.TS).desc())

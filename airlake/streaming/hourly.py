@@ -89,8 +89,9 @@ def refresh_batch(path: str, raw_path: str, lookback: int = S.LOOKBACK_HOURS) ->
 
     def body(hours: DataFrame, _: str) -> None:
         hours = hours.select(*S.KEYS, S.TS, *S.RAW)
-        upsert_raw(hours, raw_path)
-        store.upsert_features(with_context(read_raw(hours.sparkSession, raw_path), hours, lookback), path, check=False)
+        upsert_raw(hours, raw_path, lookback)
+        raw = read_context(hours.sparkSession, raw_path, store.months_of(hours))
+        store.upsert_features(with_context(raw, hours, lookback), path, check=False)
 
     return body
 
@@ -99,8 +100,24 @@ def read_raw(spark, raw_path: str) -> DataFrame:
     return spark.read.parquet(raw_path)
 
 
-def upsert_raw(hours: DataFrame, raw_path: str) -> None:
-    """Raw hours by month, the newest value of an hour wins. Only the months of the batch are read and rewritten."""
+def _carried(raw_path: str) -> str:
+    return raw_path.rstrip("/") + "-carried"
+
+
+def read_context(spark, raw_path: str, months: list[str]) -> DataFrame:
+    """Raw hours from the first of these months on, and of earlier months what later hours depend on.
+
+    Both are pruned by month folders: earlier months are read from their condensed tables alone.
+    """
+    raw = spark.read.parquet(raw_path).where(F.col(store.MONTH) >= min(months))
+    before = spark.read.parquet(_carried(raw_path)).where(F.col(store.MONTH) < min(months))
+    columns = *S.KEYS, S.TS, *S.RAW
+    return before.select(*columns).unionByName(raw.select(*columns))
+
+
+def upsert_raw(hours: DataFrame, raw_path: str, lookback: int = S.LOOKBACK_HOURS) -> None:
+    """Raw hours by month, the newest value of an hour wins. Only the months of the batch are read and rewritten,
+    and with them the condensed table of each (``align.condensed``)."""
     spark = hours.sparkSession
     new = hours.withColumns({store.MONTH: F.date_format(S.TS, "yyyy-MM"), "batch_seq": F.lit(1)})
     if store.exists(spark, raw_path):
@@ -108,9 +125,9 @@ def upsert_raw(hours: DataFrame, raw_path: str) -> None:
         kept = spark.read.schema(kinds).parquet(raw_path).where(F.col(store.MONTH).isin(store.months_of(new)))
         new = align.keep_last(kept.withColumn("batch_seq", F.lit(0)).unionByName(new), "batch_seq")
     merged = materialize(new.drop("batch_seq"), "staged-raw")
-    merged.hint("rebalance", store.MONTH).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        store.MONTH
-    ).parquet(raw_path)
+    for table, path in ((merged, raw_path), (align.condensed(merged, store.MONTH, lookback), _carried(raw_path))):
+        writer = table.hint("rebalance", store.MONTH).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(store.MONTH).parquet(path)
 
 
 def start_refresh(

@@ -44,6 +44,38 @@ def test_late_and_repeated_files_end_in_the_batch_result(spark):
     assert got.select(rounded[0]).exceptAll(full.select(rounded[1])).isEmpty()
 
 
+def test_refresh_over_months_reads_condensed_months_only(spark):
+    """Silent stations, gaps of months and late months end in the batch result; older raw months stay unread."""
+    from airlake.operators import features
+
+    source, start = sinks.new_folder(spark, "t-source"), dt.datetime(2024, 1, 1)
+    path, raw, log, state = (sinks.new_folder(spark, n) for n in ("t-store", "t-raw", "t-log", "t-state"))
+
+    def land(station, hours, holes=()):
+        rows = []
+        for h in hours:
+            values = [None if (c == "precipitation" and h % 7) or h in holes else float((h * 3 + k) % 11) for k, c in enumerate(S.RAW)]
+            rows.append((station, start + dt.timedelta(hours=h, minutes=9), *values))
+        spark.createDataFrame(rows, KINDS).coalesce(1).write.mode("append").parquet(source)
+        stream.start_refresh(spark.readStream.schema(KINDS).parquet(source), agg(), path, raw, log, state).awaitTermination()
+
+    land("a", range(0, 200))
+    land("b", range(0, 10))
+    land("a", range(1600, 1700), range(1600, 1640))
+    land("b", range(1700, 1760), range(1700, 1706))
+    land("a", range(900, 930))
+    batch = stream.hourly_batch(spark.read.schema(KINDS).parquet(source), agg())
+    columns = ["station", "ts", S.TARGET, *S.FEATURES]
+    full = features.as_stored(features.engineer(batch)).select(*columns)
+    got = store.read_table(spark, path).select(*columns)
+    rounded = [[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in d.dtypes] for d in (got, full)]
+    assert got.count() == full.count() > 300
+    assert got.select(rounded[0]).exceptAll(full.select(rounded[1])).isEmpty()
+    plan = stream.read_context(spark, raw, ["2024-03"])._jdf.queryExecution().executedPlan().toString()
+    assert "month_key" in plan.split("PartitionFilters: ")[1] and "month_key" in plan.split("PartitionFilters: ")[2]
+    assert stream.read_context(spark, raw, ["2024-03"]).count() < 200
+
+
 def test_readings_beyond_the_late_horizon_are_out(spark):
     source, raw, state = (sinks.new_folder(spark, n) for n in ("t-source", "t-raw", "t-state"))
     for start in (dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 11), dt.datetime(2024, 1, 7), dt.datetime(2024, 1, 1)):
