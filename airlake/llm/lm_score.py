@@ -26,7 +26,9 @@ from airlake import session
 
 ALPHA, MIN_COUNT = 0.4, 2
 #: Most words and most pairs whose counts are broadcast; bits of the Bloom filter.
-HOT, BLOOM_BITS = 200_000, 1 << 26
+HOT, BLOOM_BITS = 100_000, 1 << 26
+#: Numbers of 32 bits of the filter that are put together in one task.
+BLOOM_BLOCK = 1 << 16
 #: Tokens that are counted together before rows leave a task's Python; words kept in its memo.
 BLOCK, MEMO = 1_500_000, 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -96,7 +98,7 @@ def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bloom(counts: DataFrame) -> np.ndarray:
-    """Bit array of the pairs in the table; at most ``BLOOM_BITS`` / 32 rows reach the driver, whatever the corpus."""
+    """Bit array of the pairs in the table; ``BLOOM_BITS`` bits reach the driver, in blocks, whatever the corpus."""
 
     def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -106,9 +108,16 @@ def _bloom(counts: DataFrame) -> np.ndarray:
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.empty(0, int)
             yield pd.DataFrame({"word": word[starts], "bits": np.bitwise_or.reduceat(bit, starts) if len(word) else bit})
 
-    rows = counts.filter("h % 2 <> 0").select("h").mapInPandas(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    def packed(rows: pd.DataFrame) -> pd.DataFrame:
+        part = np.zeros(BLOOM_BLOCK, np.uint32)
+        part[rows["word"].to_numpy(np.int64) % BLOOM_BLOCK] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "bits": [part.tobytes()]})
+
+    found = counts.filter("h % 2 <> 0").select("h").mapInPandas(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    blocks = found.withColumn("block", F.expr(f"word div {BLOOM_BLOCK}")).groupBy("block").applyInPandas(packed, "block long, bits binary")
     bloom = np.zeros(BLOOM_BITS >> 5, np.uint32)
-    bloom[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).astype(np.uint32)
+    for row in blocks.toLocalIterator():
+        bloom[row["block"] * BLOOM_BLOCK : (row["block"] + 1) * BLOOM_BLOCK] = np.frombuffer(row["bits"], np.uint32)
     return bloom
 
 
