@@ -5,7 +5,7 @@ else log10 of ``ALPHA`` x count(word) / tokens; a first word scores log10 of cou
 
 Relationally: counts of words and pairs are one table keyed and dealt out by hash; documents are exploded into their
 distinct pairs, joined to it and summed. Two things keep most rows from being shuffled, and neither bears on results:
-the counts of the most frequent words and pairs are broadcast (``HOT`` rows of each at most), and a Bloom filter of fixed
+the counts of the most frequent words and pairs are broadcast (``HOT`` and ``HOT_PAIRS`` rows at most), and a Bloom filter of fixed
 size leaves out pairs that no table row can match. A key has one row for each document at most.
 
 Words are stretches without ASCII white space, A-Z in lower case. Hashes have 64 bits.
@@ -26,7 +26,7 @@ from airlake import session
 
 ALPHA, MIN_COUNT = 0.4, 2
 #: Most words and most pairs whose counts are broadcast; bits of the Bloom filter.
-HOT, BLOOM_BITS = 100_000, 1 << 26
+HOT, HOT_PAIRS, BLOOM_BITS = 100_000, 400_000, 1 << 26
 #: Numbers of 32 bits of the filter that are put together in one task.
 BLOOM_BLOCK = 1 << 16
 #: Tokens that are counted together before rows leave a task's Python; words kept in its memo.
@@ -84,12 +84,12 @@ def count_table(docs: DataFrame) -> DataFrame:
     return session.materialize(counts.filter(f"h % 2 = 0 or n >= {MIN_COUNT}"), "ngram-counts")
 
 
-def _frequent(counts: DataFrame, odd: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and log10 counts of at most ``HOT`` words or pairs."""
-    top = counts.filter(F.abs(F.col("h") % 2) == odd).orderBy(F.desc("n"), "h").limit(HOT).toPandas()
+def _frequent(counts: DataFrame, odd: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of at most ``limit`` words or pairs."""
+    top = counts.filter(F.abs(F.col("h") % 2) == odd).orderBy(F.desc("n"), "h").limit(limit).toPandas()
     key = top["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(key)
-    return key[order], np.log10(top["n"].to_numpy(np.float64))[order]
+    return key[order], top["n"].to_numpy(np.int64)[order]
 
 
 def _bits(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,12 +122,12 @@ def _bloom(counts: DataFrame) -> np.ndarray:
 
 
 def _find(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which hashes are among the sorted keys, and their values (0 for others)."""
+    """Which hashes are among the sorted keys, and their values (1 for others)."""
     if not len(keys):
-        return np.zeros(len(h), bool), np.zeros(len(h))
+        return np.zeros(len(h), bool), np.ones(len(h), np.int64)
     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
     known = keys[at] == h
-    return known, np.where(known, values[at], 0.0)
+    return known, np.where(known, values[at], 1)
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -140,38 +140,41 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     counts = count_table(docs)
     tokens = counts.filter("h % 2 = 0").agg(F.sum("n")).first()[0] or 0
-    sent = docs.sparkSession.sparkContext.broadcast((_frequent(counts, 0), _frequent(counts, 1), _bloom(counts)))
+    sent = docs.sparkSession.sparkContext.broadcast((_frequent(counts, 0, HOT), _frequent(counts, 1, HOT_PAIRS), _bloom(counts)))
     total = math.log10(max(tokens, 1))
     back = math.log10(ALPHA)
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        (words, word_logs), (pairs, pair_logs), bloom = sent.value
+        (words, word_counts), (pairs, pair_counts), bloom = sent.value
         memo: dict[bytes, int] = {}
 
         def rows(doc: object, text: str | None) -> dict[str, np.ndarray]:
             """The document's own row (h null), rows of rare words, rows of pairs that the table may hold."""
             h = word_hashes(text, memo)
             if not len(h):
-                return {"h": [None], "n": [0], "value": [0.0], "r1": [None], "r2": [None]}
-            hot, logs = _find(words, word_logs, h)
+                return {"h": [None], "n": [0], "base": [0.0], "known": [1], "r1": [None], "r2": [None]}
+            hot, often = _find(words, word_counts, h)
+            logs = np.log10(often)
             # All words back off to begin with; pairs that are seen then put their own value in place.
             base = float(logs.sum()) - total * len(h) + back * (len(h) - 1)
             rare, rare_n = np.unique(h[~hot], return_counts=True)
             p, first, n = np.unique(pair_hashes(h), return_index=True, return_counts=True) if len(h) > 1 else (h[:0], np.empty(0, int), np.empty(0, int))
             # log count(pair) - log count(first) instead of back + log count(second) - total
             instead = total - back - logs[first] - logs[first + 1]
-            seen, pair_log = _find(pairs, pair_logs, p)
+            seen, pair_often = _find(pairs, pair_counts, p)
             whole = seen & hot[first] & hot[first + 1]
-            base += float((n * (pair_log + instead))[whole].sum())
+            base += float((n * (np.log10(pair_often) + instead))[whole].sum())
             one, two = _bits(p)
             maybe = ~whole & ((bloom[one >> np.uint64(5)] >> (one & np.uint64(31)).astype(np.uint32)) & (bloom[two >> np.uint64(5)] >> (two & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool)
-            p, first, n, instead = p[maybe].view(np.int64), first[maybe], n[maybe], instead[maybe]
+            p, first, n = p[maybe].view(np.int64), first[maybe], n[maybe]
             signed = h.view(np.int64)
             none = np.full(len(rare), None)
             return {
                 "h": np.concatenate([[None], rare.view(np.int64).astype(object), p.astype(object)]),
                 "n": np.concatenate([[len(h)], rare_n, n]),
-                "value": np.concatenate([[base], np.zeros(len(rare)), instead]),
+                "base": np.concatenate([[base], np.full(len(rare) + len(p), np.nan)]),
+                # Whole numbers with few digits take less room in a shuffle than logarithms.
+                "known": np.concatenate([[1], np.ones(len(rare), np.int64), often[first] * often[first + 1]]),
                 "r1": np.concatenate([[None], none, np.where(hot[first], None, signed[first].astype(object))]),
                 "r2": np.concatenate([[None], none, np.where(hot[first + 1], None, signed[first + 1].astype(object))]),
             }
@@ -184,19 +187,21 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 out = {"doc": part["doc"].repeat(lengths).array}
                 for k in ("h", "r1", "r2"):
                     out[k] = pd.array(np.concatenate([x[k] for x in made]), dtype="Int64")
-                out["n"] = np.concatenate([x["n"] for x in made]).astype(np.int64)
-                out["value"] = np.concatenate([x["value"] for x in made]).astype(np.float64)
-                yield pd.DataFrame(out)[["doc", "h", "n", "value", "r1", "r2"]]
+                for k in ("n", "known"):
+                    out[k] = np.concatenate([x[k] for x in made]).astype(np.int64)
+                out["base"] = pd.array(np.concatenate([x["base"] for x in made]).astype(np.float64), dtype="Float64")
+                yield pd.DataFrame(out)[["doc", "h", "n", "base", "known", "r1", "r2"]]
 
     kind = docs.schema["doc"].dataType.simpleString()
-    ngrams = docs.mapInPandas(explode, f"doc {kind}, h long, n long, value double, r1 long, r2 long")
-    own = F.col("h").isNull()
+    ngrams = docs.mapInPandas(explode, f"doc {kind}, h long, n long, base double, known long, r1 long, r2 long")
+    own = F.col("base").isNotNull()
     # Own rows must not meet in one partition, so a hash of their document deals them out; they take nothing from the table.
-    keyed = ngrams.withColumn("key", F.coalesce("h", F.xxhash64("doc")))
+    keyed = ngrams.select("doc", F.coalesce("h", F.xxhash64("doc")).alias("key"), "n", "base", "known", "r1", "r2")
     table = counts.select(F.col("h").alias("key"), F.log10(F.col("n").cast("double")).alias("log"))
-    met = keyed.join(table, "key", "left").withColumn("seen", F.col("log").isNotNull())
-    word = ~own & (F.col("h") % 2 == 0)
-    gain = F.when(own, F.col("value")).when(word, F.col("n") * F.col("log")).when(F.col("seen"), F.col("n") * (F.col("log") + F.col("value"))).otherwise(0.0)
+    met = keyed.join(table, "key", "left").withColumn("seen", F.col("log").isNotNull() & F.col("base").isNull())
+    word = ~own & (F.col("key") % 2 == 0)
+    instead = F.lit(total - back) - F.log10(F.col("known").cast("double"))
+    gain = F.when(own, F.col("base")).when(word, F.col("n") * F.col("log")).when(F.col("seen"), F.col("n") * (F.col("log") + instead)).otherwise(0.0)
     rare = lambda c: F.when(F.col("seen") & F.col(c).isNotNull(), F.struct(F.col(c).alias("rare"), (-F.col("n").cast("double")).alias("times"), F.lit(0.0).alias("gain"), F.lit(0).cast("long").alias("words")))
     first = F.struct(F.lit(None).cast("long").alias("rare"), F.lit(0.0).alias("times"), gain.alias("gain"), F.when(own, F.col("n")).otherwise(0).cast("long").alias("words"))
     parts = met.select("doc", F.explode(F.filter(F.array(first, rare("r1"), rare("r2")), lambda x: x.isNotNull())).alias("x")).select("doc", "x.*")

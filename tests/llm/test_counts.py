@@ -94,6 +94,7 @@ def backoff(rows):
 @pytest.mark.parametrize("hot", [200_000, 5])
 def test_scores_equal_brute_force(docs, monkeypatch, hot):
     monkeypatch.setattr(lm_score, "HOT", hot)
+    monkeypatch.setattr(lm_score, "HOT_PAIRS", hot)
     got = {r["doc_id"]: (r["n_words"], r["score"], r["mean"]) for r in lm_score.score(docs).collect()}
     want = backoff(cases.ROWS)
     assert set(got) == set(want)
