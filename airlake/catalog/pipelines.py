@@ -203,7 +203,8 @@ def _readings(spark, folder):
     return V.stream_readings(spark, folder, sinks.new_folder(spark, "stream-landed"))
 
 
-_MEASURES = {**V.air_measures(), **V.weather_measures()}
+def _measures():
+    return {**V.air_measures(), **V.weather_measures()}
 
 
 def _run(query):
@@ -214,7 +215,7 @@ def _run(query):
 def _stream(spark, folder, then):
     log, checkpoint = sinks.new_folder(spark, "stream-log"), sinks.new_folder(spark, "stream-state")
     writer = _readings(spark, folder).writeStream.option("checkpointLocation", checkpoint)
-    _run(writer.foreachBatch(stream.complete_hours(log, _MEASURES, then)).trigger(availableNow=True).start())
+    _run(writer.foreachBatch(stream.complete_hours(log, _measures(), then)).trigger(availableNow=True).start())
 
 
 @add("stream_hourly", f"with {_STREAM_HOURS} select * from hourly")
@@ -229,7 +230,7 @@ def stream_hourly(spark, folder):
 def stream_refresh(spark, folder):
     """Features kept up to date by the stream equal those of one batch run."""
     path, raw, log, checkpoint = (sinks.new_folder(spark, n) for n in ("stream-store", "stream-raw", "stream-log", "stream-state"))
-    _run(stream.start_refresh(_readings(spark, folder), _MEASURES, path, raw, log, checkpoint))
+    _run(stream.start_refresh(_readings(spark, folder), _measures(), path, raw, log, checkpoint))
     return rounded(store.read_table(spark, path).drop(store.MONTH), *_FLOATS)
 
 
