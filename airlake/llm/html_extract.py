@@ -1,12 +1,13 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host share a wrapper. One page of each host is its reference; every other page of the host is aligned with it
-by simple tree matching. Nodes of the reference that keep their text from page to page are template, nodes whose text
-varies are slots for content; the counts behind that cover all pages of a host. A page's text then comes from what its own
-markup names as the article; where markup names none, from the nodes that the wrapper does not know as template.
-
-The host's pages are spread over ``SALTS`` keys, so that a host with a third of all pages is no single task; a reference is
-one page, and the table of template nodes has at most one row for each of its nodes.
+Pages of one host share a wrapper. The first page of each layout (the set of its upper elements) is a reference; other pages
+are aligned with the reference of their layout by simple tree matching, and the first ones of a layout with that of another.
+Nodes of references that keep their text from page to page are template, nodes whose text varies are slots for content. A
+node is known by the kinds on its path and its text, so what several references tell about it is added up over the host, and
+each page of the host loses its template nodes where markup names no article.
+
+A host with many pages is cut into parts by a hash of its pages, so that a host with a third of all pages is no single task;
+each part has references of its own.
 """
 
 from __future__ import annotations
@@ -17,16 +18,21 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airlake import session
 
 SALTS = 32
-#: A node of the reference is template if this share of at least so many aligned pages has the same text there.
+#: Hosts are cut into parts of at least so many pages, and into so many parts altogether at most (beside one for each host).
+PART, PARTS = 64, 2048
+#: A node of the references is template if this share of at least so many aligned pages has the same text there.
 SAME, LEAST_PAGES = 0.8, 3
-#: Parsed references that a task holds.
-HELD = 64
+#: Pages that share this much of a named article are copies of one article, which say nothing about template inside it.
+COPY = 0.5
+#: Parsed references that a task holds; after that it begins anew. Levels of elements that make up a layout.
+HELD, LEVELS = 64, 4
 
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -64,12 +70,11 @@ _SPACE = re.compile(r"\s+")
 class Node:
     """An element that makes blocks: its kind, whether markup drops or names it, and its texts and elements in order."""
 
-    __slots__ = ("items", "kind", "drop", "main", "number")
+    __slots__ = ("items", "kind", "drop", "main")
 
     def __init__(self, kind: str, drop: bool = False, main: bool = False) -> None:
         self.kind, self.drop, self.main = kind, drop, main
         self.items: list[str | Node] = []
-        self.number = -1
 
     @property
     def children(self) -> list[Node]:
@@ -158,15 +163,27 @@ def parse(page: str) -> Node:
     return root
 
 
-def number(root: Node) -> list[Node]:
-    """Nodes in page order; each gets its place."""
-    out, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        node.number = len(out)
-        out.append(node)
-        todo.extend(reversed(node.children))
-    return out
+class Page:
+    """A tree with its layout and, for each node with a text that markup does not drop, (key, text, whether in a named article)."""
+
+    def __init__(self, page: str) -> None:
+        self.root = parse(page)
+        self.nodes: dict[int, tuple[int, str, bool]] = {}
+        paths: set[str] = set()
+        todo = [(self.root, "", 0, False)]
+        while todo:
+            node, path, level, inside = todo.pop()
+            if level <= LEVELS:
+                paths.add(path)
+            if node.drop:
+                continue
+            inside = inside or node.main
+            if text := node.text():
+                key = xxhash.xxh3_64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
+                self.nodes[id(node)] = key, text, inside
+            todo.extend((x, f"{path}>{x.kind}", level + 1, inside) for x in node.children)
+        self.layout = frozenset(paths)
+        self.article = sum(len(text) for _, text, inside in self.nodes.values() if inside)
 
 
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
@@ -215,16 +232,16 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
 
 
 def main_text(root: Node, template: set[int]) -> str:
-    """Blocks of the article, or else of all that is not template (places of nodes), in page order."""
+    """Blocks of the article, or else of the whole page, that are not template (ids of nodes), in page order."""
 
     def has_main(node: Node) -> bool:
         return not node.drop and (node.main or any(has_main(x) for x in node.children))
 
-    def blocks(node: Node, inside: bool, anywhere: bool, out: list[str]) -> None:
+    def blocks(node: Node, inside: bool, known: set[int], out: list[str]) -> None:
         if node.drop:
             return
         inside = inside or node.main
-        keep = inside or (anywhere and id(node) not in template)
+        keep = inside and id(node) not in known
         run: list[str] = []
         for x in [*node.items, None]:
             if isinstance(x, str):
@@ -235,10 +252,11 @@ def main_text(root: Node, template: set[int]) -> str:
                 out.append(text)
             run = []
             if x is not None:
-                blocks(x, inside, anywhere, out)
+                blocks(x, inside, known, out)
 
     out: list[str] = []
-    blocks(root, False, not has_main(root), out)
+    named = has_main(root)
+    blocks(root, not named, set() if named else template, out)
     return "\n".join(out)
 
 
@@ -247,65 +265,71 @@ def host(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit(""))
 
 
-def _held(memo: dict, page: str) -> tuple[Node, list[Node]]:
-    if page not in memo:
-        if len(memo) >= HELD:
-            memo.clear()
-        root = parse(page)
-        memo[page] = root, number(root)
-    return memo[page]
-
-
-def _with_reference(pages: DataFrame, references: DataFrame) -> DataFrame:
-    """Pages (host, salt) and what ``references`` has for their host; a hot host is spread over the salts."""
-    spread = references.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return pages.join(spread, ["host", "salt"], "left")
+def _parts(pages: DataFrame) -> DataFrame:
+    """Pages with the part of their host; only hosts with more than a part, ``PARTS`` at most, are in the joined table."""
+    sizes = session.materialize(pages.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    large = sizes.filter(F.col("n") > max(PART, total / PARTS)).select("host", F.ceil(F.col("n") / max(PART, total / PARTS)).alias("parts"))
+    known = pages.join(F.broadcast(large), "host", "left")
+    return known.withColumn("part", F.pmod(F.xxhash64("html"), F.coalesce("parts", F.lit(1)))).drop("parts")
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    memo: dict = {}
+    """(host, node, met, same) from pages in the order of their hosts and parts."""
+    references: dict[frozenset, Page] = {}
+    now, last = None, None
     for batch in batches:
         met: Counter = Counter()
         same: Counter = Counter()
-        for name, page, ref in zip(batch["host"], batch["html"], batch["ref"]):
-            tree, _ = _held(memo, ref)
-            for x, y in align(tree, parse(page)):
-                text = x.text()
-                if text:
-                    met[name, x.number] += 1
-                    same[name, x.number] += text == y.text()
+        for name, part, html in zip(batch["host"], batch["part"], batch["html"]):
+            if now != (name, part) or len(references) >= HELD:
+                references, now, last = {}, (name, part), None
+            # A page is no evidence about itself, and its copies come next to it.
+            if html == last:
+                continue
+            last = html
+            page = Page(html)
+            if not page.nodes:
+                continue
+            ref = references.get(page.layout) or next(iter(references.values()), None)
+            references.setdefault(page.layout, page)
+            if ref is None:
+                continue
+            aligned = align(ref.root, page.root)
+            pairs = [(ref.nodes[id(x)], page.nodes.get(id(y))) for x, y in aligned if id(x) in ref.nodes]
+            alike = sum(len(x[1]) for x, y in pairs if x[2] and y and x[1] == y[1])
+            copy = alike > COPY * max(ref.article, page.article)
+            if ref.layout == page.layout:
+                # A node that pages of the same layout may lack is content; another layout need not have it.
+                found = {id(x) for x, _ in aligned}
+                pairs += [(node, None) for x, node in ref.nodes.items() if x not in found]
+            for (key, text, inside), y in pairs:
+                if not (copy and inside):
+                    met[name, key] += 1
+                    same[name, key] += y is not None and text == y[1]
         yield pd.DataFrame([(h, k, n, same[h, k]) for (h, k), n in met.items()], columns=["host", "node", "met", "same"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, ref, template): the reference page of each host and the places of its template nodes."""
-    first = pages.filter("html is not null").groupBy("host").agg(F.min("page_id").alias("page_id"))
-    found = pages.filter("html is not null").join(first, ["host", "page_id"], "left_semi").dropDuplicates(["host"])
-    refs = session.materialize(found.select("host", F.col("page_id").alias("ref_id"), F.col("html").alias("ref")), "references")
-    # A page is no evidence about itself.
-    others = _with_reference(pages, refs).filter("html is not null and ref is not null and page_id <> ref_id")
-    counts = others.select("host", "html", "ref").mapInPandas(_compare, "host string, node int, met long, same long")
+    """(host, template): the keys of the template nodes of each host that has any."""
+    full = _parts(pages.filter("html is not null and html <> ''").select("host", "html"))
+    runs = full.repartition("host", "part").sortWithinPartitions("host", "part", F.xxhash64("html"), "html")
+    counts = runs.mapInPandas(_compare, "host string, node long, met long, same long")
     counts = counts.groupBy("host", "node").agg(F.sum("met").alias("met"), F.sum("same").alias("same"))
     constant = counts.filter((F.col("met") >= LEAST_PAGES) & (F.col("same") >= SAME * F.col("met")))
-    template = constant.groupBy("host").agg(F.collect_list("node").alias("template"))
-    return session.materialize(refs.join(template, "host", "left").select("host", "ref", "template"), "wrappers")
+    return session.materialize(constant.groupBy("host").agg(F.collect_list("node").alias("template")), "wrappers")
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    memo: dict = {}
     for batch in batches:
         texts = []
-        for page, ref, template in zip(batch["html"], batch["ref"], batch["template"]):
-            if not page:
+        for html, template in zip(batch["html"], batch["template"]):
+            if not html:
                 texts.append("")
                 continue
-            root = parse(page)
-            known: set[int] = set()
-            if ref and template is not None and len(template):
-                places = set(template)
-                tree, _ = _held(memo, ref)
-                known = {id(y) for x, y in align(tree, root) if x.number in places and x.text() == y.text()}
-            texts.append(main_text(root, known))
+            page = Page(html)
+            places = set() if template is None else set(template)
+            texts.append(main_text(page.root, {n for n, (key, _, _) in page.nodes.items() if key in places}))
         yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts})
 
 
@@ -313,12 +337,14 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text), a row for each row of ``pages`` (page_id, url, html).
 
     Null and empty pages, and pages without an article or a varying node, have the text ''. Pages without a url share the
-    empty host. Hosts with too few other pages have no template. Repeated rows are rows like others; an empty table gives
-    an empty table. Other columns are not read.
+    empty host. A node is template from ``LEAST_PAGES`` comparisons on: hosts with fewer than four different pages have no
+    template, so markup alone decides there. Repeated rows are rows like others; an empty table gives an empty table. Other
+    columns are not read.
     """
     salt = F.pmod(F.xxhash64(F.col("page_id"), F.length("html")), F.lit(SALTS)).cast("int")
     keyed = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"), salt.alias("salt"))
-    known = wrappers(keyed)
+    # A hot host is spread over the salts; its template is a list of numbers.
+    known = wrappers(keyed).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     kind = pages.schema["page_id"].dataType.simpleString()
-    joined = _with_reference(keyed, known).select("page_id", "url", "html", "ref", "template")
+    joined = keyed.join(known, ["host", "salt"], "left").select("page_id", "url", "html", "template")
     return joined.mapInPandas(_extract, f"page_id {kind}, url string, text string")

@@ -92,6 +92,22 @@ def test_wrapper_without_article_markup(spark):
     assert got == {k: f"Story {k} begins\nand ends {k}" + "\nmore" * (k % 3) for k in range(12)}
 
 
+def _texts(spark, rows):
+    return {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_references_of_each_layout(spark, monkeypatch):
+    """An empty page, a blank one and a page of another layout with the smallest ids do not hide the wrapper of the others."""
+    one = "<body><div class=a><p>Welcome to one</p></div><div><p>Story {0} of one</p></div></body>"
+    two = "<body><section class=b><p>Welcome to two</p></section><div><p>Story {0} of two</p></div></body>"
+    rows = [(0, "http://h/0", ""), (1, "http://h/1", "  "), (2, "http://h/2", "<p>Error 500</p>")]
+    rows += [(k, f"http://h/{k}", (one if k % 2 else two).format(k)) for k in range(3, 19)]
+    want = {k: f"Story {k} of {'one' if k % 2 else 'two'}" for k in range(3, 19)} | {0: "", 1: "", 2: "Error 500"}
+    assert _texts(spark, rows) == want
+    monkeypatch.setattr(html_extract, "PART", 9)
+    assert _texts(spark, rows) == want
+
+
 def test_automaton_equals_edit_distance():
     def distance(a, b):
         row = list(range(len(b) + 1))
