@@ -4,7 +4,7 @@ Pages of one host share a wrapper. The first page of each layout (the set of its
 are aligned with the reference of their layout by simple tree matching, and the first ones of a layout with that of another.
 Nodes of references that keep their text from page to page are template, nodes whose text varies are slots for content. A
 node is known by the kinds on its path and its text, so what several references tell about it is added up over the host, and
-each page of the host loses its template nodes where markup names no article.
+each page of the host loses its template nodes, inside an article that markup names as well as outside.
 
 A host with many pages is cut into parts by a hash of its pages, so that a host with a third of all pages is no single task;
 each part has references of its own.
@@ -232,7 +232,10 @@ def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
 
 
 def main_text(root: Node, template: set[int]) -> str:
-    """Blocks of the article, or else of the whole page, that are not template (ids of nodes), in page order."""
+    """Blocks of the article, or else of the whole page, that are not template (ids of nodes), in page order.
+
+    An article of template nodes alone is one that the host repeats; it stays.
+    """
 
     def has_main(node: Node) -> bool:
         return not node.drop and (node.main or any(has_main(x) for x in node.children))
@@ -256,7 +259,9 @@ def main_text(root: Node, template: set[int]) -> str:
 
     out: list[str] = []
     named = has_main(root)
-    blocks(root, not named, set() if named else template, out)
+    blocks(root, not named, template, out)
+    if named and template and not out:
+        blocks(root, False, set(), out)
     return "\n".join(out)
 
 

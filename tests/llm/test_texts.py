@@ -96,6 +96,18 @@ def _texts(spark, rows):
     return {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
 
+def test_template_inside_a_named_article(spark):
+    """A constant block goes although markup names the article; copies of one article stay whole."""
+    page = "<html><body><article><h1>Title {0}</h1><p>Story number {0} begins here</p><div><p>Get our letter</p></div><p>and ends {0}</p></article></body></html>"
+    copies = "<article><p>One long text that a host repeats on each of its pages</p><p>It has a second part, as long</p><p>{}</p></article>"
+    rows = [(k, f"http://h/{k}", page.format(k)) for k in range(8)]
+    rows += [(10 + k, f"http://copies/{k}", copies.format(k)) for k in range(8)] + [(20 + k, f"http://same/{k}", copies) for k in range(8)]
+    got = _texts(spark, rows)
+    for k in range(8):
+        assert got[k] == f"Title {k}\nStory number {k} begins here\nand ends {k}"
+        assert got[10 + k].count("\n") == 2 and got[10 + k].startswith("One long") and got[20 + k].count("\n") == 2
+
+
 def test_references_of_each_layout(spark, monkeypatch):
     """An empty page, a blank one and a page of another layout with the smallest ids do not hide the wrapper of the others."""
     one = "<body><div class=a><p>Welcome to one</p></div><div><p>Story {0} of one</p></div></body>"
