@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import math
 import random
 import time
@@ -14,6 +15,8 @@ from airlake import schema as S
 from airlake.operators.evaluation import regression_metrics
 from airlake.operators.models import fit_boosted, fit_forest, fit_ridge
 
+log = logging.getLogger(__name__)
+
 
 def _log_uniform(r: random.Random, low: float, high: float) -> float:
     return math.exp(r.uniform(math.log(low), math.log(high)))
@@ -52,23 +55,25 @@ def search(
     train: DataFrame,
     val: DataFrame,
     trials: int,
-    timeout: float = 180.0,
+    timeout: float | None = None,
     parallel: int = 3,
     seed: int = 42,
     fixed: Mapping | None = None,
 ) -> tuple[dict, float]:
-    """The parameters of smallest validation RMSE; no new trial starts after ``timeout`` seconds.
+    """The parameters of smallest validation RMSE over all trials.
 
-    Trials run from driver threads, so Spark schedules their jobs side by side. ``fixed``
+    With ``timeout``, no new trial starts after so many seconds, and those left out are logged: the result then depends on
+    speed. Trials run from driver threads, so Spark schedules their jobs side by side. ``fixed``
     overrides the space, for small data.
     """
     r = random.Random(seed)
     draws = [{**space(r), **(fixed or {})} for _ in range(trials)]
     train, val = train.persist(), val.persist()
-    deadline = time.monotonic() + timeout
+    deadline = math.inf if timeout is None else time.monotonic() + timeout
 
     def trial(params: dict) -> tuple[float, dict] | None:
         if time.monotonic() > deadline:
+            log.warning("search: trial left out after %s seconds: %s", timeout, params)
             return None
         model = fit(train, **params)
         score = regression_metrics(model.transform(val), S.LABEL, "prediction").first()["rmse"]

@@ -63,6 +63,24 @@ def test_search_is_seeded_and_scores_validation(spark, regression):
     assert found[0] == found[1] and 0.01 <= found[0][0]["alpha"] <= 100
 
 
+def test_all_trials_run_unless_a_limit_is_set(spark, regression, monkeypatch, caplog):
+    df = spark.createDataFrame(regression).withColumnRenamed("y", S.LABEL)
+    clock = iter(range(0, 10**6, 1000))
+    monkeypatch.setattr(tune.time, "monotonic", lambda: next(clock))
+    ran = []
+
+    def fit(d, **params):
+        ran.append(params)
+        return models.fit_ridge(d, NAMES, **{**params, "degree": 1})
+
+    run = lambda **o: tune.search(fit, tune.ridge_space, df, df, 3, parallel=1, **o)
+    run()
+    assert len(ran) == 3
+    ran.clear()
+    run(timeout=1500.0)
+    assert len(ran) == 1 and len([r for r in caplog.records if "left out" in r.message]) == 2
+
+
 def test_without_models_the_last_value_is_forecast(spark):
     pdf = raw_hours("2025-01-15", 60, False)
     pdf["us_aqi"] = 160.0
