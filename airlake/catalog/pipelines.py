@@ -265,33 +265,47 @@ def stream_stateful_lags(spark, folder):
 
 # --- models ---------------------------------------------------------------
 
-_SMALL = {"random_forest": {"numTrees": 20, "maxDepth": 5}, "xgboost": {"maxIter": 8, "maxDepth": 4}}
-
-
 @add("train_leaderboard")
 def train_leaderboard(spark, folder):
-    """The three models and persistence, scored on the newest tenth of every station.
-
-    Trees are fewer and shallower than the defaults, which suit years of data.
-    """
+    """The three models and persistence, scored on the newest tenth of every station."""
     root, log = sinks.new_folder(spark, "registry"), sinks.new_folder(spark, "metrics")
-    jobs.train(_features(spark, folder), root, log, at("2024-02-01"), params=_SMALL)
+    jobs.train(_features(spark, folder), root, log, at("2024-02-01"))
     return evaluation.rank_models(sinks.latest_metrics(spark, log))
 
 
+def _tuned(spark, folder, search, fit):
+    """A whole search, and its best parameters scored on the newest rows."""
+    rows = jobs.training_rows(_features(spark, folder))
+    train = rows.where("part = 'train'")
+    found, _ = search(train, rows.where("part = 'val'"))
+    scored = fit(train, **found).transform(rows.where("part = 'test'"))
+    return evaluation.regression_metrics(scored, S.LABEL, "prediction", ["station"])
+
+
 @add("tune_ridge")
 def tune_ridge(spark, folder):
     from airlake.operators import tune
 
-    rows = jobs.training_rows(_features(spark, folder))
-    found, rmse = tune.tune_ridge(rows.where("part = 'train'"), rows.where("part = 'val'"), trials=2, fixed={"degree": 1})
-    scored = models.fit_ridge(rows.where("part = 'train'"), **found).transform(rows.where("part = 'test'"))
-    return evaluation.regression_metrics(scored, S.LABEL, "prediction", ["station"])
+    return _tuned(spark, folder, tune.tune_ridge, models.fit_ridge)
+
+
+@add("tune_boosted")
+def tune_boosted(spark, folder):
+    from airlake.operators import tune
+
+    return _tuned(spark, folder, tune.tune_boosted, models.fit_boosted)
+
+
+@add("tune_forest")
+def tune_forest(spark, folder):
+    from airlake.operators import tune
+
+    return _tuned(spark, folder, tune.tune_forest, models.fit_forest)
 
 
 def _boosted(table):
     rows = jobs.training_rows(table)
-    return models.fit_boosted(rows.where("part = 'train'"), **_SMALL["xgboost"])
+    return models.fit_boosted(rows.where("part = 'train'"))
 
 
 @add("recursive_forecast_trees")
@@ -304,10 +318,8 @@ def recursive_forecast_trees(spark, folder):
 @add("explain_trees")
 def explain_trees(spark, folder):
     table = _features(spark, folder)
-    background, rows = explain.explain_sample(table, background=50, rows=10)
-    phi = explain.sampled_contributions(
-        materialize(rows, "rows"), materialize(background, "background"), _boosted(table).transform, samples=10
-    )
+    background, rows = explain.explain_sample(table)
+    phi = explain.sampled_contributions(materialize(rows, "rows"), materialize(background, "background"), _boosted(table).transform)
     return explain.top_features(explain.mean_abs_contribution(phi))
 
 

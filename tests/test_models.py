@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airlake import schema as S
+from airlake.catalog import pipelines
 from airlake.operators import evaluation, explain, features, forecast, models, tune
 from airlake.plans import jobs
 from airlake.sources import sinks
@@ -157,3 +158,29 @@ def test_training_registers_and_scores(spark):
     assert all(len(e["feature_list"]) == 35 for e in entries)
     with pytest.raises(ValueError):
         jobs.train(features.engineer(spark_hours(spark, pdf.head(60))), root, log, F.lit(dt.datetime(2025, 2, 2)))
+
+
+def test_registered_model_queries_do_the_whole_job(monkeypatch):
+    """No smaller models, samples or searches than the operators' defaults."""
+    from unittest import mock
+
+    assert {"tune_ridge", "tune_boosted", "tune_forest"} <= set(pipelines.catalog.queries)
+    called = {}
+    for owner, name in ((jobs, "train"), (models, "fit_boosted"), (explain, "explain_sample"), (explain, "sampled_contributions")):
+        def seen(*args, name=name, **options):
+            called[name] = options
+            return mock.MagicMock(), mock.MagicMock()
+
+        monkeypatch.setattr(owner, name, seen)
+    monkeypatch.setattr(tune, "search", lambda fit, space, train, val, trials, **options: (called.setdefault(space, (trials, options)), ({}, 0.0))[1])
+    for name in ("_features", "materialize"):
+        monkeypatch.setattr(pipelines, name, mock.MagicMock())
+    for owner, names in ((jobs, ("training_rows", "forecast_all")), (evaluation, ("rank_models", "regression_metrics")), (explain, ("top_features", "mean_abs_contribution")), (models, ("fit_ridge", "fit_forest")), (sinks, ("new_folder", "latest_metrics"))):
+        for name in names:
+            monkeypatch.setattr(owner, name, mock.MagicMock())
+    monkeypatch.setattr(models, "fit_boosted", lambda *a, **o: (called.__setitem__("fit_boosted", o), mock.MagicMock())[1])
+    for query in ("train_leaderboard", "recursive_forecast_trees", "explain_trees", "tune_ridge", "tune_boosted", "tune_forest"):
+        monkeypatch.setattr(pipelines, "at", mock.MagicMock())
+        pipelines.catalog.queries[query](None, None)
+    assert called["train"] == called["fit_boosted"] == called["explain_sample"] == called["sampled_contributions"] == {}
+    assert [called[s] for s in (tune.ridge_space, tune.boosted_space, tune.forest_space)] == [(10, {}), (15, {}), (10, {})]
