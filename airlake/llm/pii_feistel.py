@@ -28,8 +28,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "access_key": r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "hex_secret": r"(?<![A-Za-z0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])",
-    "secret": r"(?<=[=: \"'])(?<=(?i:password|passwd|secret|token|api_key|apikey)[=: \"']{1,4})[^\s\"',;]{8,128}",
+    "hex_secret": r"(?<![A-Za-z0-9])[0-9a-f]{32,}+(?![A-Za-z0-9])",
+    "secret": r"(?<=[=: \"'])(?<=(?i:password|passwd|secret|token|api_key|apikey)[=: \"']{1,4})[^\s\"',;]{8,}+",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![./-]?\d)",
@@ -38,6 +38,19 @@ PATTERNS = {
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![.-]?\d)",
 }
 ANY = "|".join(PATTERNS.values())
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    c: n
+    for n, lands in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in lands.split()
+}
+#: Most steps of the walk in ``_walked``; a step ends it with more than even chance.
+STEPS = 64
 #: What a text must have at least for a value of any kind.
 HINT = r"\d|@|(?i:password|passwd|secret|token|api_?key)"
 
@@ -46,8 +59,14 @@ def _int(x: Column) -> Column:
     return x.cast("int")
 
 
-def _digest(key: str, kind: Column, step: int, half: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), kind, F.lit(str(step)), half), 256)
+def _digest(key: str, kind: Column, step: Column, half: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), kind, step.cast("string"), half), 256)
+
+
+def _rounds(start: Column, step: Callable[[Column, Column], Column], inverse: bool) -> Column:
+    """``step`` for each round, as a fold: rounds nested in each other would be too deep for the analyzer."""
+    order = reversed(range(ROUNDS)) if inverse else range(ROUNDS)
+    return F.aggregate(F.array(*[F.lit(k) for k in order]), start, step)
 
 
 def _number(digest: Column, at: Column | int = 1, digits: int = 7) -> Column:
@@ -55,7 +74,7 @@ def _number(digest: Column, at: Column | int = 1, digits: int = 7) -> Column:
 
 
 def _chars(v: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(v)), lambda i: F.substr(v, i, F.lit(1)))
+    return F.split(v, "")
 
 
 HEX = "0123456789abcdef"
@@ -74,16 +93,16 @@ def permute_chars(v: Column, key: str, kind: Column, inverse: bool = False) -> C
         def back(c: Column, x: Column) -> Column:
             return F.when(hexa & (digit(c) | low(c)), F.substr(F.lit(HEX), x + 1, F.lit(1))).otherwise(F.coalesce(F.char(x + base(c)), c))
 
-        def one_step(r: Column, k: int):
-            def step(s: Column) -> Column:
-                half = _int(F.floor(F.size(s) / 2))
-                other = F.slice(s, half + 1, F.size(s) - half) if k % 2 == 0 else F.slice(s, F.lit(1), half)
+        def one_step(r: Column):
+            def step(s: Column, k: Column) -> Column:
+                half, even = _int(F.floor(F.size(s) / 2)), k % 2 == 0
+                other = F.when(even, F.slice(s, half + 1, F.size(s) - half)).otherwise(F.slice(s, F.lit(1), half))
 
                 def shifted(d: Column) -> Column:
                     def one(x: Column, i: Column) -> Column:
                         by = _int(_number(d, (i % 32) * 2 + 1, 2))
                         moved = F.pmod(x - by if inverse else x + by, F.get(r, i))
-                        return F.when((i < half) if k % 2 == 0 else (i >= half), moved).otherwise(x)
+                        return F.when((i < half) == even, moved).otherwise(x)
 
                     return F.transform(s, one)
 
@@ -93,9 +112,7 @@ def permute_chars(v: Column, key: str, kind: Column, inverse: bool = False) -> C
 
         def run(chars: Column) -> Column:
             def rounds(r: Column) -> Column:
-                s = F.transform(chars, value)
-                for k in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
-                    s = let(s, one_step(r, k))
+                s = _rounds(F.transform(chars, value), one_step(r), inverse)
                 return F.array_join(F.zip_with(chars, s, back), "")
 
             return let(F.transform(chars, radix), rounds)
@@ -108,20 +125,15 @@ def permute_chars(v: Column, key: str, kind: Column, inverse: bool = False) -> C
 def _two_halves(a: Column, b: Column, size_a: Column, size_b: Column, key: str, kind: Column, inverse: bool) -> Column:
     """Feistel on a pair of numbers below ``size_a`` and ``size_b``; a struct of both."""
 
-    def one_step(k: int):
-        own, other, size = ("a", "b", size_a) if k % 2 == 0 else ("b", "a", size_b)
-
-        def step(x: Column) -> Column:
+    def step(x: Column, k: Column) -> Column:
+        def moved(own: str, other: str, size: Column) -> Column:
             by = _number(_digest(key, kind, k, x[other].cast("string")))
-            moved = F.pmod(x[own] - by if inverse else x[own] + by, size).alias(own)
-            return F.struct(moved, x["b"].alias("b")) if own == "a" else F.struct(x["a"].alias("a"), moved)
+            return F.pmod(x[own] - by if inverse else x[own] + by, size).cast("long")
 
-        return step
+        first = F.struct(moved("a", "b", size_a).alias("a"), x["b"].alias("b"))
+        return F.when(k % 2 == 0, first).otherwise(F.struct(x["a"].alias("a"), moved("b", "a", size_b).alias("b")))
 
-    s = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
-    for k in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
-        s = let(s, one_step(k))
-    return s
+    return _rounds(F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), step, inverse)
 
 
 def _into(template: Column, digits: Column) -> Column:
@@ -221,6 +233,11 @@ def _prefix(v: Column) -> Column:
     return F.regexp_extract(v, r"^(?:\+\d{1,3}(?=[ .(-])|\+\d)?", 0)
 
 
+def _alone() -> dict[str, str]:
+    """Patterns of the value alone: what must come before and after it has been seen in the text."""
+    return {k: "^(?:" + _bare(p) + ")$" for k, p in PATTERNS.items()}
+
+
 def kind_of(v: Column) -> Column:
     """The kind of a found value, null where its check digits, ranges or calendar do not hold."""
     n = F.length(_digits(v))
@@ -231,8 +248,7 @@ def kind_of(v: Column) -> Column:
         "ssn": lambda v: ~v.rlike(r"^(?:000|666|9)|-00-|-0000$"),
         "card": lambda v: _luhn_sum(_digits(v), 1) % 10 == 0,
     }
-    # The value alone: what must come before and after it has been seen in the text.
-    alone = {k: "^(?:" + _bare(p) + ")$" for k, p in PATTERNS.items()}
+    alone = _alone()
     named = alone.pop("secret")
     out = None
     for kind, whole in alone.items():
@@ -284,6 +300,46 @@ def pseudonym(v: Column, kind: Column, key: str, inverse: bool = False) -> Colum
     return F.when(kind.isNull(), v).when(kind.isin("ip", "date", "ssn"), numbers).otherwise(chars)
 
 
+def _span(v: Column) -> Column:
+    """(kind, size) of the value within a match: all of it, or else the longest valid beginning of a card or an IBAN that ends
+    before a space or hyphen (a month, a security code or a currency stands behind it). Kind null: no value."""
+    alone = _alone()
+
+    def beginnings(size: Callable[[Column], Column], valid: Callable[[Column], Column]) -> Column:
+        ends = F.filter(F.sequence(F.length(v) - 1, F.lit(1), F.lit(-1)), lambda i: F.substr(v, i + 1, F.lit(1)).isin(" ", "-"))
+        return F.filter(ends, lambda i: let(F.substr(v, F.lit(1), i), lambda x: F.when(size(x), valid(x)).otherwise(False)))
+
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    card = beginnings(lambda x: F.length(_digits(x)).between(13, 19), lambda x: _luhn_sum(_digits(x), 1) % 10 == 0)
+    iban = beginnings(lambda x: F.length(F.replace(x, F.lit(" "), F.lit(""))) == F.try_element_at(lengths, F.substring(v, 1, 2)), _iban_valid)
+    span = lambda kind, size: F.struct(F.lit(kind).cast("string").alias("kind") if not isinstance(kind, Column) else kind.alias("kind"), size.alias("size"))
+    nothing = span(None, F.lit(0))
+
+    def first(kind: str, found: Column) -> Column:
+        return let(found, lambda x: F.when(F.size(x) > 0, span(kind, F.get(x, F.lit(0)))).otherwise(nothing))
+
+    cut = F.when(v.rlike(alone["card"]), first("card", card)).when(v.rlike(alone["iban"]), first("iban", iban)).otherwise(nothing)
+    return let(kind_of(v), lambda k: F.when(k.isNotNull(), span(k, F.length(v))).otherwise(cut))
+
+
+def _walked(v: Column, span: Column, key: str, inverse: bool) -> Column:
+    """The match with the pseudonym of its value.
+
+    A pseudonym may make a longer beginning valid by chance, and then could not be undone. So the value is permuted again
+    until the match has the same span as before, which is a permutation of the matches with that span.
+    """
+
+    def permuted(x: Column) -> Column:
+        return F.concat(pseudonym(F.substr(x, F.lit(1), span["size"]), span["kind"], key, inverse), F.substr(x, span["size"] + 1, F.length(x)))
+
+    def step(state: Column, _: Column) -> Column:
+        moved = lambda y: F.struct(y.alias("v"), (_span(y) == span).alias("done"))
+        return F.when(state["done"], state).otherwise(let(permuted(state["v"]), moved))
+
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(v.alias("v"), F.lit(False).alias("done")), step, lambda s: s["v"])
+    return F.when(span["size"] < F.length(v), walk).otherwise(pseudonym(v, span["kind"], key, inverse))
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: bool = False, count_col: str | None = None) -> DataFrame:
     """All rows and columns, with the values in ``text_col`` replaced; ``count_col`` gets how many were.
 
@@ -293,20 +349,15 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: boo
     """
     text = F.col(text_col)
 
-    def rebuilt(found: Column) -> Column:
-        between = F.split(text, ANY, -1)
-        marked = F.transform(found, lambda v: let(kind_of(v), lambda k: F.struct(pseudonym(v, k, key, inverse).alias("new"), k.isNotNull().alias("is"))))
-
-        def joined(m: Column) -> Column:
-            parts = F.transform(between, lambda p, i: F.concat(p, F.coalesce(F.get(m, i)["new"], F.lit(""))))
-            return F.struct(F.array_join(parts, "").alias("text"), F.size(F.filter(m, lambda x: x["is"])).alias("n"))
-
-        return F.when(F.size(found) > 0, let(marked, joined)).otherwise(F.struct(text.alias("text"), F.lit(0).alias("n")))
-
-    hinted = F.when(text.rlike(HINT), let(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), rebuilt))
-    name = "__pseudonymised"
-    out = docs.withColumn(name, hinted)
-    columns = {text_col: F.coalesce(F.col(name)["text"], text)}
+    found, spans, new = "__found", "__spans", "__new"
+    # One column after the other: the analyzer goes through nested lambdas level by level.
+    out = docs.withColumn(found, F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
+    out = out.withColumn(spans, F.transform(found, _span))
+    value = lambda v, s: F.when(s["kind"].isNull(), v).otherwise(_walked(v, s, key, inverse))
+    out = out.withColumn(new, F.zip_with(found, spans, value))
+    parts = F.transform(F.split(text, ANY, -1), lambda p, i: F.concat(p, F.coalesce(F.get(F.col(new), i), F.lit(""))))
+    columns = {text_col: F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(text)}
     if count_col:
-        columns[count_col] = F.coalesce(F.col(name)["n"], F.lit(0))
-    return out.withColumns(columns).drop(name)
+        columns[count_col] = F.coalesce(F.size(F.filter(spans, lambda s: s["kind"].isNotNull())), F.lit(0))
+        columns[count_col] = F.when(F.size(found) > 0, columns[count_col]).otherwise(0)
+    return out.withColumns(columns).drop(found, spans, new)

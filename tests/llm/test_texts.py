@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -71,6 +72,36 @@ def test_pseudonyms_of_odd_rows(docs, no_docs):
     assert pii_feistel.pseudonymise(no_docs, "k").count() == 0
 
 
+def test_long_secrets_and_values_with_a_group_behind(spark):
+    """Secrets are replaced to their last character, cards and IBANs also before other digits or letters; all can be undone."""
+    blob, hexa = "aB3" * 400, "0123456789abcdef" * 13
+    rows = [(0, f"token={blob} end", blob), (1, f"see {hexa}.", hexa), (2, "card 4111 1111 1111 1111 12/25", "4111 1111 1111 1111")]
+    rows += [(3, "4111111111111111 123", "4111111111111111"), (4, "BE68 5390 0754 7034 EUR", "BE68 5390 0754 7034"), (5, "4111 1111 1111 1112 12/25", None)]
+    many = random.Random(5)
+    for k in range(6, 300):
+        head = "4" + "".join(many.choice("0123456789") for _ in range(14))
+        card = next(head + c for c in "0123456789" if luhn(head + c))
+        rows.append((k, f"{card} {many.randint(1, 12):02d} {many.randint(0, 9)}", ""))
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    new = pii_feistel.pseudonymise(df, "key", count_col="n").cache()
+    back = {r["doc_id"]: r["text"] for r in pii_feistel.pseudonymise(new, "key", inverse=True).collect()}
+    got = {r["doc_id"]: r for r in new.collect()}
+    for k, text, value in rows:
+        assert back[k] == text and got[k]["n"] == (value is not None), text
+        if value is None:
+            assert got[k]["text"] == text
+        elif value:
+            at = text.index(value)
+            assert got[k]["text"][:at] == text[:at] and got[k]["text"][at + len(value) :] == text[at + len(value) :] and got[k]["text"] != text
+        else:
+            assert got[k]["text"] != text and len(got[k]["text"]) == len(text)
+    # More than the first 128 characters, and the last ones too.
+    for k, value in ((0, blob), (1, hexa)):
+        at = rows[k][1].index(value)
+        kept = [a == b for a, b in zip(value, got[k]["text"][at : at + len(value)])]
+        assert sum(kept[128:]) < 0.3 * len(kept[128:])
+
+
 ARTICLE = "<article><header>by x</header><h1>Title &amp; more</h1><p>First <b>bold<br>line<p>Second&nbsp;one<aside>note</aside><ul><li>a<li>b</ul><div class='ad-slot'>buy</div><section id=comments><p>me too</section>tail</article>"
 PAGE = "<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><nav><ul><li>Home</ul></nav><div class=cookie>ok?</div>{}<form>f</form><script>var t='</p>';</script><footer>&copy; x</footer></body></html>"
 
