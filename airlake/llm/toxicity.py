@@ -3,8 +3,8 @@
 1. Lexicon: words and word beginnings that stand in toxic labelled documents and hardly in others, counted by Spark.
 2. The lexicon is a trie. Its product with Levenshtein automata (one edit for words of five letters, two from nine) is made
    deterministic as it is walked, so a word costs about one look-up a letter, whatever the lexicon's size.
-3. Each hit is looked at in its window: in quotation marks, or next to words of saying and naming, it is a mention;
-   next to words of address it is aimed at someone. Counts of each sort go into a logistic model.
+3. Each hit is looked at in its window: next to words of address it is aimed at someone; if it is not, and in quotation marks
+   or next to words of saying and naming, it is a mention, which keeps a part of its weight. Counts of each sort go into a logistic model.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ MENTION = set("said say says called calls call quote quoted wrote writes word wo
 ADDRESS = set("you your you're u du dich dein deine ihr tu toi ton votre vous tú te usted eres".split())
 REACH = 4
 OPENING, CLOSING = "\"'“‘«„‹`", "\"'”’»“›`"
+#: Share of its weight that a mention keeps.
+MENTIONED = 0.25
 MEMO = 300_000
 THRESHOLD = 0.7
 _ENDS = re.compile(r"^[\W_]+|[\W_]+$")
@@ -142,13 +144,13 @@ def features(text: str, automaton: Automaton, memo: dict) -> tuple[float, ...]:
         if not hit:
             continue
         around = tokens[max(0, i - REACH) : i + REACH + 1]
-        if _quoted(tokens, i) or any(_ENDS.sub("", x) in MENTION for x in around):
-            mentioned += 1
-            continue
-        exact += hit[1] == 0
-        near += hit[1] > 0
-        weight += hit[2] / (1 + hit[1])
-        aimed += any(_ENDS.sub("", x) in ADDRESS for x in around)
+        at_someone = any(_ENDS.sub("", x) in ADDRESS for x in around)
+        mention = not at_someone and (_quoted(tokens, i) or any(_ENDS.sub("", x) in MENTION for x in around))
+        mentioned += mention
+        exact += not mention and hit[1] == 0
+        near += not mention and hit[1] > 0
+        weight += hit[2] / (1 + hit[1]) * (MENTIONED if mention else 1)
+        aimed += at_someone
     return math.log1p(exact), math.log1p(near), math.log1p(mentioned), math.log1p(aimed), math.log1p(weight), 100 * (exact + near) / (len(tokens) + 20)
 
 
@@ -207,9 +209,8 @@ class Model:
         words = best(counts, WORDS)
         begins = F.array_distinct(F.flatten(F.transform("w", lambda w: F.filter(F.array(*[F.when(F.length(w) > k, F.substring(w, 1, k)) for k in STEM_LENGTHS]), lambda x: x.isNotNull()))))
         stems = best(count(begins).filter(F.col("bad") >= 3 * MIN_DOCS), STEMS)
-        # A beginning counts only where several words share it and no shorter one does; words below it need no entry.
+        # A beginning counts only where several words share it and no shorter one does; words below it keep their edits.
         stems = {s: w for s, w in stems.items() if not any(s != t and s.startswith(t) for t in stems) and sum(x.startswith(s) for x in words) != 1}
-        words = {x: w for x, w in words.items() if not any(x.startswith(s) for s in stems)}
         # Words of clean documents that lie near an entry are no misspellings.
         self.words, self.stems, self.allowed = words, stems, set()
         near = counts.filter("good > 0").select("term").mapInPandas(self._near, "term string")

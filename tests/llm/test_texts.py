@@ -179,6 +179,28 @@ def test_mentions_are_not_attacks():
     assert hits("plain text")["weight"] == 0 and hits(None or "")["density"] == 0
 
 
+def test_inflected_terms_keep_their_edits(spark):
+    """A beginning that several words share does not switch the automaton off for them."""
+    forms = ["idiot", "idiots", "idiotic"]
+    rows = [(k, f"w{k} {forms[k % 3]} x{k}" if k % 2 else f"plain text {k} here") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, None)
+    automaton = toxicity.Automaton(model.words, model.stems, model.allowed)
+    assert "idio" in model.stems and set(forms) <= set(model.words)
+    assert automaton.match("idiotically")[:2] == ("idio", 0)
+    for word in ("ideot", "1diot", "idot"):
+        assert automaton.match(word)[:2] == ("idiot", 1), word
+
+
+def test_mentions_keep_a_part_of_their_weight():
+    automaton = toxicity.Automaton({"idiot": 8.0}, {})
+    hits = lambda t: dict(zip(toxicity.FEATURES, toxicity.features(t, automaton, {})))
+    aimed, mention, plain = hits("as I said you are an idiot"), hits("the word idiot is old"), hits("some idiot came by")
+    assert aimed["exact"] > 0 and aimed["mentioned"] == 0 and aimed["weight"] == plain["weight"]
+    assert 0 < mention["weight"] < plain["weight"] and mention["exact"] == 0
+
+
 def test_toxicity_on_held_out_rows(spark, docs):
     texts, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.learn(texts, labels)
