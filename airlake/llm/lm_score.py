@@ -130,12 +130,15 @@ def _find(keys: np.ndarray, values: np.ndarray, h: np.ndarray) -> tuple[np.ndarr
     return known, np.where(known, values[at], 1)
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", single: bool = False) -> DataFrame:
     """(``id_col``, n_words, score, mean): the sum of log10 scores and its mean over words.
 
     Texts that are null, empty or without words have 0 words, score 0 and no mean. Rows that repeat an id are one document:
     their words and scores are added up, pairs do not reach from one row to the next; rows without an id are one document
     too. An empty table gives an empty table. Other columns are not read.
+
+    With ``single``, pairs that occur once do not back off: a pair of a text that the table lacks has count 1, so it is scored
+    where the text is read, without a row to be joined.
     """
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     counts = count_table(docs)
@@ -166,6 +169,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             base += float((n * (np.log10(pair_often) + instead))[whole].sum())
             one, two = _bits(p)
             maybe = ~whole & ((bloom[one >> np.uint64(5)] >> (one & np.uint64(31)).astype(np.uint32)) & (bloom[two >> np.uint64(5)] >> (two & np.uint64(31)).astype(np.uint32)) & np.uint32(1)).astype(bool)
+            if single:
+                # The pair takes the second word's own count back and divides by that of the first.
+                once = ~whole & ~maybe
+                base += float((n * instead)[once].sum())
+                less = np.concatenate([h[first[once]], h[first[once] + 1]])
+                at, of = np.searchsorted(rare, less), np.concatenate([hot[first[once]], hot[first[once] + 1]])
+                np.subtract.at(rare_n, at[~of], np.concatenate([n[once], n[once]])[~of])
             p, first, n = p[maybe].view(np.int64), first[maybe], n[maybe]
             signed = h.view(np.int64)
             none = np.full(len(rare), None)
@@ -198,10 +208,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # Own rows must not meet in one partition, so a hash of their document deals them out; they take nothing from the table.
     keyed = ngrams.select("doc", F.coalesce("h", F.xxhash64("doc")).alias("key"), "n", "base", "known", "r1", "r2")
     table = counts.select(F.col("h").alias("key"), F.log10(F.col("n").cast("double")).alias("log"))
-    met = keyed.join(table, "key", "left").withColumn("seen", F.col("log").isNotNull() & F.col("base").isNull())
+    met = keyed.join(table, "key", "left").withColumn("seen", (F.lit(single) | F.col("log").isNotNull()) & F.col("base").isNull())
     word = ~own & (F.col("key") % 2 == 0)
     instead = F.lit(total - back) - F.log10(F.col("known").cast("double"))
-    gain = F.when(own, F.col("base")).when(word, F.col("n") * F.col("log")).when(F.col("seen"), F.col("n") * (F.col("log") + instead)).otherwise(0.0)
+    gain = F.when(own, F.col("base")).when(word, F.col("n") * F.col("log")).when(F.col("seen"), F.col("n") * (F.coalesce("log", F.lit(0.0)) + instead)).otherwise(0.0)
     rare = lambda c: F.when(F.col("seen") & F.col(c).isNotNull(), F.struct(F.col(c).alias("rare"), (-F.col("n").cast("double")).alias("times"), F.lit(0.0).alias("gain"), F.lit(0).cast("long").alias("words")))
     first = F.struct(F.lit(None).cast("long").alias("rare"), F.lit(0.0).alias("times"), gain.alias("gain"), F.when(own, F.col("n")).otherwise(0).cast("long").alias("words"))
     parts = met.select("doc", F.explode(F.filter(F.array(first, rare("r1"), rare("r2")), lambda x: x.isNotNull())).alias("x")).select("doc", "x.*")

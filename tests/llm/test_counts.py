@@ -103,5 +103,19 @@ def test_scores_equal_brute_force(docs, monkeypatch, hot):
         assert got[i][2] is None if n == 0 else got[i][2] == pytest.approx(total / n)
 
 
+@pytest.mark.parametrize("hot", [200_000, 5])
+def test_single_pairs_are_scored(docs, monkeypatch, hot):
+    """All pairs count, also those that occur once."""
+    for name, value in (("HOT", hot), ("HOT_PAIRS", hot)):
+        monkeypatch.setattr(lm_score, name, value)
+    got = {r["doc_id"]: (r["n_words"], r["score"]) for r in lm_score.score(docs, single=True).collect()}
+    cut = backoff(cases.ROWS)
+    monkeypatch.setattr(lm_score, "MIN_COUNT", 1)
+    want = backoff(cases.ROWS)
+    assert set(got) == set(want) and want != cut
+    for i, (n, total) in want.items():
+        assert got[i][0] == n and got[i][1] == pytest.approx(total, abs=1e-6)
+
+
 def test_scores_of_no_rows(no_docs):
     assert lm_score.score(no_docs).count() == 0
