@@ -158,3 +158,14 @@ def op2_wrapper_induction(spark, folder):
     from airlake.llm import html_extract as X
 
     return X.extract(table(spark, folder, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+#: One run in so many gets a planted error.
+MISSPELL = 31
+
+
+@add("op13_spelling_variants")
+def op13_spelling_variants(spark, folder):
+    from airlake.llm import spelling as S
+
+    return S.spelling_variants(table(spark, folder, "documents"), misspell=MISSPELL)
