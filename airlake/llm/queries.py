@@ -169,3 +169,61 @@ def op13_spelling_variants(spark, folder):
     from airlake.llm import spelling as S
 
     return S.spelling_variants(table(spark, folder, "documents"), misspell=MISSPELL)
+
+
+OP11_SQL = f"""with d as (select doc_id, {_WORDS} as w from documents), b as (select item_id, {_WORDS} as w from benchmark),
+q as (select distinct item_id, unnest(w) as term from b),
+n as (select doc_id, len(w) as n from d where len(w) > 0), g as (select count(*) as docs, cast(sum(n) as bigint) as total from n),
+t as (select doc_id, term, count(*) as tf from (select doc_id, unnest(w) as term from d) where term in (select term from q) group by all),
+v as (select term, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) as bigint) as weight from t, g group by term),
+s as (select item_id, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total)))) as bigint) as score
+  from q join v using (term) join t using (term) join n using (doc_id), g group by item_id, doc_id),
+r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as int) as rank, doc_id, score from s where score > 0)
+select * from r where rank <= 10"""
+
+
+@add("op11_hybrid_search", OP11_SQL)
+def op11_hybrid_search(spark, folder):
+    from airlake.llm import lexical_search as R
+
+    return R.ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def _op12_sql() -> str:
+    """The index and the templates as rows; one occurrence of an indexed word joins all its postings."""
+    from airlake.llm import license_scan as L
+
+    index = L.positional_index(L.TEMPLATES)
+    postings = ", ".join(f"('{p.word}', {p.template}, {p.place}, cast({p.weight} as double))" for p in index)
+    rows = []
+    for k, t in enumerate(L.TEMPLATES):
+        own = [p.weight for p in index if p.template == k]
+        keys = ", ".join(f"' {' '.join(L.plain_words(x))} '" for x in t.keys)
+        rows.append(f"({k}, '{t.label}', {len(L.plain_words(t.text))}, {min(L.AGREE, len(own))}, cast({sum(own)} as double), [{keys}])")
+    phrases = ", ".join(f"({L.plain_words(p)}, '{label}')" for p, label in L.NAMES)
+    return f"""with d as (select doc_id, {_WORDS} as w from documents),
+p(word, template, place, weight) as (values {postings}),
+t(template, label, size, need, total, keys) as (values {", ".join(rows)}),
+b(phrase, label) as (values {phrases}),
+o as (select doc_id, i - 1 as pos, w[i] as word from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d)),
+g as (select doc_id, template, pos - place as start, count(*) as n, sum(weight) as weight from o join p using (word) group by all),
+v as (select g.doc_id, label, round(weight / total, 6) as share from g join t using (template) join d using (doc_id) where n >= need
+  and len(list_filter(keys, lambda k: not contains(' ' || array_to_string(list_slice(w, greatest(start - {L.SLACK}, 0) + 1, start + size + {L.SLACK}), ' ') || ' ', k))) = 0),
+s as (select o.doc_id, pos, label from o join b on o.word = phrase[1] join d using (doc_id) where list_slice(w, pos + 1, pos + len(phrase)) = phrase),
+bs as (select doc_id, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, string_agg(distinct label, ',' order by label) as base_labels from s group by doc_id),
+al as (select doc_id, string_agg(distinct label, ',' order by label) as labels from (select doc_id, label from s union select doc_id, label from v) group by doc_id),
+vs as (select doc_id, max(share) as share from v group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels,
+  coalesce(labels, '') as labels, greatest(coalesce(share, 0.0), case when n_base > 0 then {L.NAMED} else 0.0 end) as score
+from d left join bs using (doc_id) left join al using (doc_id) left join vs using (doc_id)"""
+
+
+OP12_SQL = _op12_sql()
+
+
+@add("op12_license_scan", OP12_SQL)
+def op12_license_scan(spark, folder):
+    from airlake.llm import license_scan as L
+
+    found = L.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
