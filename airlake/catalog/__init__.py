@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _catalogs():
-    from airlake.catalog import forecasts, pipelines, rows, summaries
+    from airlake.catalog import forecasts, modelling, pipelines, rows, summaries
 
-    return [rows.catalog, summaries.catalog, forecasts.catalog, pipelines.catalog]
+    return [rows.catalog, summaries.catalog, forecasts.catalog, pipelines.catalog, modelling.catalog]
 
 
 def all_queries():

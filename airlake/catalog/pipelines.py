@@ -8,7 +8,7 @@ from airlake import schema as S
 from airlake.catalog.base import Catalog, at, rounded
 from airlake.catalog.rows import _BATCHES, _FLOATS, INNER, _batches, _hourly, features_out_sql
 from airlake.operators import aggregates as A
-from airlake.operators import align, evaluation, explain, features, forecast, models
+from airlake.operators import align, evaluation, explain, features, forecast
 from airlake.plans import jobs
 from airlake.session import materialize
 from airlake.sources import landed, sinks, store
@@ -263,64 +263,7 @@ def stream_stateful_lags(spark, folder):
     return rounded(rows, "aqi_rolling_mean_24h", "aqi_rolling_std_24h", "aqi_change_rate")
 
 
-# --- models ---------------------------------------------------------------
-
-@add("train_leaderboard")
-def train_leaderboard(spark, folder):
-    """The three models and persistence, scored on the newest tenth of every station."""
-    root, log = sinks.new_folder(spark, "registry"), sinks.new_folder(spark, "metrics")
-    jobs.train(_features(spark, folder), root, log, at("2024-02-01"))
-    return evaluation.rank_models(sinks.latest_metrics(spark, log))
-
-
-def _tuned(spark, folder, search, fit):
-    """A whole search, and its best parameters scored on the newest rows."""
-    rows = jobs.training_rows(_features(spark, folder))
-    train = rows.where("part = 'train'")
-    found, _ = search(train, rows.where("part = 'val'"))
-    scored = fit(train, **found).transform(rows.where("part = 'test'"))
-    return evaluation.regression_metrics(scored, S.LABEL, "prediction", ["station"])
-
-
-@add("tune_ridge")
-def tune_ridge(spark, folder):
-    from airlake.operators import tune
-
-    return _tuned(spark, folder, tune.tune_ridge, models.fit_ridge)
-
-
-@add("tune_boosted")
-def tune_boosted(spark, folder):
-    from airlake.operators import tune
-
-    return _tuned(spark, folder, tune.tune_boosted, models.fit_boosted)
-
-
-@add("tune_forest")
-def tune_forest(spark, folder):
-    from airlake.operators import tune
-
-    return _tuned(spark, folder, tune.tune_forest, models.fit_forest)
-
-
-def _boosted(table):
-    rows = jobs.training_rows(table)
-    return models.fit_boosted(rows.where("part = 'train'"))
-
-
-@add("recursive_forecast_trees")
-def recursive_forecast_trees(spark, folder):
-    """Boosted trees rolled forward over all stations at once."""
-    table = _features(spark, folder)
-    return jobs.forecast_all(table, {"xgboost": _boosted(table)})["hourly"]
-
-
-@add("explain_trees")
-def explain_trees(spark, folder):
-    table = _features(spark, folder)
-    background, rows = explain.explain_sample(table)
-    phi = explain.sampled_contributions(materialize(rows, "rows"), materialize(background, "background"), _boosted(table).transform)
-    return explain.top_features(explain.mean_abs_contribution(phi))
+# --- attributions of linear models ---------------------------------------
 
 
 #: A coefficient for each of the 35 features, of different size and sign.

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from airlake import schema as S
 from airlake.functions import scalars as X
 from airlake.operators import align
+from airlake.operators.trees import Ensemble
 
 # --- grid -----------------------------------------------------------------
 
@@ -196,6 +200,33 @@ def recursive_forecast(
     rides along as an array, so the steps need no join and no exchange. The lineage is cut by a
     reliable checkpoint in the shared folder every few steps.
     """
+    state = _start(history, last, weather, n_steps, keys, compat)
+    state = state.withColumns({"_p": F.array().cast("array<double>"), "_done": F.lit(0)})
+    state_columns = state.columns
+
+    # The step is a column, so every step has the same expressions and Spark compiles them once.
+    row = _known(F.col("_done"), compat)
+    row["_day"] = day_statistics(F.col("history"), compat)
+    lags = history_features(F.col("history"), {c: F.col(c) for c in S.DERIVED}, compat, F.col("_day"))
+    p = F.col(prediction).cast("double")
+    after = {"history": _appended(p), "_p": F.concat("_p", F.array(p)), "_done": F.col("_done") + 1}
+
+    for step in range(1, n_steps + 1):
+        predicted = model_transform(state.withColumns(row).withColumns(lags))
+        state = predicted.withColumns(after).select(*state_columns)
+        if step % checkpoint_every == 0 and step < n_steps:
+            state = state.checkpoint()
+    return state.select(*keys, F.posexplode("_p").alias("_i", "p")).select(*keys, (F.col("_i") + 1).alias("step"), "p")
+
+
+def _appended(p: Column) -> Column:
+    """History with one more value, cut to the rows the features look at."""
+    longer = F.concat("history", F.array(p))
+    return F.slice(longer, F.greatest(F.size(longer) - S.LOOKBACK_HOURS + 1, F.lit(1)), F.lit(S.LOOKBACK_HOURS))
+
+
+def _start(history: DataFrame, last: DataFrame, weather: DataFrame | None, n_steps: int, keys: Sequence[str], compat: bool) -> DataFrame:
+    """A row per station: history, time and features of the last row, and the weather of each step as an array."""
     grid = forecast_grid(last, n_steps, keys).select(*keys, "step", S.TS)
     if weather is None:
         known = last.select(*keys, *[F.col(c).cast("double") for c in S.WEATHER])
@@ -214,33 +245,82 @@ def recursive_forecast(
     state = history.select(*keys, "history").join(first, list(keys)).join(ahead, list(keys))
     # The row that predicts step s describes the hour before it; with compat the hour itself.
     weather_rows = F.col("_ahead") if compat else F.concat(F.array("_now"), F.col("_ahead"))
-    state = _spread(state.withColumn("_ahead", weather_rows).drop("_now"), keys)
-    state = state.withColumns({"_p": F.array().cast("array<double>"), "_done": F.lit(0)})
-    state_columns = state.columns
+    return _spread(state.withColumn("_ahead", weather_rows).drop("_now"), keys)
 
-    # The step is a column, so every step has the same expressions and Spark compiles them once.
-    hour = F.col("base_ts") + F.make_interval(hours=F.col("_done") + F.lit(1 if compat else 0))
-    wx = {c: F.col("_ahead")[F.col("_done")][c] for c in S.WEATHER}
+
+def _known(done: Column, compat: bool) -> dict[str, Column]:
+    """The features of a step that do not depend on the forecast itself; ``done`` is the number of steps before it."""
+    hour = F.col("base_ts") + F.make_interval(hours=done + F.lit(1 if compat else 0))
+    wx = {c: F.get("_ahead", done)[c] for c in S.WEATHER}
     row = {**{c: v.cast("double") for c, v in X.calendar(hour).items()}, **wx}
     if not compat:
         row |= {c: v.cast("double") for c, v in X.month_flags(hour).items()}
         row["wind_from_east"] = X.wind_from_east(wx["wind_direction_10m"]).cast("double")
         row["wind_x_pm25"] = wx["wind_speed_10m"] * F.col("pm2_5")
     row["temp_x_humidity"] = wx["temperature_2m"] * wx["relative_humidity_2m"] / F.lit(1.0 if compat else 100.0)
-    row["_day"] = day_statistics(F.col("history"), compat)
-    lags = history_features(F.col("history"), {c: F.col(c) for c in S.DERIVED}, compat, F.col("_day"))
-    p = F.col(prediction).cast("double")
-    after = {"history": _appended(p), "_p": F.concat("_p", F.array(p)), "_done": F.col("_done") + 1}
-
-    for step in range(1, n_steps + 1):
-        predicted = model_transform(state.withColumns(row).withColumns(lags))
-        state = predicted.withColumns(after).select(*state_columns)
-        if step % checkpoint_every == 0 and step < n_steps:
-            state = state.checkpoint()
-    return state.select(*keys, F.posexplode("_p").alias("_i", "p")).select(*keys, (F.col("_i") + 1).alias("step"), "p")
-
+    return row
+
+
+def _recent(values: np.ndarray, size: np.ndarray, end: int, frozen: dict[str, np.ndarray], compat: bool) -> dict[str, np.ndarray]:
+    """``history_features`` for many stations at once; row i has ``size[i]`` values before column ``end``."""
+    day = values[:, end - S.ROLLING_ROWS : end]
+    mean = np.zeros(len(values))
+    for k in range(S.ROLLING_ROWS):
+        mean = mean + day[:, k]
+    mean, squares = mean / S.ROLLING_ROWS, np.zeros(len(values))
+    for k in range(S.ROLLING_ROWS):
+        squares = squares + (day[:, k] - mean) * (day[:, k] - mean)
+    full, shift = size >= S.ROLLING_ROWS, 0 if compat else 1
+    out = {"aqi_rolling_mean_24h": (mean, full), "aqi_rolling_std_24h": (np.sqrt(squares / (S.ROLLING_ROWS - (0 if compat else 1))), full)}
+    out["aqi_change_rate"] = (values[:, end - 1] - values[:, end - 4]) / 3.0, size >= 4
+    out |= {f"aqi_lag_{k}h": (values[:, end - k - shift], size >= k + shift) for k in S.LAGS}
+    return {c: np.where(fine, v, frozen[c]) for c, (v, fine) in out.items()}
+
+
+def rollout(
+    trees: Ensemble,
+    history: DataFrame,
+    last: DataFrame,
+    weather: DataFrame | None = None,
+    n_steps: int = S.FORECAST_HOURS,
+    keys: Sequence[str] = S.KEYS,
+    compat: bool = False,
+) -> DataFrame:
+    """What ``recursive_forecast`` gives for a tree model, in one pass.
 
-def _appended(p: Column) -> Column:
-    """History with one more value, cut to the rows the features look at."""
-    longer = F.concat("history", F.array(p))
-    return F.slice(longer, F.greatest(F.size(longer) - S.LOOKBACK_HOURS + 1, F.lit(1)), F.lit(S.LOOKBACK_HOURS))
+    What is known of all steps is computed by expressions and rides along as an array of numbers; the trees' arrays are broadcast
+    after a check of their size. A task then walks its stations' steps together, each step one prediction of all of them.
+    """
+    shared = last.sparkSession.sparkContext.broadcast(trees.checked())
+    names, moving = list(trees.features), [c for c in S.DERIVED if c.startswith("aqi_")]
+
+    def step(done: Column) -> Column:
+        known = _known(done, compat)
+        return F.array(*[known[c] if c in known else F.lit(0.0) if c in moving else F.col(c) for c in names])
+
+    steps = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n_steps - 1)), step))
+    state = _start(history, last, weather, n_steps, keys, compat)
+    state = state.select(*keys, "history", F.array(*moving).alias("_frozen"), steps.alias("_steps"))
+    place = {c: names.index(c) for c in moving if c in names}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            n, start = len(batch), max(S.LOOKBACK_HOURS, *(len(h) for h in batch["history"]))
+            rows = np.stack(batch["_steps"].to_numpy()).astype(np.float64).reshape(n, n_steps, len(names))
+            frozen = dict(zip(moving, np.stack(batch["_frozen"].to_numpy()).astype(np.float64).T))
+            values, size = np.full((n, start + n_steps), np.nan), np.array([len(h) for h in batch["history"]])
+            for i, h in enumerate(batch["history"]):
+                values[i, start - len(h) : start] = h
+            for s in range(n_steps):
+                for c, v in _recent(values, size + s, start + s, frozen, compat).items():
+                    if c in place:
+                        rows[:, s, place[c]] = v
+                values[:, start + s] = model.predict(rows[:, s])
+            out = batch[list(keys)].loc[batch.index.repeat(n_steps)].reset_index(drop=True)
+            yield out.assign(step=np.tile(np.arange(1, n_steps + 1, dtype=np.int32), n), p=values[:, start:].ravel())
+
+    kept = T.StructType([last.schema[k] for k in keys] + [T.StructField("step", T.IntegerType()), T.StructField("p", T.DoubleType())])
+    return state.mapInPandas(run, kept)

@@ -1,4 +1,4 @@
-"""Regressors for the next hour, as Spark ML pipelines on the feature columns."""
+"""Regressors for the next hour on the feature columns: Spark ML pipelines, and boosted trees of this package."""
 
 from __future__ import annotations
 
@@ -7,12 +7,14 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PolynomialExpansion, SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airlake import schema as S
+from airlake.operators import boosting
 from airlake.operators.evaluation import persistence_baseline, regression_metrics
+from airlake.operators.trees import Ensemble
 
 log = logging.getLogger(__name__)
 
@@ -64,13 +66,15 @@ def fit_forest(train: DataFrame, features: Sequence[str] = S.FEATURES, label: st
 
 def fit_boosted(
     train: DataFrame, features: Sequence[str] = S.FEATURES, label: str = S.LABEL, held_out: str | None = None, **params
-) -> PipelineModel:
-    """Boosted trees; ``held_out`` names a flag column whose rows decide when to stop."""
-    params = {**S.BOOSTED_PARAMS, **params}
-    boosted = GBTRegressor(labelCol=label, **params)
-    if held_out:
-        boosted = boosted.setValidationIndicatorCol(held_out)
-    return Pipeline(stages=[assembler(features), boosted]).fit(train)
+) -> Ensemble:
+    """Boosted trees; ``held_out`` names a flag column whose rows decide when to stop.
+
+    Without one, the last tenth of each series does, if the rows are series; ``patience=0`` fits all rounds on all rows.
+    """
+    chosen = boosting.Params(**{**S.BOOSTED_PARAMS, **params})
+    if held_out is None and chosen.patience and {*S.KEYS, S.TS} <= set(train.columns):
+        train, held_out = early_stop_flag(train), "held_out"
+    return boosting.fit(train, features, label, held_out, chosen)
 
 
 def early_stop_flag(train: DataFrame, share: float = 0.1, keys: Sequence[str] = S.KEYS) -> DataFrame:
@@ -81,8 +85,10 @@ def early_stop_flag(train: DataFrame, share: float = 0.1, keys: Sequence[str] =
     return out.withColumn("held_out", F.col("pos") >= F.floor(F.col("n_rows") * F.lit(1 - share))).drop("pos", "n_rows")
 
 
-def importances(model: PipelineModel, features: Sequence[str] = S.FEATURES) -> list[tuple[str, float]]:
+def importances(model: PipelineModel | Ensemble, features: Sequence[str] = S.FEATURES) -> list[tuple[str, float]]:
     """(feature, importance) of a tree model, largest first."""
+    if isinstance(model, Ensemble):
+        return model.importances()
     values = model.stages[-1].featureImportances.toArray()
     return sorted(zip(features, (float(v) for v in values)), key=lambda p: -p[1])
 
@@ -92,12 +98,12 @@ def importance_table(spark, model: PipelineModel, features: Sequence[str] = S.FE
     return spark.createDataFrame(importances(model, features), "feature string, importance double")
 
 
-FITS: dict[str, Callable[..., PipelineModel]] = {"ridge": fit_ridge, "random_forest": fit_forest, "xgboost": fit_boosted}
+FITS: dict[str, Callable[..., PipelineModel | Ensemble]] = {"ridge": fit_ridge, "random_forest": fit_forest, "xgboost": fit_boosted}
 
 
 def train_all(
     split: DataFrame, params: Mapping[str, Mapping] | None = None, features: Sequence[str] = S.FEATURES
-) -> tuple[dict[str, PipelineModel], DataFrame]:
+) -> tuple[dict[str, PipelineModel | Ensemble], DataFrame]:
     """Fit the three models on ``part = train`` and score them, and persistence, on ``part = test``.
 
     Input is what ``chrono_split`` gives. A model that fails is left out and logged.
@@ -106,7 +112,7 @@ def train_all(
     # The split is a written table: each fit scans the columns it needs, and nothing stays cached.
     train = split.where("part = 'train'").select(*columns)
     test = split.where("part = 'test'").select(*columns)
-    models: dict[str, PipelineModel] = {}
+    models: dict[str, PipelineModel | Ensemble] = {}
     scores = persistence_baseline(test)
     for name, fit in FITS.items():
         try:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from airlake import schema as S
 from airlake.functions import scalars as X
 from airlake.operators import aggregates as A
-from airlake.operators import align, evaluation, features, forecast, models, quality, series
+from airlake.operators import align, evaluation, features, forecast, models, quality, series, trees
 from airlake.operators import explain as attribution
 from airlake.operators import tune as T
 from airlake.session import materialize
@@ -178,7 +178,7 @@ def train(
 
 def forecast_all(
     features_table: DataFrame,
-    fitted: Mapping[str, PipelineModel],
+    fitted: Mapping[str, PipelineModel | trees.Ensemble],
     weather: DataFrame | None = None,
     model: str | None = None,
     compat: bool = False,
@@ -195,7 +195,11 @@ def forecast_all(
         if name not in fitted:
             continue
         try:
-            p = forecast.recursive_forecast(fitted[name].transform, open_history, last, weather, steps, compat=compat)
+            tree_model = as_trees(fitted[name], features_table.sparkSession)
+            if tree_model is None:
+                p = forecast.recursive_forecast(fitted[name].transform, open_history, last, weather, steps, compat=compat)
+            else:
+                p = forecast.rollout(tree_model, open_history, last, weather, steps, compat=compat)
             p = materialize(p.withColumn("model", F.lit(name)), "candidates")
         except Exception:
             log.exception("forecast by %s failed", name)
@@ -210,17 +214,35 @@ def forecast_all(
     return answer(candidates, last, model, compat)
 
 
-def explain(features_table: DataFrame, model: PipelineModel, days: int = 30, samples: int = 50) -> DataFrame:
+def as_trees(model: PipelineModel | trees.Ensemble, spark) -> trees.Ensemble | None:
+    """A tree model as arrays; None for other models and for trees too large to be sent to every executor."""
+    if isinstance(model, trees.Ensemble):
+        return model
+    if type(getattr(model, "stages", [None])[-1]).__name__ != "RandomForestRegressionModel":
+        return None
+    try:
+        return trees.from_ml(model, spark)
+    except ValueError:
+        log.warning("trees are too large for arrays; they are asked through transform")
+        return None
+
+
+def explain(features_table: DataFrame, model: PipelineModel | trees.Ensemble, days: int = 30, samples: int = 50) -> DataFrame:
     """(feature, importance), largest first: mean absolute attribution of the newest rows.
 
-    Rows and background are taken from the last ``days`` days. If the attributions fail, a tree
-    model's own importances stand in, as a log line says.
+    Rows and background are taken from the last ``days`` days. Attributions of trees are exact, those of other models
+    sampled. If they fail, a tree model's own importances stand in, as a log line says.
     """
     newest = features_table.agg(F.max(S.TS).alias("at"))
     recent = features_table.join(F.broadcast(newest), F.col(S.TS) >= F.col("at") - F.make_interval(days=F.lit(days))).drop("at")
     background, rows = (materialize(d, "explained") for d in attribution.explain_sample(recent))
     try:
-        phi = materialize(attribution.sampled_contributions(rows, background, model.transform, samples=samples), "contributions")
+        tree_model = as_trees(model, features_table.sparkSession)
+        if tree_model is None:
+            phi = attribution.sampled_contributions(rows, background, model.transform, samples=samples)
+        else:
+            phi = trees.tree_contributions(rows, tree_model)
+        phi = materialize(phi, "contributions")
     except Exception:
         log.exception("attributions failed; importances of the model stand in")
         return attribution.top_features(models.importance_table(features_table.sparkSession, model))

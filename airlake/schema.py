@@ -102,14 +102,7 @@ BASELINE = "persistence_baseline"
 # Default model parameters.
 FOREST_PARAMS = {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 5, "featureSubsetStrategy": "all", "seed": 42}
 RIDGE_PARAMS = {"alpha": 1.0, "degree": 2}
-BOOSTED_PARAMS = {
-    "maxIter": 300,
-    "maxDepth": 8,
-    "stepSize": 0.05,
-    "subsamplingRate": 0.8,
-    "featureSubsetStrategy": "0.8",
-    "seed": 42,
-}
+BOOSTED_PARAMS = {"rounds": 300, "depth": 8, "rate": 0.05, "rows": 0.8, "columns": 0.8, "patience": 10, "seed": 42}
 
 FEATURE_TABLE = T.StructType(
     [T.StructField("station", T.StringType(), False), T.StructField(TS, T.TimestampNTZType(), False)]

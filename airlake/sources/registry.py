@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from airlake import schema as S
 from airlake.operators.evaluation import best_model, latest_versions
+from airlake.operators.trees import Ensemble
 from airlake.sources.store import exists
 
 
@@ -19,14 +20,23 @@ def read_registry(spark: SparkSession, root: str) -> DataFrame:
 
 
 def register(
-    model: PipelineModel, root: str, name: str, metrics: Mapping[str, float], features: Sequence[str], created: Column, spark: SparkSession
+    model: PipelineModel | Ensemble, root: str, name: str, metrics: Mapping[str, float], features: Sequence[str], created: Column, spark: SparkSession
 ) -> int:
-    """Save the model under the next version and append its entry; returns the version."""
+    """Save the model under a version of its own and append its entry last; returns the version.
+
+    Whoever creates a version's folder has it: a writer that comes second takes the next number, so no two models share
+    one and none is overwritten. A writer that fails on the way leaves a number without an entry.
+    """
     entries = read_registry(spark, root)
     newest = entries.where(F.col("model_name") == name).agg(F.max("version")).first()[0]
     version = (newest or 0) + 1
+    while not claim(spark, f"{root}/claims/{name}/v{version}"):
+        version += 1
     path = f"{root}/models/{name}/v{version}"
-    model.write().overwrite().save(path)
+    if isinstance(model, Ensemble):
+        model.save(spark, path)
+    else:
+        model.write().save(path)
     row = spark.createDataFrame(
         [(name, version, {k: float(v) for k, v in metrics.items()}, None, list(features), path)], S.REGISTRY_TABLE
     )
@@ -43,15 +53,36 @@ def entry(spark: SparkSession, root: str, name: str, version: int | None = None)
     return found
 
 
-def load(spark: SparkSession, root: str, name: str, version: int | None = None) -> PipelineModel:
-    return PipelineModel.load(entry(spark, root, name, version)["path"])
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file unless it is there; whether this call created it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(at.getParent())
+    if system.getUri().getScheme() == "file":
+        # Hadoop's local files look first and create then; making a directory is one step.
+        return spark._jvm.java.io.File(at.toUri().getPath()).mkdir()
+    try:
+        system.create(at, False).close()
+    except Exception:
+        if system.exists(at):
+            return False
+        raise
+    return True
+
+
+def load_saved(spark: SparkSession, path: str) -> PipelineModel | Ensemble:
+    return Ensemble.load(spark, path) if exists(spark, f"{path}/nodes") else PipelineModel.load(path)
+
+
+def load(spark: SparkSession, root: str, name: str, version: int | None = None) -> PipelineModel | Ensemble:
+    return load_saved(spark, entry(spark, root, name, version)["path"])
 
 
-def load_best(spark: SparkSession, root: str) -> tuple[str, PipelineModel]:
+def load_best(spark: SparkSession, root: str) -> tuple[str, PipelineModel | Ensemble]:
     found = best_model(read_registry(spark, root)).first()
     if found is None:
         raise LookupError("no model registered")
-    return found["model_name"], PipelineModel.load(found["path"])
+    return found["model_name"], load_saved(spark, found["path"])
 
 
 def explain_choice(registry: DataFrame, preferred: Sequence[str] = ("xgboost", "random_forest")) -> DataFrame:

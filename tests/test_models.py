@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from airlake import schema as S
-from airlake.catalog import pipelines
 from airlake.operators import evaluation, explain, features, forecast, models, tune
 from airlake.plans import jobs
 from airlake.sources import sinks
@@ -39,13 +38,12 @@ def test_ridge_equals_the_closed_form(spark, regression):
 def test_trees_beat_the_mean_and_give_importances(spark, regression):
     df = spark.createDataFrame(regression)
     train, test = df.where("part = 'train'"), df.where("part = 'test'")
-    for fit, small in ((models.fit_forest, {"numTrees": 10, "maxDepth": 5}), (models.fit_boosted, {"maxIter": 10, "maxDepth": 3})):
+    for fit, small in ((models.fit_forest, {"numTrees": 10, "maxDepth": 5}), (models.fit_boosted, {"rounds": 10, "depth": 3})):
         model = fit(train, NAMES, "y", **small)
         assert evaluation.regression_metrics(model.transform(test), "y", "prediction").first().r2 > 0
         top = models.importances(model, NAMES)
         assert {n for n, _ in top} == set(NAMES) and abs(sum(v for _, v in top) - 1) < 1e-9 and top[-1][1] >= 0
-        if fit is models.fit_forest:  # boosting counts every tree alike, so noise fitted late weighs as much
-            assert top[0][0] == "feature_0"
+        assert top[0][0] == "feature_0"
 
 
 def test_early_stopping_uses_the_last_rows(spark):
@@ -53,8 +51,11 @@ def test_early_stopping_uses_the_last_rows(spark):
     df = spark.createDataFrame(rows, "station string, ts timestamp_ntz, x double, y double")
     flagged = models.early_stop_flag(df)
     assert flagged.where("held_out").agg(F.min("ts"), F.count("*")).first()[1] == 5
-    model = models.fit_boosted(flagged, ["x"], "y", held_out="held_out", maxIter=30, maxDepth=2, validationTol=0.0001, subsamplingRate=1.0, featureSubsetStrategy="all")
-    assert model.stages[-1].getNumTrees <= 30
+    model = models.fit_boosted(flagged, ["x"], "y", held_out="held_out", rounds=30, depth=2)
+    assert 0 < len(model.roots) <= 30
+    # Series are flagged without being asked.
+    again = models.fit_boosted(df, ["x"], "y", rounds=30, depth=2)
+    assert np.array_equal(again.value, model.value)
 
 
 def test_search_is_seeded_and_scores_validation(spark, regression):
@@ -148,7 +149,7 @@ def test_training_registers_and_scores(spark):
     pdf = raw_hours("2025-01-01", 300, False)
     table = features.engineer(spark_hours(spark, pdf))
     root, log = sinks.new_folder(spark, "t-reg"), sinks.new_folder(spark, "t-log")
-    small = {"random_forest": {"numTrees": 3, "maxDepth": 3}, "xgboost": {"maxIter": 2, "maxDepth": 2}, "ridge": {"degree": 1}}
+    small = {"random_forest": {"numTrees": 3, "maxDepth": 3}, "xgboost": {"rounds": 2, "depth": 2}, "ridge": {"degree": 1}}
     scores = jobs.train(table, root, log, F.lit(dt.datetime(2025, 2, 1)), params=small).toPandas()
     assert set(scores["model"]) == {*S.MODEL_CHAIN, S.BASELINE} and scores["rmse"].is_monotonic_increasing
     from airlake.sources import registry
@@ -156,31 +157,53 @@ def test_training_registers_and_scores(spark):
     entries = registry.read_registry(spark, root).collect()
     assert {e["model_name"]: e["version"] for e in entries} == {m: 1 for m in S.MODEL_CHAIN}
     assert all(len(e["feature_list"]) == 35 for e in entries)
+    assert type(registry.load(spark, root, "xgboost")).__name__ == "Ensemble"
     with pytest.raises(ValueError):
         jobs.train(features.engineer(spark_hours(spark, pdf.head(60))), root, log, F.lit(dt.datetime(2025, 2, 2)))
 
 
-def test_registered_model_queries_do_the_whole_job(monkeypatch):
-    """No smaller models, samples or searches than the operators' defaults."""
-    from unittest import mock
+def test_registered_searches_and_fits_use_the_defaults(monkeypatch):
+    """No smaller models or searches than the operators' defaults."""
+    from airlake.catalog import modelling
+    from airlake.operators import boosting
 
-    assert {"tune_ridge", "tune_boosted", "tune_forest"} <= set(pipelines.catalog.queries)
     called = {}
-    for owner, name in ((jobs, "train"), (models, "fit_boosted"), (explain, "explain_sample"), (explain, "sampled_contributions")):
-        def seen(*args, name=name, **options):
-            called[name] = options
-            return mock.MagicMock(), mock.MagicMock()
-
-        monkeypatch.setattr(owner, name, seen)
-    monkeypatch.setattr(tune, "search", lambda fit, space, train, val, trials, **options: (called.setdefault(space, (trials, options)), ({}, 0.0))[1])
-    for name in ("_features", "materialize"):
-        monkeypatch.setattr(pipelines, name, mock.MagicMock())
-    for owner, names in ((jobs, ("training_rows", "forecast_all")), (evaluation, ("rank_models", "regression_metrics")), (explain, ("top_features", "mean_abs_contribution")), (models, ("fit_ridge", "fit_forest")), (sinks, ("new_folder", "latest_metrics"))):
-        for name in names:
-            monkeypatch.setattr(owner, name, mock.MagicMock())
-    monkeypatch.setattr(models, "fit_boosted", lambda *a, **o: (called.__setitem__("fit_boosted", o), mock.MagicMock())[1])
-    for query in ("train_leaderboard", "recursive_forecast_trees", "explain_trees", "tune_ridge", "tune_boosted", "tune_forest"):
-        monkeypatch.setattr(pipelines, "at", mock.MagicMock())
-        pipelines.catalog.queries[query](None, None)
-    assert called["train"] == called["fit_boosted"] == called["explain_sample"] == called["sampled_contributions"] == {}
-    assert [called[s] for s in (tune.ridge_space, tune.boosted_space, tune.forest_space)] == [(10, {}), (15, {}), (10, {})]
+    monkeypatch.setattr(tune, "search", lambda fit, space, train, val, trials, **o: called.__setitem__(space, (trials, o)))
+    monkeypatch.setattr(tune, "halving", lambda train, val, trials, **o: called.__setitem__("halving", (trials, o)))
+    for search in (tune.tune_ridge, tune.tune_forest, tune.tune_boosted):
+        search(None, None)
+    assert called == {tune.ridge_space: (10, {}), tune.forest_space: (10, {}), "halving": (15, {})}
+    seen = []
+    monkeypatch.setattr(boosting, "fit", lambda df, names, label, held, params: seen.append(params))
+    monkeypatch.setattr(models, "early_stop_flag", lambda df: df)
+    monkeypatch.setattr(modelling.jobs, "training_rows", lambda table: table)
+
+    class Rows:
+        columns = ["station", "ts"]
+
+        def where(self, _):
+            return self
+
+    modelling._boosted(Rows())
+    assert seen == [boosting.Params(300, 8, 0.05, 0.8, 0.8)] and seen[0].patience == 10
+
+
+def test_halving_keeps_the_least_error_and_logs_all_trials(spark, regression, monkeypatch):
+    df = spark.createDataFrame(regression).withColumnRenamed("y", S.LABEL)
+    monkeypatch.setattr(tune, "STAGES", (3, 6))
+    parts = df.where("part = 'train'"), df.where("part = 'test'")
+    runs = []
+    for _ in range(2):
+        log = []
+        found, error = tune.halving(*parts, 5, trial_log=log, features=NAMES, fixed={"depth": 3, "rounds": 12})
+        assert [k for k, *_ in log] == list(range(5)) and error == min(e for _, _, e, _ in log)
+        assert sorted(n for *_, n in log) == [3, 3, 6, 12, 12] and 1 <= found["rounds"] <= 12
+        runs.append((found, error, log))
+    assert runs[0] == runs[1]
+    # Fitting with what was found gives the error that was found.
+    from airlake.operators import boosting
+
+    both = parts[0].withColumn("held", F.lit(False)).unionByName(parts[1].withColumn("held", F.lit(True)))
+    model = boosting.fit(both, NAMES, S.LABEL, "held", boosting.Params(**{**S.BOOSTED_PARAMS, **found, "patience": 0}))
+    held = regression[regression["part"] == "test"]
+    assert abs(float(np.sqrt(((model.predict(held[NAMES].to_numpy()) - held["y"]) ** 2).mean())) - error) < 1e-9
