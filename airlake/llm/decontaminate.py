@@ -31,6 +31,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), NO_WORD), lambda w: w != "")
 
 
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text; null is the empty text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def phrases(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(phrase, terms): distinct windows of consecutive words of the items; a shorter item is one window.
 
@@ -58,7 +63,8 @@ def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def rarest(found: DataFrame, counts: DataFrame, rare: int = RARE) -> DataFrame:
-    """(phrase, term, offset, slots): for each phrase its ``rare`` rarest distinct terms, where each stands first, and how many they are.
+    """(phrase, term, offset, slot, slots): for each phrase its ``rare`` rarest distinct terms, where each stands first, its number
+    and how many they are.
 
     Terms that never occur count 0, so that a phrase with one of them finds nothing.
     """
@@ -66,29 +72,36 @@ def rarest(found: DataFrame, counts: DataFrame, rare: int = RARE) -> DataFrame:
     first = places.groupBy("phrase", "term").agg(F.min("offset").alias("offset")).join(counts, "term", "left")
     ranked = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), "term", "offset")))
     best = first.groupBy("phrase").agg(F.slice(ranked, 1, rare).alias("best"))
-    return best.select("phrase", F.explode("best").alias("b"), F.size("best").alias("slots")).select("phrase", "b.term", "b.offset", "slots")
+    each = best.select("phrase", F.posexplode("best").alias("slot", "b"), F.size("best").alias("slots"))
+    return each.select("phrase", "b.term", "b.offset", "slot", "slots")
 
 
 def phrase_matches(docs: DataFrame, found: DataFrame, rare: int = RARE) -> DataFrame:
     """(doc, start, phrase, length): each place where a phrase's words stand in a document, word by word.
 
-    ``docs``: (doc, words), ``doc`` unique. ``found``: from ``phrases``. Phrases are at least one word long.
+    ``docs``: (doc, words); rows of the same ``doc`` have the same words, and a match of theirs may come once for each of them.
+    ``found``: from ``phrases``. Phrases are at least one word long.
     """
     terms = session.materialize(found.select(F.explode("terms").alias("term")).distinct(), "terms")
     counts = session.materialize(occurrences(docs, terms).groupBy("term").agg(F.count("*").alias("n")), "term-counts")
     keys = session.materialize(rarest(found, counts, rare), "phrase-keys")
     index = occurrences(docs, keys.select("term").distinct())
-    proposed = index.join(_small(keys), "term").select("doc", "phrase", (F.col("place") - F.col("offset")).alias("start"), "slots", "offset")
+    proposed = index.join(_small(keys), "term").select("doc", "phrase", (F.col("place") - F.col("offset")).alias("start"), "slots", "slot")
     proposed = proposed.filter("start >= 0")
-    # Two places of a phrase never propose the same start by the same offset, so counting offsets is intersecting lists.
-    met = proposed.groupBy("doc", "phrase", "start").agg(F.count("*").alias("n"), F.first("slots").alias("slots")).filter("n = slots")
+    # A start that each slot proposes is in the intersection of the lists; copies of a text propose it again, as the same bit.
+    met = proposed.groupBy("doc", "phrase", "start").agg(F.bit_or(F.expr("shiftleft(1, slot)")).alias("bits"), F.first("slots").alias("slots")).filter("bits = shiftleft(1, slots) - 1")
     bodies = found.dropDuplicates(["phrase"]).select("phrase", "terms")
     open_ = met.select("doc", "phrase", "start").join(_small(bodies), "phrase")
-    # Proposals of a document that are alike in place and length are compared with its words in one go.
-    asked = open_.groupBy("doc").agg(F.collect_list(F.struct("start", "phrase", "terms")).alias("asked"))
-    stands = lambda x, w: F.transform(F.slice(w, x["start"] + 1, F.size(x["terms"])), ascii_lower) == x["terms"]
-    seen = docs.join(asked, "doc").select("doc", let(F.col("words"), lambda w: F.filter("asked", lambda x: stands(x, w))).alias("hits"))
-    return seen.select("doc", F.explode("hits").alias("h")).select("doc", "h.start", "h.phrase", F.size("h.terms").alias("length"))
+    # Proposals of a document are compared with its words in one go; the terms of a phrase ride along once, not once a place.
+    asked = open_.groupBy("doc", "phrase").agg(F.collect_list("start").alias("starts"), F.first("terms").alias("terms"))
+    asked = asked.groupBy("doc").agg(F.collect_list(F.struct("phrase", "terms", "starts")).alias("asked"))
+
+    def standing(x: Column, w: Column) -> Column:
+        there = lambda s: F.transform(F.slice(w, s + 1, F.size(x["terms"])), ascii_lower) == x["terms"]
+        return F.struct(x["phrase"].alias("phrase"), F.size(x["terms"]).alias("length"), F.filter(x["starts"], there).alias("starts"))
+
+    seen = docs.join(asked, "doc").select("doc", let(F.col("words"), lambda w: F.transform("asked", lambda x: standing(x, w))).alias("hits"))
+    return seen.select("doc", F.explode("hits").alias("h")).select("doc", "h.phrase", "h.length", F.explode("h.starts").alias("start"))
 
 
 def proximity_matches(docs: DataFrame, groups: DataFrame, within: int) -> DataFrame:
@@ -111,15 +124,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """(``id_col``, n_words, n_hit, items): words, words inside any occurrence of a window, and the sorted distinct
     items (as strings) with an occurring window.
 
-    Rows that repeat an id are one document whose words are those of the row with the largest text; a null id is a
-    document as well. Null and empty texts have no words. Without benchmark items nothing is hit. Items that repeat count
-    by their ids. Other columns are not read.
+    A row for each row, by its own text: what is hit hangs on the text alone, so documents are known by a digest of it, and
+    ids that are null or repeat change nothing. Null and empty texts have no words. Without benchmark items nothing is hit.
+    Items that repeat count by their ids. Other columns are not read.
     """
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).groupBy("doc").agg(F.max("text").alias("text")) if _repeats(docs, id_col) else docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    split = texts.select("doc", words(F.col("text")).alias("words"))
+    split = docs.select(text_key(F.col(text_col)).alias("doc"), words(F.col(text_col)).alias("words"))
     found = session.materialize(phrases(items, window=window), "phrases")
     matches = session.materialize(phrase_matches(split, found), "phrase-matches")
     # Words hit: starts in order, each adds what lies beyond the one before.
+    # Places of copies of a text are the same places.
     steps = matches.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("at"))
     reach = F.aggregate(
         "at",
@@ -134,18 +147,16 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     named = matches.select("doc", "phrase").distinct().join(_small(owners), "phrase")
     named = named.groupBy("doc").agg(F.sort_array(F.collect_set("item")).alias("items"))
     both = session.materialize(hit.join(named, "doc", "left"), "hits")
-    sizes = split.select("doc", F.size("words").cast("long").alias("n_words"))
-    joined = sizes.join(both.withColumnRenamed("doc", "hit_doc"), F.col("doc").eqNullSafe(F.col("hit_doc")), "left")
+    key = text_key(F.col(text_col)).alias("doc")
+    sizes = docs.select(F.col(id_col).alias("__id"), key, F.size(words(F.col(text_col))).cast("long").alias("n_words"))
+    joined = sizes.join(both, "doc", "left")
     none = F.array().cast("array<string>")
-    return joined.select(F.col("doc").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
+    return joined.select(F.col("__id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` with all columns, without the documents that hold a window of a benchmark item. Rows without an id go by
-    their own text only if no other row lacks one; otherwise all of them share the longest-sorting text."""
-    hit = contamination(docs, items).filter("n_hit > 0").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("__hit")), "left_anti")
-
-
-def _repeats(docs: DataFrame, id_col: str) -> bool:
-    return not docs.groupBy(id_col).count().filter("count > 1").isEmpty()
+    """``docs`` with all columns, without the rows whose own text holds a window of a benchmark item, whatever their ids."""
+    split = docs.select(text_key(F.col("text")).alias("doc"), words(F.col("text")).alias("words"))
+    found = session.materialize(phrases(items), "phrases")
+    hit = session.materialize(phrase_matches(split, found).select(F.col("doc").alias("__hit")).distinct(), "hits")
+    return docs.join(hit, text_key(F.col("text")) == F.col("__hit"), "left_anti")
