@@ -26,7 +26,7 @@ def _land_hourly(df, fields, path):
     rows = F.array_sort(F.collect_list(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm").alias("time"), *fields)))
     docs = df.groupBy("station", F.to_date("ts").alias("day")).agg(rows.alias("r"))
     arrays = [F.col("r").getField(c).alias(c) for c in ["time", *fields]]
-    docs.select("station", F.struct(*arrays).alias("hourly")).write.json(path)
+    docs.select("station", F.struct(*arrays).alias("hourly")).write.mode("append").json(path)
 
 
 @add("read_hourly_weather_json", f"with w as ({V.weather_sql()}) select station, ts, {', '.join(S.WEATHER)} from w")
@@ -51,10 +51,14 @@ def read_hourly_air_json(spark, folder):
     f"with w as ({V.weather_sql()}) select station, ts, {', '.join(S.WEATHER)} from w where cast(ts as date) between date '2024-01-10' and date '2024-01-20'",
 )
 def read_historical(spark, folder):
-    path = sinks.new_folder(spark, "landed-history")
-    _land_hourly(V.weather(spark, folder), S.WEATHER, path)
+    """Two landings, each indexed once; the range opens the files that overlap it."""
+    path, index = sinks.new_folder(spark, "landed-history"), sinks.new_folder(spark, "landed-index")
+    weather, cut = V.weather(spark, folder), at("2024-01-12")
+    for part in (weather.where(F.col("ts") < cut), weather.where(F.col("ts") >= cut)):
+        _land_hourly(part, S.WEATHER, path)
+        landed.index_landed(spark, path, index, S.HOURLY_WEATHER_JSON)
     ends = (F.lit("2024-01-10").cast("date"), F.lit("2024-01-20").cast("date"))
-    return landed.read_historical(spark, path, S.HOURLY_WEATHER_JSON, *ends)
+    return landed.read_historical(spark, path, S.HOURLY_WEATHER_JSON, *ends, index)
 
 
 @add(
@@ -192,6 +196,27 @@ def hourly_refresh(spark, folder):
     return rounded(jobs.refresh(*new, None, stored, at("2024-01-27 12:30:00")), *_FLOATS)
 
 
+_BOTH = ", ".join(S.RAW)
+_OBSERVED = f"""{V.hourly_sql('full').replace('hourly as', 'current_ as')}, obs as ({V.OBSERVATIONS_SQL}),
+newest as (select station, max(ts) as obs_ts, arg_max(us_aqi, ts) as obs_aqi, arg_max(coalesce(pm2_5, -1), ts) as obs_pm from obs group by 1),
+hit as (select h.station, arg_min(h.ts, (abs(epoch(h.ts) - epoch(n.obs_ts)), -epoch(h.ts))) as ts, any_value(n.obs_aqi) as obs_aqi, any_value(n.obs_pm) as obs_pm
+  from current_ h join newest n using (station) where h.ts >= timestamp '2024-01-20' group by 1),
+fresh as (select h.station, h.ts, {', '.join(f'coalesce(o.obs_aqi, h.{c}) as {c}' if c == 'us_aqi' else f'coalesce(nullif(o.obs_pm, -1), h.{c}) as {c}' if c == 'pm2_5' else f'h.{c}' for c in S.RAW)}
+  from current_ h left join hit o using (station, ts) where h.ts >= timestamp '2024-01-20' and h.ts <= timestamp '2024-01-27 12:00:00'),
+hourly as (select station, ts, {_BOTH} from weather join air_quality using (station, ts) where ts < timestamp '2024-01-20' union all select station, ts, {_BOTH} from fresh)"""
+
+
+@add("refresh_to_store", f"with {V.features_sql(source=_OBSERVED)} select station, ts, {_STORED} from features where ts >= timestamp '2024-01-20'")
+def refresh_to_store(spark, folder):
+    """A week of new hours and a station's own reading: override, features, validated upsert, read back."""
+    cut, weather, air = at("2024-01-20"), V.weather(spark, folder), V.air_quality(spark, folder)
+    raw, path = sinks.new_folder(spark, "refresh-raw"), sinks.new_folder(spark, "store")
+    stream.upsert_raw(align.merge_history(weather, air).where(F.col("ts") < cut).select("station", "ts", *S.RAW), raw)
+    new = [df.where(F.col("ts") >= cut) for df in (weather, air)]
+    jobs.refresh_to_store(*new, V.observations(spark, folder), stream.read_context(spark, raw, ["2024-01"]), at("2024-01-27 12:30:00"), path)
+    return rounded(store.read_table(spark, path).drop(store.MONTH), *_FLOATS)
+
+
 # --- streams --------------------------------------------------------------
 
 _STREAM_HOURS = f"""air_quality as ({V.air_quality_sql()}),
@@ -204,7 +229,7 @@ def _readings(spark, folder):
 
 
 def _measures():
-    return {**V.air_measures(), **V.weather_measures()}
+    return stream.Measures(V.hour_parts(), V.hour_finals())
 
 
 def _run(query):

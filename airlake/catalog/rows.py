@@ -266,6 +266,24 @@ def latest_valid_row(spark, folder):
     return align.latest_valid_row(_hourly(spark, folder, "full"), at(AS_OF)).select("station", "ts", *S.RAW)
 
 
+_WRONG = f"""{FULL}, n as (select station, 'null' as "check", unnest([{', '.join(repr(c) for c in S.RAW if c not in ('ozone', 'pm10'))}]) as "column",
+  unnest([{', '.join(f'count(*) filter (where {c} is null)' for c in S.RAW if c not in ('ozone', 'pm10'))}]) as n from hourly group by 1)
+select * from n where n > 0 union all select station, 'null', 'pm10', count(*) filter (where pm10 is null) as k from hourly group by 1 having k > 0
+union all values (null, 'missing_column', 'ozone', 1), (null, 'non_numeric', 'pm10', 1)"""
+
+
+@add("validate_all_kinds", _WRONG)
+def validate_all_kinds(spark, folder):
+    """A batch that lacks a column, has one as text and misses values."""
+    bad = _hourly(spark, folder, "full").drop("ozone").withColumn("pm10", F.col("pm10").cast("string"))
+    return quality.all_violations(bad, S.RAW)
+
+
+@add("validate_empty", "select cast(null as varchar) as station, 'empty_batch' as \"check\", cast(null as varchar) as \"column\", cast(1 as bigint) as n")
+def validate_empty(spark, folder):
+    return quality.all_violations(_hourly(spark, folder).where("ts < timestamp '1999-01-01'"), S.RAW)
+
+
 @add(
     "validate_features",
     f"""{FULL}, long as ({' union all '.join(f"select station, '{c}' as column_name, count(*) filter (where {c} is null) as n from hourly group by 1" for c in S.RAW)})

@@ -127,53 +127,55 @@ def histogram(df: DataFrame, column: str = S.TARGET, bins: int = 50, keys: Seque
     return x.join(edges, list(keys)).groupBy(*keys, number.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Rows of a value range that ``quantiles`` ranks in one task, about.
-RANGE_ROWS = 100_000
+#: A bracket of at most so many rows is ranked; cuts of a sketch.
+SMALL, CUTS = 100_000, 200
 
 
 def quantiles(
-    df: DataFrame, column: str, probabilities: Sequence[float], keys: Sequence[str] = S.KEYS, ranges: int | None = None
+    df: DataFrame, column: str, probabilities: Sequence[float], keys: Sequence[str] = S.KEYS, small: int = SMALL
 ) -> DataFrame:
-    """Exact interpolated quantiles without sorting a whole group in one task.
+    """Exact interpolated quantiles by narrowing brackets: (keys, p, value).
 
-    An approximate sketch cuts each group into value ranges of similar size, more of them the more
-    rows there are; counts per range tell which ranges hold the wanted ranks, and only those are
-    ranked. The cuts affect balance only, never the result.
+    Each wanted rank has a bracket of values, at first from the smallest to the largest. A sketch of the values inside, of
+    fixed size, gives a narrower one; a scan counts what is below and inside, in each task, and so tells whether the rank is
+    still there. This goes on while a bracket holds more than ``small`` rows; then only its different values, with their
+    counts, are shuffled and ranked. Sketches decide on the number of scans, never on the result: a bracket that a sketch
+    misses, or that equal values keep from shrinking, is ranked as it is.
     """
-    if ranges is None:
-        ranges = max(64, df.select(column).where(F.col(column).isNotNull()).count() // RANGE_ROWS)
-    counts = df.where(F.col(column).isNotNull()).groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = [i / ranges for i in range(1, ranges)]
-    sketch = df.groupBy(*keys).agg(F.percentile_approx(column, cuts, max(10_000, 10 * ranges)).alias("_cuts"))
-    in_range = counts.join(sketch, list(keys)).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col(column))))
-    in_range = in_range.drop("_cuts")
-    order = Window.partitionBy(*keys).orderBy("_r")
-    per_range = (
-        in_range.groupBy(*keys, "_r")
-        .agg(F.sum("_n").alias("_rows"))
-        .withColumn("_end", F.sum("_rows").over(order))
-        .withColumn("_total", F.sum("_rows").over(Window.partitionBy(*keys)))
-    )
+    keys = list(keys)
+    x = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).alias("_x"))
+    totals = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
     ps = F.array(*[F.lit(float(p)) for p in probabilities])
-    wanted = (
-        per_range.withColumn("p", F.explode(ps))
-        .withColumn("_h", F.col("p") * (F.col("_total") - 1))
-        .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_h"), F.ceil("_h")))))
-        .withColumn("_start", F.col("_end") - F.col("_rows"))
-        .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_end")))
-        .groupBy(*keys, "_r", "_start")
-        .agg(F.collect_list(F.struct("p", "_h", "_rank")).alias("_wanted"))
-    )
-    within = Window.partitionBy(*keys, "_r").orderBy(column)
-    found = (
-        in_range.join(wanted, [*keys, "_r"])
-        .withColumn("_to", F.col("_start") + F.sum("_n").over(within))
-        .withColumn("_w", F.explode("_wanted"))
-        .where((F.col("_w._rank") < F.col("_to")) & (F.col("_w._rank") >= F.col("_to") - F.col("_n")))
-    )
-    low, high = F.min(column), F.max(column)
-    share = F.max(F.col("_w._h") - F.floor("_w._h"))
-    return found.groupBy(*keys, F.col("_w.p").alias("p")).agg((low + (high - low) * share).alias("value"))
+    state = totals.withColumn("p", F.explode(ps)).withColumn("_h", F.col("p") * (F.col("_n") - 1))
+    columns = [*keys, "p", "_h", "_lo", "_hi", "_below", "_inside", "_done"]
+    state = state.withColumns({"_below": F.lit(0).cast("long"), "_inside": F.col("_n"), "_done": (F.col("_n") <= small) | (F.col("_lo") == F.col("_hi"))})
+    state = materialize(state.select(*columns), "brackets")
+    while not (open_ := state.where(~F.col("_done"))).isEmpty():
+        spans = [*keys, "_lo", "_hi"]
+        within = x.join(open_.select(*spans).distinct(), keys).where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+        sketch = within.groupBy(*spans).agg(F.percentile_approx("_x", [k / CUTS for k in range(CUTS + 1)], 50 * CUTS).alias("_cuts"))
+        place = F.floor((F.col("_h") - F.col("_below")) / F.greatest(F.col("_inside") - 1, F.lit(1)) * CUTS).cast("int")
+        cut = lambda k: F.get("_cuts", F.greatest(F.least(place + k, F.lit(CUTS)), F.lit(0)))
+        tried = materialize(open_.join(sketch, spans).select(*columns, cut(-1).alias("_a"), cut(2).alias("_b")), "tried-brackets")
+        ends = [*keys, "_a", "_b"]
+        counted = x.join(tried.select(*ends).distinct(), keys).groupBy(*ends)
+        counted = counted.agg(F.count_if(F.col("_x") < F.col("_a")).alias("_under"), F.count_if(F.col("_x").between(F.col("_a"), F.col("_b"))).alias("_held"))
+        held = (F.floor("_h") >= F.col("_under")) & (F.ceil("_h") < F.col("_under") + F.col("_held"))
+        fits = held & (F.col("_held") < F.col("_inside"))
+        new = {"_lo": F.when(fits, F.col("_a")).otherwise(F.col("_lo")), "_hi": F.when(fits, F.col("_b")).otherwise(F.col("_hi"))}
+        new |= {"_below": F.when(fits, F.col("_under")).otherwise(F.col("_below")), "_inside": F.when(fits, F.col("_held")).otherwise(F.col("_inside"))}
+        new["_done"] = ~fits | (F.col("_held") <= small) | (F.col("_a") == F.col("_b"))
+        moved = tried.join(counted, ends).select(*keys, "p", "_h", *[c.alias(n) for n, c in new.items()])
+        state = materialize(state.where("_done").unionByName(moved), "brackets")
+    spans = [*keys, "_lo", "_hi", "_below"]
+    inside = x.join(state.select(*spans).distinct(), keys).where(F.col("_x").between(F.col("_lo"), F.col("_hi")))
+    counts = inside.groupBy(*spans, "_x").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.col("_below") + F.sum("_n").over(Window.partitionBy(*spans).orderBy("_x"))
+    ranked = counts.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_n"))
+    low, high = F.floor("_h"), F.ceil("_h")
+    at = lambda rank: F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_to")), F.col("_x")))
+    found = state.join(ranked, spans).groupBy(*keys, "p", "_h").agg(at(low).alias("_l"), at(high).alias("_u"))
+    return found.select(*keys, "p", (F.col("_l") + (F.col("_u") - F.col("_l")) * (F.col("_h") - F.floor("_h"))).alias("value"))
 
 
 def box_stats(df: DataFrame, column: str = S.TARGET, keys: Sequence[str] = S.KEYS) -> DataFrame:

@@ -17,7 +17,7 @@ from airlake.operators import align, evaluation, features, forecast, models, qua
 from airlake.operators import explain as attribution
 from airlake.operators import tune as T
 from airlake.session import materialize
-from airlake.sources import registry, sinks
+from airlake.sources import registry, sinks, store
 
 log = logging.getLogger(__name__)
 
@@ -55,6 +55,13 @@ def refresh(
     return with_context(align.union_history_current(stored.select(*S.KEYS, S.TS, *S.RAW), current), current, lookback)
 
 
+def refresh_to_store(
+    weather: DataFrame, air: DataFrame, obs: DataFrame | None, stored: DataFrame, as_of: Column, path: str, lookback: int = S.LOOKBACK_HOURS
+) -> None:
+    """The hourly refresh whole: a station's own reading goes over the nearest hour, features are validated and upserted."""
+    store.upsert_features(refresh(weather, air, obs, stored, as_of, lookback), path)
+
+
 def with_context(raw: DataFrame, changed: DataFrame, lookback: int = S.LOOKBACK_HOURS) -> DataFrame:
     """Features of every hour from each station's first changed hour on, as a full run gives them.
 

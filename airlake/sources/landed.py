@@ -8,9 +8,10 @@ from pyspark.sql import types as T
 
 from airlake import schema as S
 from airlake.functions import scalars as X
+from airlake.sources.sinks import exists
 
 
-def read_hourly_json(spark: SparkSession, path: str, kinds: T.StructType, multi_line: bool = False) -> DataFrame:
+def read_hourly_json(spark: SparkSession, path: str | list[str], kinds: T.StructType, multi_line: bool = False) -> DataFrame:
     """One row per station and hour from documents holding parallel arrays per field."""
     docs = spark.read.schema(kinds).option("multiLine", multi_line).json(path)
     fields = [f.name for f in kinds["hourly"].dataType]
@@ -26,10 +27,37 @@ def read_air_quality(spark: SparkSession, path: str, multi_line: bool = False) -
     return read_hourly_json(spark, path, S.HOURLY_AIR_JSON, multi_line)
 
 
-def read_historical(spark: SparkSession, path: str, kinds: T.StructType, start: Column, end: Column) -> DataFrame:
-    """Landed history between two dates, both included."""
+def index_landed(spark: SparkSession, path: str, index: str, kinds: T.StructType) -> None:
+    """Add the first and last hour of each landed file that the index table does not have yet: (file, first, last).
+
+    Files are written once, so an entry never changes; only new files are parsed.
+    """
+    docs = spark.read.schema(kinds).json(path).withColumn("file", F.col("_metadata.file_path"))
+    if exists(spark, index):
+        known = spark.read.parquet(index).select("file")
+        new = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file")).join(known, "file", "left_anti")
+        files = [r["file"] for r in new.toLocalIterator()]
+        if not files:
+            return
+        docs = spark.read.schema(kinds).json(files).withColumn("file", F.col("_metadata.file_path"))
+    hours = F.transform(F.col("hourly.time"), lambda t: t.try_cast("timestamp_ntz"))
+    spans = docs.groupBy("file").agg(F.min(F.array_min(hours)).alias("first"), F.max(F.array_max(hours)).alias("last"))
+    spans.write.mode("append").parquet(index)
+
+
+def files_between(spark: SparkSession, index: str, start: Column, end: Column) -> list[str]:
+    """The landed files that hold hours between two dates, both included: as many names as a scan would list."""
+    day = lambda c: F.to_date(c)
+    return [r["file"] for r in spark.read.parquet(index).where((day("last") >= start) & (day("first") <= end)).select("file").toLocalIterator()]
+
+
+def read_historical(spark: SparkSession, path: str, kinds: T.StructType, start: Column, end: Column, index: str | None = None) -> DataFrame:
+    """Landed history between two dates, both included; with an ``index`` only files that overlap them are opened."""
     day = F.to_date(S.TS)
-    return read_hourly_json(spark, path, kinds).where(day.between(start, end))
+    files = files_between(spark, index, start, end) if index else path
+    if not files:
+        return read_hourly_json(spark, path, kinds).limit(0)
+    return read_hourly_json(spark, files, kinds).where(day.between(start, end))
 
 
 _LEAF = T.StructType([T.StructField("v", T.StringType())])

@@ -16,7 +16,7 @@ from airlake.functions.scalars import iso_time
 from airlake.operators import align, quality
 from airlake.operators.features import as_stored
 from airlake.session import materialize
-from airlake.sources.sinks import new_folder
+from airlake.sources.sinks import exists, new_folder
 
 MONTH = "month_key"
 
@@ -35,11 +35,6 @@ def create_feature_table(spark: SparkSession, name: str, path: str) -> None:
     spark.sql(f"create table if not exists {name} ({columns}) using parquet partitioned by ({MONTH}) location '{path}'")
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], _schema())
@@ -81,15 +76,17 @@ def upsert_features(batch: DataFrame, path: str, order: str | None = None, check
     """Validate the batch and write it over the rows of the same (station, ts).
 
     ``order`` names the column that decides among duplicates within the batch, the largest stays;
-    without it, duplicates are an error. The batch is staged once. Its months are a list, so the
+    without it, duplicates are an error. The batch is read once: it is counted while it is staged, and rejected before the
+    table is touched. Its months are a list, so the
     table's other months are pruned by their folders and neither read nor rewritten. The merged
     months are staged as well, so the table is never read and overwritten in one job and a failed
     write can be repeated.
     """
     spark = batch.sparkSession
-    batch = materialize(batch, "staged-batch")
+    watch = quality.Watch()
+    batch = materialize(watch.on(batch) if check else batch, "staged-batch")
     if check:
-        quality.validate(batch)
+        watch.check()
     if order:
         new = align.keep_last(batch.withColumn("_order", F.col(order)), "_order")
     elif not batch.groupBy(*S.KEYS, S.TS).count().where("count > 1").isEmpty():

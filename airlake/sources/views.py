@@ -63,6 +63,45 @@ def weather_measures() -> dict[str, Column]:
     }
 
 
+def hour_parts() -> dict[str, tuple[str, Column]]:
+    """Parts of an hour that merge, and that all hourly measures are made of."""
+    k, user = F.col("k"), F.col("user_id")
+    return {
+        "n": ("count", F.lit(1)),
+        "max_value": ("max", F.col("value")),
+        "min_value": ("min", F.col("value")),
+        "max_k": ("max", k),
+        "min_k": ("min", k),
+        "max_id": ("max", F.col("event_id")),
+        "max_user": ("max", user % 40),
+        "min_user": ("min", user % 20),
+        "max_k15": ("max", k % 15),
+        "min_k10": ("min", k % 10),
+    }
+
+
+def hour_finals() -> dict[str, Column]:
+    """The measures of ``air_measures`` and ``weather_measures`` over the parts."""
+    c = F.col
+    return {
+        "us_aqi": c("max_value"),
+        "pm2_5": c("min_value"),
+        "pm10": c("max_value") - c("min_value"),
+        "nitrogen_dioxide": c("max_k").cast("double"),
+        "sulphur_dioxide": c("min_k").cast("double"),
+        "ozone": (c("max_k") - c("min_k")).cast("double"),
+        "carbon_monoxide": (c("n") * 100).cast("double"),
+        "temperature_2m": c("max_user").cast("double"),
+        "relative_humidity_2m": c("max_k").cast("double"),
+        "surface_pressure": (c("min_user") + 1000).cast("double"),
+        "precipitation": F.when(c("max_id") % 20 == 0, c("max_k").cast("double") / 10).otherwise(F.lit(0.0)),
+        "cloud_cover": c("min_k").cast("double"),
+        "wind_speed_10m": c("max_k15").cast("double"),
+        "wind_direction_10m": (c("max_id") * 37 % 360).cast("double"),
+        "wind_gusts_10m": (c("max_k15") + c("min_k10")).cast("double"),
+    }
+
+
 def readings(events: DataFrame) -> DataFrame:
     """Single readings with the fields that the hourly measures are made of."""
     return events.select(_station("event_type"), "ts", "event_id", "user_id", "value", _k().alias("k"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -45,40 +46,92 @@ def without_replays(readings: DataFrame, key: str, late: str = LATE) -> DataFram
     return timed.dropDuplicatesWithinWatermark([key])
 
 
+#: How parts of an hour are made of readings, and how parts are merged.
+MAKE = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.count}
+MERGE = {"max": F.max, "min": F.min, "sum": F.sum, "count": F.sum}
+DAY = "day_key"
+#: Parts of a day that a trigger reads at most, about; with more, older ones become one.
+COMPACT = 16
+
+
+@dataclass(frozen=True)
+class Measures:
+    """Hourly measures that can be merged: ``parts`` names (kind, column) with a kind of ``MAKE``; ``finals`` are columns over the parts."""
+
+    parts: dict[str, tuple[str, Column]]
+    finals: dict[str, Column]
+
+    def made(self, readings: DataFrame, keys=S.KEYS) -> DataFrame:
+        """Parts of the hours of a set of readings: (keys, ts, parts)."""
+        timed = readings.where(F.col(S.TS).isNotNull())
+        return timed.groupBy(*keys, floor_hour(S.TS).alias(S.TS)).agg(*[MAKE[kind](c).alias(n) for n, (kind, c) in self.parts.items()])
+
+    def merged(self, parts: DataFrame, *keys: str) -> DataFrame:
+        return parts.groupBy(*keys).agg(*[MERGE[kind](n).alias(n) for n, (kind, _) in self.parts.items()])
+
+    def final(self, parts: DataFrame, keys=S.KEYS) -> DataFrame:
+        return parts.select(*keys, S.TS, *[c.alias(n) for n, c in self.finals.items()])
+
+
+def log_parts(spark, log_path: str, schema, days: list[str], upto: int) -> DataFrame:
+    """The parts of some days that count after batch ``upto``: of each day the newest compacted table and the parts behind it.
+
+    Only the folders of these days are listed and read.
+    """
+    paths = [p for p in (f"{log_path}/{DAY}={d}" for d in days) if store.exists(spark, p)]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    log = spark.read.schema(schema).option("basePath", log_path).parquet(*paths).where(F.col("seq") <= upto)
+    newest = {r[DAY]: r["seq"] for r in log.where("kind = 'all'").groupBy(DAY).agg(F.max("seq").alias("seq")).collect()}
+    if not newest:
+        return log
+    known = F.create_map(*[F.lit(x) for pair in newest.items() for x in pair])[F.col(DAY)]
+    return log.where(known.isNull() | (F.col("seq") > known) | ((F.col("kind") == "all") & (F.col("seq") == known)))
+
+
 def complete_hours(
     log_path: str,
-    aggregates: dict[str, Column],
+    measures: Measures,
     then: Callable[[DataFrame, str], None],
     keys=S.KEYS,
 ) -> Callable[[DataFrame, int], None]:
     """Body of ``foreachBatch`` over readings: every reading counts, however late and in whatever order files come.
 
-    Readings are appended to a log by month; the hours that the batch touches are computed again
-    from the log's months of the batch, and handed to ``then`` with the batch's name. The log is
-    what remembers, so no state grows and no watermark drops anything. A batch that runs again
-    overwrites its own part of the log. Any failure leaves this function and fails the query, so
-    the offsets are not committed.
+    A batch becomes parts of hours, a row for each station and hour it touches, and these go to a log cut by day. The touched
+    hours are merged from the log's parts of the touched days and handed to ``then`` with the batch's name. The log is
+    what remembers, so no state grows and no watermark drops anything. A batch that runs again writes its own part of
+    the log again. A day with many parts is compacted from those of finished batches; parts that a compacted table covers
+    are no longer read, whether they are still there or not. A log belongs to one query. Any failure leaves this function
+    and fails the query, so the offsets are not committed.
     """
 
     def body(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
-        name = f"{query}-{number}"
-        marked = batch.withColumns({store.MONTH: F.date_format(S.TS, "yyyy-MM"), "log_batch": F.lit(name)})
-        marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(store.MONTH, "log_batch").parquet(log_path)
-        log = spark.read.schema(marked.schema).parquet(log_path)
-        own = log.where(F.col("log_batch") == name)
-        months = store.months_of(own)
-        if not months:
+        made = measures.made(batch, keys).withColumns({DAY: F.date_format(S.TS, "yyyy-MM-dd"), "kind": F.lit("part"), "seq": F.lit(number).cast("long")})
+        made = materialize(made, "hour-parts")
+        days = sorted(r[0] for r in made.select(DAY).distinct().collect())
+        if not days:
             return
-        touched = own.select(*keys, floor_hour(S.TS).alias(S.TS)).distinct()
-        readings = log.where(F.col(store.MONTH).isin(months)).drop(store.MONTH, "log_batch")
-        hours = hourly_batch(readings, aggregates, keys).join(touched, [*keys, S.TS], "left_semi")
-        then(materialize(hours, "touched-hours"), name)
+        _append(made, log_path)
+        parts = log_parts(spark, log_path, made.schema, days, number)
+        touched = parts.join(made.select(*keys, S.TS), [*keys, S.TS], "left_semi")
+        hours = measures.final(measures.merged(touched, *keys, S.TS), keys)
+        then(materialize(hours, "touched-hours"), f"{spark.sparkContext.getLocalProperty('sql.streaming.queryId') or 'batch'}-{number}")
+        many = [r[DAY] for r in parts.groupBy(DAY).agg(F.count_distinct("seq").alias("n")).where(F.col("n") > COMPACT).collect()]
+        if many and number:
+            # Batches before this one are finished and never run again.
+            done = measures.merged(log_parts(spark, log_path, made.schema, many, number - 1), *keys, S.TS, DAY)
+            done = done.withColumns({"kind": F.lit("all"), "seq": F.lit(number - 1).cast("long")}).select(*made.columns)
+            _append(materialize(done, "compacted"), log_path)
 
     return body
 
 
+def _append(parts: DataFrame, log_path: str) -> None:
+    writer = parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(DAY, "kind", "seq").parquet(log_path)
+
+
 def refresh_batch(path: str, raw_path: str, lookback: int = S.LOOKBACK_HOURS) -> Callable[[DataFrame, str], None]:
     """Store changed hours and recompute features from the look-back on.
 
@@ -132,7 +185,7 @@ def upsert_raw(hours: DataFrame, raw_path: str, lookback: int = S.LOOKBACK_HOURS
 
 def start_refresh(
     readings: DataFrame,
-    aggregates: dict[str, Column],
+    measures: Measures,
     path: str,
     raw_path: str,
     log_path: str,
@@ -140,7 +193,7 @@ def start_refresh(
     lookback: int = S.LOOKBACK_HOURS,
 ) -> StreamingQuery:
     return (
-        readings.writeStream.foreachBatch(complete_hours(log_path, aggregates, refresh_batch(path, raw_path, lookback)))
+        readings.writeStream.foreachBatch(complete_hours(log_path, measures, refresh_batch(path, raw_path, lookback)))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -107,7 +107,7 @@ def test_daily_moving_average_needs_all_days(spark):
 def test_quantiles_with_one_dominant_value(spark):
     values = [5.0] * 500 + np.random.default_rng(0).uniform(0, 10, 499).round(3).tolist()
     df = spark.createDataFrame([("a", v) for v in values], "station string, x double")
-    got = {r["p"]: r["value"] for r in A.quantiles(df, "x", [0, 0.1, 0.25, 0.5, 0.9, 1], ranges=16).collect()}
+    got = {r["p"]: r["value"] for r in A.quantiles(df, "x", [0, 0.1, 0.25, 0.5, 0.9, 1], small=20).collect()}
     for p, v in got.items():
         assert abs(v - np.quantile(values, p)) < 1e-12
 
@@ -129,3 +129,27 @@ def test_pooled_split_cuts_all_stations_at_the_same_times(spark):
     assert sum(p[2] for p in parts.values()) == 150
     assert parts["train"][1] < parts["val"][0] and parts["val"][1] < parts["test"][0]
     assert abs(parts["train"][2] - 120) <= 2
+
+
+def test_quantiles_by_brackets_are_exact(spark):
+    """Ties, one dominant value, few rows and many: brackets narrow to few rows and give what a sort gives."""
+    from airlake.operators import aggregates as A
+
+    r = np.random.default_rng(3)
+    groups = {
+        "many": r.normal(size=6000).round(6),
+        "ties": r.integers(0, 4, 3000).astype(float),
+        "dominant": np.r_[np.full(4000, 7.0), r.normal(size=1500)],
+        "few": np.array([3.0, 1.0]),
+        "one": np.array([5.0]),
+    }
+    rows = [(k, float(v)) for k, values in groups.items() for v in values] + [("none", None)]
+    df = spark.createDataFrame(rows, "station string, us_aqi double").repartition(4)
+    ps = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {(q["station"], q["p"]): q["value"] for q in A.quantiles(df, "us_aqi", ps, small=100).collect()}
+    want = {(k, p): float(np.quantile(v, p)) for k, v in groups.items() for p in ps}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    # What is ranked are the brackets' values, not all of them.
+    plan = A.quantiles(df, "us_aqi", [0.5], small=100)
+    assert "RangePartitioning" not in plan._jdf.queryExecution().executedPlan().toString()

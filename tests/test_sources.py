@@ -102,3 +102,48 @@ def test_registry_versions(spark):
     assert registry.explain_choice(registry.read_registry(spark, root)).first().model_name == "xgboost"
     with pytest.raises(LookupError):
         registry.load(spark, root, "random_forest")
+
+
+def test_only_overlapping_files_of_the_landing_are_opened(spark):
+    from airlake.sources import landed, sinks
+
+    path, index = sinks.new_folder(spark, "t-landed"), sinks.new_folder(spark, "t-index")
+
+    def land(first_day, days):
+        docs = [("a", {"time": [f"2024-01-{first_day + d:02d}T{h:02d}:00" for h in range(24)], **{c: [1.0] * 24 for c in S.WEATHER}}) for d in range(days)]
+        for doc in docs:
+            spark.createDataFrame([doc], S.HOURLY_WEATHER_JSON).coalesce(1).write.mode("append").json(path)
+        landed.index_landed(spark, path, index, S.HOURLY_WEATHER_JSON)
+
+    land(1, 6)
+    land(7, 4)
+    landed.index_landed(spark, path, index, S.HOURLY_WEATHER_JSON)
+    assert spark.read.parquet(index).count() == spark.read.parquet(index).select("file").distinct().count() == 10
+    ends = [F.lit(f"2024-01-{d}").cast("date") for d in ("05", "08")]
+    assert len(landed.files_between(spark, index, *ends)) == 4
+    got = landed.read_historical(spark, path, S.HOURLY_WEATHER_JSON, *ends, index)
+    plain = landed.read_historical(spark, path, S.HOURLY_WEATHER_JSON, *ends)
+    assert len(got.inputFiles()) == 4 and len(plain.inputFiles()) == 10
+    assert got.count() == 96 and got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty()
+    none = [F.lit(f"2030-01-{d}").cast("date") for d in ("05", "08")]
+    assert landed.read_historical(spark, path, S.HOURLY_WEATHER_JSON, *none, index).isEmpty()
+
+
+def test_a_batch_is_counted_while_it_is_staged(spark):
+    """Rejected before the table is touched, and without a scan of its own."""
+    from airlake.operators import quality
+    from airlake.sources import sinks, store
+
+    path = sinks.new_folder(spark, "t-store")
+    row = ("a", dt.datetime(2024, 1, 1), *[1.0] * (1 + len(S.FEATURES)))
+    kinds = "station string, ts timestamp_ntz, " + ", ".join(f"{c} double" for c in (S.TARGET, *S.FEATURES))
+    good = spark.createDataFrame([row], kinds)
+    store.upsert_features(good, path)
+    bad = good.withColumn(S.FEATURES[3], F.lit(None).cast("double")).withColumn("ts", F.lit(dt.datetime(2024, 1, 2)))
+    for df, word in ((bad, S.FEATURES[3]), (good.limit(0), "empty"), (good.drop(S.FEATURES[0]), "missing"), (good.withColumn(S.TARGET, F.lit("x")), "non-numeric")):
+        with pytest.raises(quality.RejectedBatch, match=word):
+            store.upsert_features(df, path)
+    assert store.read_table(spark, path).count() == 1
+    found = {(r["check"], r["column"]): r["n"] for r in quality.all_violations(bad.drop(S.FEATURES[0]).withColumn(S.TARGET, F.lit("x"))).collect()}
+    assert found == {("missing_column", S.FEATURES[0]): 1, ("non_numeric", S.TARGET): 1, ("null", S.FEATURES[3]): 1}
+    assert [tuple(r) for r in quality.all_violations(good.limit(0)).collect()] == [(None, "empty_batch", None, 1)]
