@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -186,48 +187,123 @@ class Page:
         self.article = sum(len(text) for _, text, inside in self.nodes.values() if inside)
 
 
-def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
-    """Simple tree matching: the largest set of pairs of equal kinds that keeps parents and the order of children."""
-    known: dict[tuple[int, int], int] = {}
-
-    def size(x: Node, y: Node) -> int:
-        if x.kind != y.kind:
-            return 0
-        key = (id(x), id(y))
-        if key not in known:
-            known[key] = 1 + table(x.children, y.children)[-1][-1]
-        return known[key]
-
-    def table(xs: list[Node], ys: list[Node]) -> list[list[int]]:
-        rows = [[0] * (len(ys) + 1)]
+def _kinds(root: Node, numbers: dict[tuple, int]) -> dict[int, int]:
+    """A number for each node (by its id) that equals another node's if both subtrees have the same kinds."""
+    out: dict[int, int] = {}
+    todo: list[tuple[Node, bool]] = [(root, False)]
+    while todo:
+        node, done = todo.pop()
+        if done:
+            shape = (node.kind, *(out[id(x)] for x in node.children))
+            out[id(node)] = numbers.setdefault(shape, len(numbers))
+        else:
+            todo.append((node, True))
+            todo.extend((x, False) for x in node.children)
+    return out
+
+
+class _Sizes:
+    """The size of the largest match of two subtrees, once for each pair of shapes (a kind and its children's shapes)."""
+
+    def __init__(self, numbers: dict[tuple, int]) -> None:
+        self.shapes = list(numbers)
+        self.known: dict[tuple[int, int], int] = {}
+        self.count: list[int] = []
+        for shape in self.shapes:
+            self.count.append(1 + sum(self.count[c] for c in shape[1:]))
+
+    def of(self, x: int, y: int) -> int:
+        todo = [(x, y)]
+        while todo:
+            p, q = todo[-1]
+            if (p, q) in self.known:
+                todo.pop()
+                continue
+            a, b = self.shapes[p], self.shapes[q]
+            if a[0] != b[0]:
+                self.known[p, q] = 0
+            elif p == q:
+                self.known[p, q] = self.count[p]
+            else:
+                start, end_a, end_b = trimmed(a[1:], b[1:])
+                xs, ys = a[1 + start : 1 + end_a], b[1 + start : 1 + end_b]
+                open_ = [(i, j) for i in set(xs) for j in set(ys) if (i, j) not in self.known]
+                if open_:
+                    todo.extend(open_)
+                    continue
+                same = sum(self.count[c] for c in (*a[1 : 1 + start], *a[1 + end_a :]))
+                self.known[p, q] = 1 + same + int(self.row(xs, ys)[-1])
+            todo.pop()
+        return self.known[x, y]
+
+    def row(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> np.ndarray:
+        """The last row of the table of matches of two lists; two rows are held."""
+        row = np.zeros(len(ys) + 1, np.int64)
+        weights: dict[int, np.ndarray] = {}
         for x in xs:
-            last, row = rows[-1], [0]
-            for j, y in enumerate(ys):
-                met = last[j] + size(x, y)
-                row.append(max(met, last[j + 1], row[j]))
-            rows.append(row)
-        return rows
+            if x not in weights:
+                weights[x] = np.array([self.known[x, y] for y in ys], np.int64)
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + weights[x]))
+        return row
+
+    def pairs(self, xs: tuple[int, ...], ys: tuple[int, ...]) -> list[tuple[int, int]]:
+        """Places of a largest match of two lists, by halves: memory in proportion to one list."""
+        for i in set(xs):
+            for j in set(ys):
+                self.of(i, j)
+        out, todo = [], [(0, len(xs), 0, len(ys))]
+        while todo:
+            a0, a1, b0, b1 = todo.pop()
+            start, end_a, end_b = trimmed(xs[a0:a1], ys[b0:b1])
+            out += [(a0 + k, b0 + k) for k in range(start)] + [(a0 + end_a + k, b0 + end_b + k) for k in range(a1 - a0 - end_a)]
+            a0, a1, b0, b1 = a0 + start, a0 + end_a, b0 + start, b0 + end_b
+            if a1 <= a0 or b1 <= b0:
+                continue
+            if a1 - a0 == 1:
+                best = max(range(b0, b1), key=lambda j, a0=a0: self.known[xs[a0], ys[j]])
+                if self.known[xs[a0], ys[best]]:
+                    out.append((a0, best))
+                continue
+            middle = (a0 + a1) // 2
+            ahead = self.row(xs[a0:middle], ys[b0:b1])
+            back = self.row(xs[middle:a1][::-1], ys[b0:b1][::-1])[::-1]
+            cut = b0 + int((ahead + back).argmax())
+            todo += [(a0, middle, b0, cut), (middle, a1, cut, b1)]
+        return out
+
+
+def trimmed(xs: tuple[int, ...], ys: tuple[int, ...]) -> tuple[int, int, int]:
+    """How far two lists are the same from the front, and where each stops before what is the same at the end. Same subtrees
+    at the ends are part of some largest match, as neither can be matched better."""
+    least = min(len(xs), len(ys))
+    start = 0
+    while start < least and xs[start] == ys[start]:
+        start += 1
+    back = 0
+    while back < least - start and xs[-1 - back] == ys[-1 - back]:
+        back += 1
+    return start, len(xs) - back, len(ys) - back
 
+
+def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
+    """Simple tree matching: the largest set of pairs of equal kinds that keeps parents and the order of children.
+
+    Pages may be thousands of elements deep or wide: nothing is recursive, and sizes are kept by shape, not by node.
+    """
+    numbers: dict[tuple, int] = {}
+    left, right = _kinds(a, numbers), _kinds(b, numbers)
+    sizes = _Sizes(numbers)
     pairs, todo = [], [(a, b)] if a.kind == b.kind else []
     while todo:
         x, y = todo.pop()
         pairs.append((x, y))
         xs, ys = x.children, y.children
-        if not xs or not ys:
-            continue
         # Children that agree from the front, and are the same to the end, need no table.
         if len(xs) == len(ys) and all(p.kind == q.kind for p, q in zip(xs, ys)):
             todo.extend(zip(xs, ys))
-            continue
-        rows, i, j = table(xs, ys), len(xs), len(ys)
-        while i and j:
-            if rows[i][j] == rows[i - 1][j]:
-                i -= 1
-            elif rows[i][j] == rows[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                todo.append((xs[i], ys[j]))
+        elif xs and ys:
+            met = sizes.pairs(tuple(left[id(c)] for c in xs), tuple(right[id(c)] for c in ys))
+            todo.extend((xs[i], ys[j]) for i, j in met)
     return pairs
 
 
@@ -237,31 +313,35 @@ def main_text(root: Node, template: set[int]) -> str:
     An article of template nodes alone is one that the host repeats; it stays.
     """
 
-    def has_main(node: Node) -> bool:
-        return not node.drop and (node.main or any(has_main(x) for x in node.children))
-
-    def blocks(node: Node, inside: bool, known: set[int], out: list[str]) -> None:
-        if node.drop:
-            return
-        inside = inside or node.main
-        keep = inside and id(node) not in known
-        run: list[str] = []
-        for x in [*node.items, None]:
-            if isinstance(x, str):
-                run.append(x)
-                continue
+    def blocks(inside: bool, known: set[int]) -> list[str]:
+        out: list[str] = []
+        # Each open element with its place among its items, whether its text counts, and the run of text so far.
+        todo: list[tuple[Node, int, bool, list[str]]] = [(root, 0, inside, [])] if not root.drop else []
+        while todo:
+            node, at, inside, run = todo.pop()
+            inside = inside or node.main
+            keep = inside and id(node) not in known
+            while at < len(node.items) and isinstance(node.items[at], str):
+                run.append(node.items[at])
+                at += 1
             text = _SPACE.sub(" ", "".join(run)).strip()
             if text and keep:
                 out.append(text)
-            run = []
-            if x is not None:
-                blocks(x, inside, known, out)
-
-    out: list[str] = []
-    named = has_main(root)
-    blocks(root, not named, template, out)
+            if at < len(node.items):
+                todo.append((node, at + 1, inside, []))
+                if not node.items[at].drop:
+                    todo.append((node.items[at], 0, inside, []))
+        return out
+
+    named, seen = False, [root]
+    while seen and not named:
+        node = seen.pop()
+        if not node.drop:
+            named = node.main
+            seen.extend(node.children)
+    out = blocks(not named, template)
     if named and template and not out:
-        blocks(root, False, set(), out)
+        out = blocks(False, set())
     return "\n".join(out)
 
 

@@ -210,6 +210,11 @@ def test_toxicity_on_held_out_rows(spark, docs):
     odd = toxicity.score(docs, model)
     assert odd.count() == len(cases.ROWS) and odd.filter("score is null or score < 0 or score > 1").isEmpty()
     assert toxicity.score(docs.limit(0), model).isEmpty()
+    # The stage filters the scored rows themselves, so ids that repeat or are null change nothing.
+    scored = toxicity.score(texts, model).join(texts, "doc_id").select("text", "score").collect()
+    bad, good = max(scored, key=lambda r: r["score"])["text"], min(scored, key=lambda r: r["score"])["text"]
+    mixed = docs.sparkSession.createDataFrame([(1, bad, None), (1, good, 3), (None, bad, 4), (None, None, None)], "doc_id long, text string, n_chars long")
+    assert sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in toxicity.without_toxic(mixed, model).collect()), key=str) == sorted([(1, good, 3), (None, None, None)], key=str)
     nobody = toxicity.learn(texts, labels.limit(0))
     assert toxicity.score(docs, nobody).filter("score <> 0").isEmpty()
 
@@ -281,3 +286,44 @@ def test_pipeline_stages(spark):
         ids = kept
     assert out["personal-data"].filter("n_chars <> char_length(text)").isEmpty()
     assert out["mixing"].filter("rate < 0 or copies < 0").isEmpty()
+
+
+def test_pages_thousands_of_elements_deep_or_wide():
+    """No recursion, and memory that follows one list, not the product of two."""
+    deep = html_extract.parse("<div>" * 5000 + "x")
+    other = html_extract.parse("<div>" * 4999 + "<p>y")
+    assert len(html_extract.align(deep, other)) == 5000
+    assert html_extract.main_text(deep, set()) == "x" and len(html_extract.Page("<div>" * 5000 + "x").nodes) == 1
+    r = random.Random(2)
+    page = lambda n: "<ul>" + "".join("<li>a" + ("<p>b" if r.random() < 0.5 else "") + "</li>" for _ in range(n)) + "</ul>"
+    pairs = html_extract.align(html_extract.parse(page(5000)), html_extract.parse(page(5001)))
+    assert len(pairs) > 6000
+
+
+def test_alignment_is_the_largest_match():
+    """Against the plain recursion over all nodes."""
+
+    def largest(x, y):
+        if x.kind != y.kind:
+            return 0
+        rows = [[0] * (len(y.children) + 1)]
+        for a in x.children:
+            row = [0]
+            for j, b in enumerate(y.children):
+                row.append(max(rows[-1][j + 1], row[j], rows[-1][j] + largest(a, b)))
+            rows.append(row)
+        return 1 + rows[-1][-1]
+
+    r = random.Random(4)
+
+    def made(depth):
+        kinds = r.choices(["div", "ul", "li", "section"], k=r.randint(0, 4)) if depth else []
+        return "t" + "".join(f"<{k}>{made(depth - 1)}</{k}>" for k in kinds)
+
+    for _ in range(150):
+        a, b = html_extract.parse(made(4)), html_extract.parse(made(4))
+        numbers = {}
+        left, right = html_extract._kinds(a, numbers), html_extract._kinds(b, numbers)
+        assert html_extract._Sizes(numbers).of(left[id(a)], right[id(b)]) == largest(a, b)
+        pairs = html_extract.align(a, b)
+        assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs) and all(x.kind == y.kind for x, y in pairs)
