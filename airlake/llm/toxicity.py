@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -263,9 +264,28 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with all columns, without the documents whose score reaches the threshold. Rows without an id stay."""
-    rejected = score(docs, model).filter(F.col("score") >= threshold).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    """``docs`` with all columns, without the rows whose own text's score reaches the threshold, whatever their ids. Rows are
+    scored and filtered where they are read; nothing is joined or shuffled."""
+    words, stems, allowed, weights = model.words, model.stems, model.allowed, model.weights
+    if weights is None:
+        return docs if threshold > 0 else docs.limit(0)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, memo = Automaton(words, stems, allowed), {}
+        for batch in batches:
+            stays = []
+            for text in batch.column(at):
+                if len(memo) > MEMO:
+                    memo.clear()
+                found = features(text.as_py() or "", automaton, memo)
+                odds = float(weights[-1])
+                for value, w in zip(found, weights):
+                    odds += value * float(w)
+                stays.append(1 / (1 + math.exp(min(-odds, 700.0))) < threshold)
+            yield batch.filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame, held_out: int | None = 1, folds: int = 3) -> Model:
