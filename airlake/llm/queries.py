@@ -137,7 +137,7 @@ def op7_tensored_minhash(spark, folder):
 OP1_SQL = r"""with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
 t as (select doc_id, i, w[i] as b, case when i > 1 then w[i - 1] end as a from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d)),
-u as (select b as word, count(*) as n from t group by b), p as (select a, b, count(*) as n from t where a is not null group by a, b having count(*) >= 2),
+u as (select b as word, count(*) as n from t group by b), p as (select a, b, count(*) as n from t where a is not null group by a, b),
 s as (select t.doc_id, sum(case when p.n is not null then log10(p.n / ua.n) when t.a is null then log10(ub.n / (select count(*) from t))
   else log10(0.4) + log10(ub.n / (select count(*) from t)) end) as score, count(*) as n_words
   from t join u ub on ub.word = t.b left join u ua on ua.word = t.a left join p on p.a = t.a and p.b = t.b group by t.doc_id)
@@ -149,7 +149,7 @@ from d left join s using (doc_id)"""
 def op1_stupid_backoff(spark, folder):
     from airlake.llm import lm_score as L
 
-    scored = L.score(table(spark, folder, "documents"))
+    scored = L.score(table(spark, folder, "documents"), single=True)
     return scored.withColumns({c: F.round(c, 4) for c in ("score", "mean")})
 
 
