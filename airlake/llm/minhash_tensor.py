@@ -10,7 +10,8 @@ formed. Then
 1. in a few turns, each text is compared with one leader of another class, of the leaders of its buckets the one it meets
    most often; each turn a bucket has another leader;
 2. buckets in which more than one class is left go, with all their texts, through an exact join on the rarest shingles
-   (two sets of similarity t share one of the n - ceil(t n) + 1 rarest shingles of either), across classes only.
+   (two sets of similarity t share one of the n - ceil(t n) + 1 rarest shingles of either), across classes only, and of pairs
+   whose sizes, places and parity bits allow the similarity at all.
 So no bucket is ever expanded into pairs, and no bucket is cut: what the leaders leave open is settled exactly.
 
 Classes are found by alternating large-star and small-star steps over link tables; nothing is gathered on the driver.
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,6 +37,8 @@ HALVES, WIDTH = 12, 2
 TURNS, MEETINGS = 4, 20
 #: Least intersection in hundredths of the union.
 PERCENT = 75
+#: Bits that bound how much two sets can have in common.
+BITS = 512
 MEMO = 400_000
 _RNG = np.random.default_rng(20)
 _MUL = _RNG.integers(1, 2**63, 2 * HALVES * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -44,6 +47,11 @@ _POS = _RNG.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uin
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
+def _mark() -> Column:
+    """Rows are known by their id and this hash of their text, so an id may have several texts; pairs sort by id first."""
+    return F.xxhash64(F.col("text"))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * _MIX1
     x = (x ^ (x >> np.uint64(33))) * _MIX2
@@ -71,6 +79,12 @@ def shingles(text: str | None, memo: dict[bytes, int]) -> np.ndarray:
     return np.unique(total)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """``BITS`` bits, each the parity of the shingles that fall to it: two sets' bits differ in no more places than the sets."""
+    odd = np.bincount((found >> np.uint64(5)) % np.uint64(BITS), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def half_keys(found: np.ndarray) -> np.ndarray:
     """Left half-keys, then right half-keys."""
     least = np.full(len(_MUL), np.iinfo(np.uint64).max, np.uint64)
@@ -84,7 +98,8 @@ def half_keys(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, halves); ``digest`` tells shingle sets apart, it is null for texts without words."""
+    """(doc_id, mark, n_shingles, digest, halves); ``digest`` tells shingle sets apart, it is null for texts without words;
+    ``mark`` tells the texts of one id apart."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[bytes, int] = {}
@@ -94,22 +109,25 @@ def signatures(docs: DataFrame) -> DataFrame:
                 found = shingles(text, memo)
                 rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None, half_keys(found) if len(found) else None))
             out = pd.DataFrame(rows, columns=["n_shingles", "digest", "halves"], index=batch.index)
-            yield pd.concat([batch["doc_id"], out], axis=1)
+            yield pd.concat([batch[["doc_id", "mark"]], out], axis=1)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, n_shingles long, digest binary, halves array<long>")
+    return docs.select("doc_id", _mark().alias("mark"), "text").mapInPandas(run, f"doc_id {kind}, mark long, n_shingles long, digest binary, halves array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
+    """(id, s, bits) of texts (doc_id, mark, text); ``id`` is the pair of the first two."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[bytes, int] = {}
         for batch in batches:
             for at in range(0, len(batch), 200):
                 part = batch.iloc[at : at + 200]
-                yield pd.DataFrame({"id": part["id"], "s": [shingles(t, memo).view(np.int64) for t in part["text"]]})
+                found = [shingles(t, memo) for t in part["text"]]
+                yield part[["doc_id", "mark"]].assign(s=[s.view(np.int64) for s in found], bits=[parities(s) for s in found])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInPandas(run, f"id {kind}, s array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInPandas(run, f"doc_id {kind}, mark long, s array<long>, bits array<long>").select(F.struct("doc_id", "mark").alias("id"), "s", "bits")
 
 
 def buckets(members: DataFrame) -> DataFrame:
@@ -181,13 +199,13 @@ def _live(table: DataFrame, found: DataFrame) -> DataFrame:
 
 def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): all pairs of texts (id, class) of different classes that share a shingle of their rarest ones."""
-    rows = sets.join(members, "id").select("id", "class", F.size("s").alias("n"), F.explode("s").alias("s"))
+    rows = sets.join(members, "id").select("id", "class", "bits", F.size("s").alias("n"), F.explode("s").alias("s"))
     often = rows.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
     rows = rows.join(often, "s")
     # Shingles that no other text has come first in the order and match nothing.
     own = Window.partitionBy("id")
     place = F.row_number().over(own.orderBy("df", "s")) + F.col("n") - F.count("*").over(own)
-    ranked = rows.select("id", "class", "n", "s", place.alias("place")).filter(f"place <= n - ceil(n * {PERCENT} / 100) + 1")
+    ranked = rows.select("id", "class", "bits", "n", "s", place.alias("place")).filter(f"place <= n - ceil(n * {PERCENT} / 100) + 1")
     first = session.materialize(ranked, "rare-shingles")
     # The smaller of two texts has at least 2 t / (1 + t) of its shingles in common with the other, so fewer of its rarest
     # ones do; and a first common shingle so far up must leave room for all the others.
@@ -195,26 +213,24 @@ def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
     asked = first.filter(f"place <= n - ceil(n * 2 * {PERCENT} / {100 + PERCENT}) + 1")
     live = first.groupBy("s").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("s")
     asked = asked.join(live, "s", "left_semi")
-    there = first.select("s", F.col("class").alias("other"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"))
-    fits = f"n <= m and class <> other and 100 * n >= {PERCENT} * m and 1 + least(n - place, m - at) >= {common}"
+    there = first.select("s", F.col("class").alias("other"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("bits").alias("others"))
+    # Sets whose bits differ in more places than they may have shingles of their own can't be similar enough.
+    apart = " + ".join(f"bit_count(bits[{k}] ^ others[{k}])" for k in range(BITS // 64))
+    fits = f"n <= m and class <> other and 100 * n >= {PERCENT} * m and 1 + least(n - place, m - at) >= {common} and {apart} <= n + m - 2 * {common}"
     return asked.join(there, "s").filter(fits).select(F.col("id").alias("a"), "b").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs`` (doc_id, text).
-
-    ``component_id`` is the smallest id that verified links reach, ``kept`` tells whether it is the row's own. Null and
-    empty texts and texts without words are linked with nothing; so are rows without an id, whose component is null and
-    which are kept. Rows that repeat an id have one component if their texts are alike. Tables without rows or without
-    copies give no links. Other columns are not read.
-    """
+def _classified(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, n_shingles, class), a row for each row; ``class`` is the smallest (doc_id, mark) that links reach, null for
+    rows that can't be linked."""
     signed = session.materialize(signatures(docs), "signatures")
     sets = signed.filter("digest is not null and doc_id is not null")
-    members = sets.groupBy("digest").agg(F.min(F.struct("doc_id", "halves")).alias("m")).select("digest", F.col("m.doc_id").alias("id"), F.col("m.halves").alias("halves"))
+    members = sets.groupBy("digest").agg(F.min(F.struct(F.struct("doc_id", "mark").alias("id"), "halves")).alias("m")).select("digest", F.col("m.id").alias("id"), F.col("m.halves").alias("halves"))
     members = session.materialize(members, "distinct-texts")
     table = session.materialize(buckets(members.select("id", "halves")), "buckets")
     candidates = table.select("id").distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(candidates, "id", "left_semi").dropDuplicates(["id"])
+    named = docs.select("doc_id", _mark().alias("mark"), "text").withColumn("id", F.struct("doc_id", "mark"))
+    texts = named.join(candidates, "id", "left_semi").dropDuplicates(["doc_id", "mark"]).drop("id")
     full = session.materialize(_sets(texts), "shingle-sets")
     found = candidates.select("id", F.col("id").alias("class")).limit(0)
     live = session.materialize(_live(table, found), "live-buckets")
@@ -230,17 +246,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not more.isEmpty():
             found = session.materialize(_joined(found, more), "classes")
     names = members.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("class", "id").alias("class"))
-    out = signed.join(names, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    return signed.join(names, "digest", "left").select("doc_id", "mark", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs`` (doc_id, text).
+
+    ``component_id`` is the smallest id that verified links reach, ``kept`` tells whether it is the row's own. Null and
+    empty texts and texts without words are linked with nothing; so are rows without an id, whose component is null and
+    which are kept. Rows that repeat an id are linked by their own texts. Tables without rows or without copies give no links.
+    Other columns are not read.
+    """
+    out = _classified(docs).select("doc_id", "n_shingles", F.coalesce("class.doc_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with all columns, with one document of each class: the one of the smallest id. Rows that repeat an id and
-    its text stay once; rows without an id stay."""
-    found = session.materialize(near_duplicates(docs), "near-duplicates")
-    others = found.filter(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(others, "doc_id", "left_anti")
+    """``docs`` with all columns, with one document of each class: the one of the smallest id, and of the texts of that id
+    one. Rows that repeat an id and its text stay once; rows without an id stay."""
+    found = session.materialize(_classified(docs), "near-duplicates")
+    others = found.filter("class <> struct(doc_id, mark)").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    left = docs.join(others, (F.col("doc_id") == F.col("__id")) & (_mark() == F.col("__mark")), "left_anti")
     repeats = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
     return left if repeats.isEmpty() else left.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(left.filter("doc_id is null"))

@@ -126,3 +126,32 @@ def test_proximity(spark):
     split = docs.select("doc", decontaminate.words(docs["text"]).alias("words"))
     assert sorted(r["doc"] for r in decontaminate.proximity_matches(split, groups, 4).collect()) == [1, 3]
     assert sorted(r["doc"] for r in decontaminate.proximity_matches(split, groups, 3).collect()) == [3]
+
+
+def test_ids_that_repeat_or_lack_go_by_their_own_texts(spark):
+    """Rows of one id with different texts, rows without ids, and copies: a row for each row, and no link or hit is lost."""
+    a, b = cases.prose(31, 80), cases.prose(32, 80)
+    item = cases.prose(33, 12)
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, f"x {item} y"), (None, "clean text without anything"), (4, f"{item} z"), (4, "clean"), (5, item), (5, item)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_tensor.near_duplicates(df).collect()}
+    n = {i: len(shingles(t)) for i, t in ((2, rows[2][1]), (3, rows[3][1]), (1, a))}
+    assert {(2, n[2], 1, False), (3, n[3], 1, False), (1, n[1], 1, True)} <= got
+    # Row 5 is a near copy of one text of id 4.
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in minhash_tensor.without_near_duplicates(df).collect())
+    assert left == sorted([(1, a), (1, b), (0, rows[4][1]), (0, rows[5][1]), (4, rows[6][1]), (4, "clean")])
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    found = sorted((r["doc_id"] or 0, r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(df, items).collect())
+    size = len(words(item))
+    want = [(i or 0, len(words(t)), size if item in t else 0, ["7"] if item in t else []) for i, t in rows]
+    assert found == sorted(want)
+    clean = sorted((r["doc_id"] or 0, r["text"]) for r in decontaminate.without_contaminated(df, items).collect())
+    assert clean == sorted((i or 0, t) for i, t in rows if item not in t)
+
+
+def test_a_long_text_full_of_one_phrase(spark):
+    """A phrase that stands in thousands of places of one text, and overlaps itself."""
+    text, item = "same " * 3000 + "end", "same " * 12
+    df = spark.createDataFrame([(1, text), (2, text), (3, "same " * 9)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontaminate.contamination(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: (3001, 3000), 2: (3001, 3000), 3: (9, 0)}
