@@ -103,19 +103,36 @@ def test_scores_equal_brute_force(docs, monkeypatch, hot):
         assert got[i][2] is None if n == 0 else got[i][2] == pytest.approx(total / n)
 
 
-@pytest.mark.parametrize("hot", [200_000, 5])
-def test_single_pairs_are_scored(docs, monkeypatch, hot):
-    """All pairs count, also those that occur once."""
-    for name, value in (("HOT", hot), ("HOT_PAIRS", hot)):
+def chain(rows, order):
+    """Each word by its count after the words before it, at most ``order`` - 1, in the table of all n-grams."""
+    texts: dict = {}
+    for i, t in rows:
+        texts.setdefault(i, []).append((t or "").encode().lower().split())
+    grams = Counter(tuple(w[k : k + n]) for ws in texts.values() for w in ws for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    tokens = sum(n for g, n in grams.items() if len(g) == 1)
+    out = {}
+    for i, ws in texts.items():
+        total = 0.0
+        for w in ws:
+            for k in range(len(w)):
+                g = tuple(w[max(0, k - order + 1) : k + 1])
+                total += math.log10(grams[g] / (grams[g[:-1]] if len(g) > 1 else tokens))
+        out[i] = sum(map(len, ws)), total
+    return out
+
+
+@pytest.mark.parametrize("hot,group,block,order", [(400_000, 2_000_000, 1_500_000, 2), (5, 3_000, 2_000, 2), (0, 500, 100, 2), (5, 3_000, 2_000, 3), (0, 500, 100, 4)])
+def test_single_pairs_are_scored(docs, monkeypatch, hot, group, block, order):
+    """All n-grams count, also those that occur once, whatever is broadcast, packed together or met in one range."""
+    for name, value in (("HOT_PAIRS", hot), ("GROUP", group), ("BLOCK", block)):
         monkeypatch.setattr(lm_score, name, value)
-    got = {r["doc_id"]: (r["n_words"], r["score"]) for r in lm_score.score(docs, single=True).collect()}
-    cut = backoff(cases.ROWS)
-    monkeypatch.setattr(lm_score, "MIN_COUNT", 1)
-    want = backoff(cases.ROWS)
-    assert set(got) == set(want) and want != cut
+    got = {r["doc_id"]: (r["n_words"], r["score"]) for r in lm_score.score(docs, single=True, order=order).collect()}
+    want = chain(cases.ROWS, order)
+    assert set(got) == set(want)
     for i, (n, total) in want.items():
         assert got[i][0] == n and got[i][1] == pytest.approx(total, abs=1e-6)
 
 
 def test_scores_of_no_rows(no_docs):
     assert lm_score.score(no_docs).count() == 0
+    assert lm_score.score(no_docs, single=True).count() == 0
