@@ -37,7 +37,9 @@ BLOOM_BLOCK = 1 << 16
 #: Tokens that are counted together before rows leave a task's Python; words kept in its memo.
 BLOCK, MEMO = 1_500_000, 400_000
 #: A task reports an n-gram that makes up one in so many of its own; n-grams that meet in one group of a hash range.
-SHARE, GROUP = 1_000_000, 2_000_000
+SHARE, GROUP = 1_000_000, 1_000_000
+#: Words of a block of documents whose n-grams are packed together; a longer text is a block of its own.
+PACKED = 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
@@ -152,7 +154,7 @@ def _gram_blocks(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tupl
     def block() -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         lengths = np.array([len(x) for x in held], np.int64)
         h = np.concatenate(held)
-        row = np.repeat(np.arange(len(held)), lengths)
+        row = np.repeat(np.arange(len(held), dtype=np.int32), lengths)
         place = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         found, gram = [], h
         for k in range(1, order + 1):
@@ -162,9 +164,9 @@ def _gram_blocks(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tupl
             left = lengths[row[:n]] - place[:n] - k  # words of the row after the n-gram
             needed = left >= 0  # a count needs all occurrences, those with factor 0 too
             if k == order:
-                factor = np.ones(n, np.int64)
+                factor = np.ones(n, np.int8)
             else:
-                factor = np.where(lengths[row[:n]] == k, 1, np.where((k == order - 1) & (place[:n] > 0) & (left > 0), -1, 0))
+                factor = np.where(lengths[row[:n]] == k, 1, np.where((k == order - 1) & (place[:n] > 0) & (left > 0), -1, 0)).astype(np.int8)
             found.append((gram[needed], row[:n][needed], factor[needed]))
         return pa.concat_arrays(ids), lengths, *(np.concatenate(x) for x in zip(*found))
 
@@ -174,7 +176,7 @@ def _gram_blocks(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tupl
             ids.append(batch.column("doc").slice(i, 1))
             held.append(h)
             size += len(h) + 1
-            if size > BLOCK:
+            if size > PACKED:
                 yield block()
                 ids, held, size = [], [], 0
     if held:
@@ -275,7 +277,7 @@ def _score_whole(docs: DataFrame, order: int) -> DataFrame:
             h, row, factor = h[by], row[by], factor[by]
             starts = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]) if len(h) else np.empty(0, np.int64)
             n = np.diff(np.r_[starts, len(h)])
-            less = n - (np.add.reduceat(factor, starts) if len(h) else n)  # 0 for most: takes no room
+            less = n - (np.add.reduceat(factor, starts, dtype=np.int64) if len(h) else n)  # 0 for most: takes no room
             h, row = h[starts], row[starts]
             bounds = np.r_[0, np.searchsorted(h, cuts), len(h)]
             out: dict[str, list] = {k: [] for k in ("part", "docs", "h", "row", "n", "less", "own", "words")}

@@ -124,7 +124,7 @@ def chain(rows, order):
 @pytest.mark.parametrize("hot,group,block,order", [(400_000, 2_000_000, 1_500_000, 2), (5, 3_000, 2_000, 2), (0, 500, 100, 2), (5, 3_000, 2_000, 3), (0, 500, 100, 4)])
 def test_single_pairs_are_scored(docs, monkeypatch, hot, group, block, order):
     """All n-grams count, also those that occur once, whatever is broadcast, packed together or met in one range."""
-    for name, value in (("HOT_PAIRS", hot), ("GROUP", group), ("BLOCK", block)):
+    for name, value in (("HOT_PAIRS", hot), ("GROUP", group), ("PACKED", block)):
         monkeypatch.setattr(lm_score, name, value)
     got = {r["doc_id"]: (r["n_words"], r["score"]) for r in lm_score.score(docs, single=True, order=order).collect()}
     want = chain(cases.ROWS, order)
