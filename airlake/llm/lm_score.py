@@ -36,8 +36,10 @@ HOT, HOT_PAIRS, BLOOM_BITS = 100_000, 400_000, 1 << 26
 BLOOM_BLOCK = 1 << 16
 #: Tokens that are counted together before rows leave a task's Python; words kept in its memo.
 BLOCK, MEMO = 1_500_000, 400_000
-#: A task reports an n-gram that makes up one in so many of its own; n-grams that meet in one group of a hash range.
+#: A task reports an n-gram that makes up one in so many of its own; n-grams that are unpacked together, as a slice of a hash range.
 SHARE, GROUP = 1_000_000, 1_000_000
+#: Least number of hash ranges, and slices of a range from which on there are more of them. A document gets a sum from each range.
+RANGES, SLICES = 32, 8
 #: Words of a block of documents whose n-grams are packed together; a longer text is a block of its own.
 PACKED = 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -258,13 +260,15 @@ def _score_whole(docs: DataFrame, order: int) -> DataFrame:
 
     Texts are exploded into their distinct n-grams, dealt out by hash; in each hash range the rows of an n-gram add up to its
     count, which is joined to them there, and documents get their sums. The rows of a block of documents that go to one
-    range travel as one row of packed numbers. Frequent n-grams are counted in the tasks, broadcast and not sent. The number of
-    ranges grows with the corpus, so that a range holds about ``GROUP`` rows.
+    slice of a range travel as one row of packed numbers. Frequent n-grams are counted in the tasks, broadcast and not sent. The
+    number of ranges grows with the corpus, so that a range holds about ``SLICES`` x ``GROUP`` n-grams, packed to some seven
+    bytes each; slices are unpacked one after another and a document gets one sum from a range.
     """
     hot, hot_counts, tokens = _hot_grams(docs.select("doc", "text"), order)
-    ranges = max(1, -(-2 * tokens // GROUP))
-    total, width = math.log10(max(tokens, 1)), -(-(1 << 64) // ranges)
-    edges = np.array([i * width for i in range(1, ranges)], np.uint64)
+    ranges = max(RANGES, -(-2 * tokens // (GROUP * SLICES)))
+    each = max(1, -(-2 * tokens // (GROUP * ranges)))
+    total, width = math.log10(max(tokens, 1)), -(-(1 << 64) // (ranges * each))
+    edges = np.array([i * width for i in range(1, ranges * each)], np.uint64)
     sent = docs.sparkSession.sparkContext.broadcast((hot, np.log10(hot_counts), edges))
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,13 +284,13 @@ def _score_whole(docs: DataFrame, order: int) -> DataFrame:
             less = n - (np.add.reduceat(factor, starts, dtype=np.int64) if len(h) else n)  # 0 for most: takes no room
             h, row = h[starts], row[starts]
             bounds = np.r_[0, np.searchsorted(h, cuts), len(h)]
-            out: dict[str, list] = {k: [] for k in ("part", "docs", "h", "row", "n", "less", "own", "words")}
+            out: dict[str, list] = {k: [] for k in ("range", "slice", "docs", "h", "row", "n", "less", "own", "words")}
 
             def put(part: int, docs: pa.Array, *rest: object) -> None:
-                for k, v in zip(out, (part, docs, *rest)):
+                for k, v in zip(out, (part // each, part, docs, *rest)):
                     out[k].append(v)
 
-            # The documents' own sums go along with any one range: the first of the block's n-grams, or the last range.
+            # The documents' own sums go along with any one range: the first of the block's n-grams, or the last slice.
             put(int(np.searchsorted(cuts, h[0], "right")) if len(h) else len(cuts), ids, b"", b"", b"", b"", own, lengths)
             for part in np.flatnonzero(np.diff(bounds)):
                 a, b = bounds[part], bounds[part + 1]
@@ -294,22 +298,22 @@ def _score_whole(docs: DataFrame, order: int) -> DataFrame:
                 steps = np.diff(h[a:b], prepend=np.uint64(0))
                 packed = (_planes(x) for x in (steps, at.astype(np.uint32), n[a:b].astype(np.uint32), less[a:b].astype(np.uint32)))
                 put(int(part), ids.take(pa.array(of)), *packed, np.empty(0), np.empty(0, np.int64))
-            arrays = [pa.array(out["part"], pa.int64()), _lists(out["docs"]), *(pa.array(out[k], pa.binary()) for k in ("h", "row", "n", "less"))]
+            arrays = [*(pa.array(out[k], pa.int64()) for k in ("range", "slice")), _lists(out["docs"]), *(pa.array(out[k], pa.binary()) for k in ("h", "row", "n", "less"))]
             arrays += [_lists([pa.array(x) for x in out[k]]) for k in ("own", "words")]
             yield pa.RecordBatch.from_arrays(arrays, list(out))
 
-    def meet(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        ids = [x.values for x in group.column("docs")]
-        first = np.cumsum([0, *(len(x) for x in ids)])
+    def meet_slice(rows: list[tuple[pa.RecordBatch, int]]) -> pa.Table:
+        value = lambda name: [batch.column(name)[i] for batch, i in rows]
+        ids = [x.values for x in value("docs")]
+        first = np.cumsum([0, *map(len, ids)])
         gain, words = np.zeros(first[-1]), np.zeros(first[-1], np.int64)
         parts: list[tuple[np.ndarray, ...]] = []
-        columns = (group.column(k).to_pylist() for k in ("h", "row", "n", "less", "own", "words"))
-        for start, h, row, n, less, own, lengths in zip(first, *columns):
-            if own:
-                gain[start : start + len(own)] = own
-                words[start : start + len(own)] = lengths
-            if h:
+        for start, own, lengths in zip(first, value("own"), value("words")):
+            gain[start : start + len(own)] = own.values.to_numpy()
+            words[start : start + len(own)] = lengths.values.to_numpy()
+        for start, *columns in zip(first, *(value(k) for k in ("h", "row", "n", "less"))):
+            h, row, n, less = (x.as_buffer() for x in columns)
+            if len(h):
                 count = _unplanes(n, np.uint32).astype(np.int64)
                 parts.append((np.cumsum(_unplanes(h, np.uint64), dtype=np.uint64), start + _unplanes(row, np.uint32).astype(np.int64), count, count - _unplanes(less, np.uint32)))
         if parts:
@@ -318,10 +322,22 @@ def _score_whole(docs: DataFrame, order: int) -> DataFrame:
             gain += np.bincount(of, factor * np.log10(np.bincount(at, n))[at], len(gain))
         return pa.table({"doc": pa.concat_arrays(ids), "gain": gain, "words": words})
 
+    def meet(group: pa.Table) -> pa.Table:
+        slices: dict[int, list[tuple[pa.RecordBatch, int]]] = {}
+        for batch in group.to_batches():
+            for i, k in enumerate(batch.column("slice").to_pylist()):
+                slices.setdefault(k, []).append((batch, i))
+        sums = None
+        for k in sorted(slices):
+            more = meet_slice(slices[k])
+            more = more if sums is None else pa.concat_tables([sums, more])
+            sums = more.group_by("doc").aggregate([("gain", "sum"), ("words", "sum")]).rename_columns(["doc", "gain", "words"])
+        return sums
+
     kind = docs.schema["doc"].dataType.simpleString()
     packed = "h binary, row binary, n binary, less binary"
-    sent_rows = docs.mapInArrow(explode, f"part long, docs array<{kind}>, {packed}, own array<double>, words array<long>")
-    met = sent_rows.groupBy("part").applyInArrow(meet, f"doc {kind}, gain double, words long")
+    sent_rows = docs.mapInArrow(explode, f"range long, slice long, docs array<{kind}>, {packed}, own array<double>, words array<long>")
+    met = sent_rows.groupBy("range").applyInArrow(meet, f"doc {kind}, gain double, words long")
     return met.groupBy("doc").agg(F.sum("words").alias("n_words"), F.sum("gain").alias("score"))
 
 
