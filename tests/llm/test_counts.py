@@ -133,6 +133,15 @@ def test_single_pairs_are_scored(docs, monkeypatch, hot, group, block, order):
         assert got[i][0] == n and got[i][1] == pytest.approx(total, abs=1e-6)
 
 
+def test_single_with_text_ids_and_blank_texts(spark):
+    rows = [("a", "one two one two"), ("b", None), (None, " \t"), ("a", "")]
+    got = {r["doc_id"]: (r["n_words"], r["score"]) for r in lm_score.score(spark.createDataFrame(rows, "doc_id string, text string"), single=True).collect()}
+    assert {k: n for k, (n, _) in got.items()} == {"a": 4, "b": 0, None: 0}
+    assert got["a"][1] == pytest.approx(math.log10(2 / 4) + math.log10(2 / 2) + math.log10(1 / 2) + math.log10(2 / 2))
+    blank = lm_score.score(spark.createDataFrame(rows[1:], "doc_id string, text string"), single=True).collect()
+    assert sorted((r["doc_id"] or "", r["n_words"], r["score"], r["mean"]) for r in blank) == [("", 0, 0.0, None), ("a", 0, 0.0, None), ("b", 0, 0.0, None)]
+
+
 def test_scores_of_no_rows(no_docs):
     assert lm_score.score(no_docs).count() == 0
     assert lm_score.score(no_docs, single=True).count() == 0
