@@ -15,8 +15,11 @@ from airlake.sources.store import exists
 
 
 def read_registry(spark: SparkSession, root: str) -> DataFrame:
+    """All entries; each has a folder of its own, those of older registries are files beside them."""
     path = f"{root}/entries"
-    return spark.read.schema(S.REGISTRY_TABLE).parquet(path) if exists(spark, path) else spark.createDataFrame([], S.REGISTRY_TABLE)
+    if not exists(spark, path):
+        return spark.createDataFrame([], S.REGISTRY_TABLE)
+    return spark.read.schema(S.REGISTRY_TABLE).option("recursiveFileLookup", "true").parquet(path)
 
 
 def register(
@@ -25,7 +28,8 @@ def register(
     """Save the model under a version of its own and append its entry last; returns the version.
 
     Whoever creates a version's folder has it: a writer that comes second takes the next number, so no two models share
-    one and none is overwritten. A writer that fails on the way leaves a number without an entry.
+    one and none is overwritten. A writer that fails on the way leaves a number without an entry. Entries are written to
+    folders of their own, because a job that ends clears what other jobs have under way in the same folder.
     """
     entries = read_registry(spark, root)
     newest = entries.where(F.col("model_name") == name).agg(F.max("version")).first()[0]
@@ -40,7 +44,7 @@ def register(
     row = spark.createDataFrame(
         [(name, version, {k: float(v) for k, v in metrics.items()}, None, list(features), path)], S.REGISTRY_TABLE
     )
-    row.withColumn("created", created.cast("timestamp_ntz")).write.mode("append").parquet(f"{root}/entries")
+    row.withColumn("created", created.cast("timestamp_ntz")).coalesce(1).write.parquet(f"{root}/entries/{name}/v{version}")
     return version
 
 

@@ -104,6 +104,30 @@ def test_registry_versions(spark):
         registry.load(spark, root, "random_forest")
 
 
+def test_writers_of_entries_leave_each_other_alone(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from pathlib import Path
+
+    from pyspark.ml import Pipeline
+
+    from airlake.operators.models import assembler
+
+    root = sinks.new_folder(spark, "t-registry")
+    model = Pipeline(stages=[assembler(["id"])]).fit(spark.range(2))
+    # An entry of an older registry, and what another job has under way beside it.
+    old = spark.createDataFrame([("ridge", 1, {"rmse": 3.0}, None, ["id"], f"{root}/models/ridge/v1")], S.REGISTRY_TABLE)
+    old.write.mode("append").parquet(f"{root}/entries")
+    pending = Path(root) / "entries/_temporary/0/_temporary/attempt_1/part-00000"
+    pending.parent.mkdir(parents=True)
+    pending.write_text("")
+    assert registry.register(model, root, "ridge", {"rmse": 2.0}, ["id"], at("2024-01-01"), spark) == 2
+    assert pending.exists()
+    with ThreadPoolExecutor(6) as pool:
+        jobs = [pool.submit(registry.register, model, root, "ridge", {"rmse": 1.0}, ["id"], at("2024-01-01"), spark) for _ in range(6)]
+        assert sorted(j.result() for j in jobs) == [3, 4, 5, 6, 7, 8]
+    assert sorted(r.version for r in registry.read_registry(spark, root).collect()) == [1, 2, 3, 4, 5, 6, 7, 8]
+
+
 def test_only_overlapping_files_of_the_landing_are_opened(spark):
     from airlake.sources import landed, sinks
 
