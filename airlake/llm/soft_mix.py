@@ -50,7 +50,7 @@ class Domains:
             self.model = NaiveBayes(featuresCol="__features", predictionCol="__domain", probabilityCol="__p", rawPredictionCol="__raw").fit(rows)
 
     def _features(self, docs: DataFrame, text: Column) -> DataFrame:
-        words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE), lambda w: w != "")
+        words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE), "")
         return self.hash.transform(docs.withColumn("__words", words))
 
     def posteriors(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -80,7 +80,10 @@ def _rate(steps: list[tuple[list[float], float]], common: float) -> Column:
     history = F.from_json(F.lit(json.dumps([{"e": e, "m": m} for e, m in steps])), "array<struct<e:array<double>,m:double>>")
 
     def step(a: Column, x: Column) -> Column:
-        slope = F.aggregate(F.zip_with("membership", x["e"], lambda p, e: p / 1000 * e), F.lit(0.0), lambda s, v: s + v)
+        # Written out for each domain: a function of arrays in each step would cost several times as much.
+        slope = F.lit(0.0)
+        for i in range(len(steps[0][0])):
+            slope = slope + F.col("membership")[i] / 1000 * x["e"][i]
         r = F.greatest(F.lit(0.0), a["y"] - (slope + PULL * (a["y"] - common)) / (1 + PULL))
         return F.struct(r.alias("r"), (r + x["m"] * (r - a["r"])).alias("y"))
 

@@ -145,3 +145,22 @@ def test_single_with_text_ids_and_blank_texts(spark):
 def test_scores_of_no_rows(no_docs):
     assert lm_score.score(no_docs).count() == 0
     assert lm_score.score(no_docs, single=True).count() == 0
+
+
+def test_rates_need_no_function_of_arrays_in_each_step(spark):
+    from airlake.llm import soft_mix as M
+
+    steps = [([0.25, -0.5], 0.0), ([0.125, -0.25], 0.25)]
+    rows = spark.createDataFrame([([700, 300],), ([0, 1000],)], "membership array<int>")
+    out = rows.select("membership", M._rate(steps, 1.0)["r"].alias("r"))
+    assert "zip_with" not in out._jdf.queryExecution().analyzed().toString()
+    for row in out.collect():
+        r = y = 1.0
+        for e, m in steps:
+            slope = sum(p / 1000 * x for p, x in zip(row.membership, e))
+            new = max(0.0, y - (slope + M.PULL * (y - 1.0)) / (1 + M.PULL))
+            r, y = new, new + m * (new - r)
+        assert row.r == r
+    domains = M.Domains(spark.createDataFrame([("a  b ", "x"), (" c", "y")], "text string, domain string"))
+    texts = spark.createDataFrame([(" a \t b\n",), ("",), (None,), ("   ",)], "text string")
+    assert [r.n_tokens for r in domains.posteriors(texts).collect()] == [2, 0, 0, 0]
