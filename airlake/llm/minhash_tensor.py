@@ -19,6 +19,7 @@ Classes are found by alternating large-star and small-star steps over link table
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ PERCENT = 75
 #: Bits that bound how much two sets can have in common.
 BITS = 512
 MEMO = 400_000
+#: Tables of links are dealt out to a task for so many of them, and to so many tasks at least.
+ROWS_A_TASK, LEAST_TASKS = 5_000, 8
 _RNG = np.random.default_rng(20)
 _MUL = _RNG.integers(1, 2**63, 2 * HALVES * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, 2 * HALVES * WIDTH, dtype=np.uint64)
@@ -150,9 +153,17 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return common.filter(f"100 * i >= {PERCENT} * (n - i)").select("a", "b")
 
 
+def _few(table: DataFrame, rows: int) -> DataFrame:
+    """``table`` in no more tasks than ``rows`` rows of pairs need, so that short tables don't become many small files."""
+    return table.coalesce(max(LEAST_TASKS, math.ceil(rows / ROWS_A_TASK)))
+
+
 def classes(links: DataFrame) -> DataFrame:
     """(id, class): the smallest id reachable over the links (a, b), for each id that has a link."""
-    edges = session.materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    # Steps make at most two rows of each link, so each is dealt out by the number of links.
+    rows = links.count()
+    edges = _few(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), rows)
+    edges = session.materialize(edges, "links")
 
     def mark(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -160,19 +171,20 @@ def classes(links: DataFrame) -> DataFrame:
     seen = mark(edges)
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = _few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), rows)
         # Large star: larger neighbours of a node go to its smallest one.
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = session.materialize(large, "large-star")
+        large = _few(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v"), rows)
+        large = session.materialize(_few(large.distinct(), rows), "large-star")
         # Small star: smaller neighbours of a node, and the node, go to its smallest one.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = _few(large.groupBy("u").agg(F.min("v").alias("m")), rows)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = session.materialize(small.filter("u <> v").distinct(), "small-star")
+        small = _few(small.filter("u <> v"), rows)
+        edges = session.materialize(_few(small.distinct(), rows), "small-star")
         now = mark(edges)
         if tuple(now) == tuple(seen):
             break
         seen = now
-    return edges.groupBy("u").agg(F.min("v").alias("class")).select(F.col("u").alias("id"), "class")
+    return _few(edges.groupBy("u").agg(F.min("v").alias("class")).select(F.col("u").alias("id"), "class"), rows)
 
 
 def _leaders(live: DataFrame, turn: int) -> DataFrame:
@@ -191,22 +203,23 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _live(table: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, id, class) of the buckets that hold more than one class."""
-    named = table.join(found, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"))
+    """(key, id, class) of the buckets (key, id) that hold more than one class."""
+    named = table.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"))
     live = named.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key")
     return named.join(live, "key", "left_semi")
 
 
 def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): all pairs of texts (id, class) of different classes that share a shingle of their rarest ones."""
-    rows = sets.join(members, "id").select("id", "class", "bits", F.size("s").alias("n"), F.explode("s").alias("s"))
+    # Rows of a shingle carry no more than they are ranked by; what else is known of a text comes to those that stay.
+    rows = sets.join(members, "id", "left_semi").select("id", F.size("s").alias("n"), F.explode("s").alias("s"))
     often = rows.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
     rows = rows.join(often, "s")
     # Shingles that no other text has come first in the order and match nothing.
     own = Window.partitionBy("id")
     place = F.row_number().over(own.orderBy("df", "s")) + F.col("n") - F.count("*").over(own)
-    ranked = rows.select("id", "class", "bits", "n", "s", place.alias("place")).filter(f"place <= n - ceil(n * {PERCENT} / 100) + 1")
-    first = session.materialize(ranked, "rare-shingles")
+    ranked = rows.select("id", "n", "s", place.alias("place")).filter(f"place <= n - ceil(n * {PERCENT} / 100) + 1")
+    first = session.materialize(ranked.join(members, "id").join(sets.select("id", "bits"), "id"), "rare-shingles")
     # The smaller of two texts has at least 2 t / (1 + t) of its shingles in common with the other, so fewer of its rarest
     # ones do; and a first common shingle so far up must leave room for all the others.
     common = f"ceil({PERCENT} * (n + m) / {100 + PERCENT})"
@@ -234,13 +247,17 @@ def _classified(docs: DataFrame) -> DataFrame:
     full = session.materialize(_sets(texts), "shingle-sets")
     found = candidates.select("id", F.col("id").alias("class")).limit(0)
     live = session.materialize(_live(table, found), "live-buckets")
+    session.discard(table)
     for turn in range(TURNS):
         links = session.materialize(verified(_leaders(live, turn), full), "leader-links")
         if links.isEmpty():
             break
         found = session.materialize(_joined(found, links), "classes")
-        live = session.materialize(_live(table, found), "live-buckets")
+        # Classes only grow, so a bucket of one class stays one.
+        before, live = live, session.materialize(_live(live, found), "live-buckets")
+        session.discard(before)
     left_open = session.materialize(live.select("id", "class").distinct(), "open-texts")
+    session.discard(live)
     if not left_open.isEmpty():
         more = session.materialize(verified(_across(left_open, full), full), "other-links")
         if not more.isEmpty():

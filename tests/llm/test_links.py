@@ -155,3 +155,27 @@ def test_a_long_text_full_of_one_phrase(spark):
     df = spark.createDataFrame([(1, text), (2, text), (3, "same " * 9)], "doc_id long, text string")
     got = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontaminate.contamination(df, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert got == {1: (3001, 3000), 2: (3001, 3000), 3: (9, 0)}
+
+
+def test_tables_of_links_are_short_and_those_no_longer_read_go(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    from airlake import session
+    from airlake.llm import minhash_tensor as H
+
+    monkeypatch.setattr(session, "work_dir", lambda spark: str(tmp_path))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    words = [f"w{i}" for i in range(60)]
+    texts = [[*words, *[f"x{k}y{i}" for i in range(k % 9)]] for k in range(40)]
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = H.near_duplicates(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert {r.component_id for r in found} == {0} and len(found) == 40
+    names = [p.name for p in tmp_path.iterdir()]
+    assert not [n for n in names if n.startswith(("buckets-", "live-buckets-"))]
+    stars = [p for p in Path(tmp_path).iterdir() if p.name.startswith(("links-", "large-star-", "small-star-"))]
+    assert stars and all(len([*p.glob("part-*")]) <= H.LEAST_TASKS for p in stars)
