@@ -6,9 +6,10 @@ is keyed by the i-th left and the j-th right half-key, so ``HALVES`` squared tab
 0.75 it is missed once in ten thousand times, at 0.8 once in a hundred thousand.
 
 Links. Texts with equal shingle sets count once. Half-keys that only one text has are dropped before any table key is
-formed. Then
-1. in a few turns, each text is compared with one leader of another class, of the leaders of its buckets the one it meets
-   most often; each turn a bucket has another leader;
+formed. Shingles are counted once: that gives each text its rarest ones, and how many texts have its shingles on average.
+Then
+1. each text is compared with one leader, of the leaders of its buckets the one it meets most often. A bucket's leader is its
+   text of the most common shingles, the one nearest to all others: of many near copies it is the one with the fewest edits;
 2. buckets in which more than one class is left go, with all their texts, through an exact join on the rarest shingles
    (two sets of similarity t share one of the n - ceil(t n) + 1 rarest shingles of either), across classes only, and of pairs
    whose sizes, places and parity bits allow the similarity at all.
@@ -33,9 +34,9 @@ from airlake import session
 
 SHINGLE = 5
 HALVES, WIDTH = 12, 2
-#: Turns of leaders, and in how many tables a text must meet a leader to be compared with it: texts of similarity 0.75
-#: meet in 46 of 144 on average, of 0.6 in 19. What turns leave open, for whatever reason, is settled by the exact join.
-TURNS, MEETINGS = 4, 20
+#: In how many tables a text must meet a leader to be compared with it: texts of similarity 0.75 meet in 46 of 144 on
+#: average, of 0.6 in 19. What leaders leave open, for whatever reason, is settled by the exact join.
+MEETINGS = 20
 #: Least intersection in hundredths of the union.
 PERCENT = 75
 #: Bits that bound how much two sets can have in common.
@@ -164,12 +165,9 @@ def classes(links: DataFrame) -> DataFrame:
     rows = links.count()
     edges = _few(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), rows)
     edges = session.materialize(edges, "links")
-
-    def mark(e: DataFrame):
-        return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-
-    seen = mark(edges)
-    while seen[0]:
+    if not rows:
+        return edges.select(F.col("u").alias("id"), F.col("v").alias("class"))
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = _few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), rows)
         # Large star: larger neighbours of a node go to its smallest one.
@@ -180,19 +178,31 @@ def classes(links: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         small = _few(small.filter("u <> v"), rows)
         edges = session.materialize(_few(small.distinct(), rows), "small-star")
-        now = mark(edges)
-        if tuple(now) == tuple(seen):
-            break
-        seen = now
-    return _few(edges.groupBy("u").agg(F.min("v").alias("class")).select(F.col("u").alias("id"), "class"), rows)
-
-
-def _leaders(live: DataFrame, turn: int) -> DataFrame:
-    """(a, b): each text and, of the leaders of its buckets in other classes, the one it meets most often, if that is often
-    enough. A bucket's leader is another one each turn."""
-    order = F.struct(F.xxhash64("id", F.lit(turn)), "id", "class")
-    leader = live.groupBy("key").agg(F.min(order).alias("x")).select("key", F.col("x.id").alias("b"), F.col("x.class").alias("other"))
-    met = live.join(leader, "key").filter("class <> other").groupBy("id", "b").agg(F.count("*").alias("n")).filter(f"n >= {MEETINGS}")
+        # Done once each node has one smaller neighbour, which has none itself.
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+        if ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("low")).filter("ups > 1 or ups > 0 and low = 0").isEmpty():
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("class"))
+
+
+def _rare(sets: DataFrame) -> DataFrame:
+    """(id, n, central, s, place): for each text the rarest of its ``n`` shingles that others have too, by place, as many as
+    the exact join needs, and ``central``, how many texts have a shingle of it on average. A text that is not there has no link."""
+    # Rows of a shingle carry no more than they are ranked by; what else is known of a text comes to those that stay.
+    rows = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("s"))
+    often = rows.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    rows = rows.join(often, "s")
+    # Shingles that no other text has come first in the order and match nothing.
+    own = Window.partitionBy("id")
+    place = F.row_number().over(own.orderBy("df", "s")) + F.col("n") - F.count("*").over(own)
+    ranked = rows.select("id", "n", (F.sum("df").over(own) / F.col("n")).alias("central"), "s", place.alias("place"))
+    return ranked.filter(f"place <= n - ceil(n * {PERCENT} / 100) + 1")
+
+
+def _leaders(live: DataFrame) -> DataFrame:
+    """(a, b): each text and, of the leaders of its buckets, the one it meets most often, if that is often enough. A bucket's
+    leader is its most central text."""
+    leader = live.groupBy("key").agg(F.min(F.struct((-F.col("central")).alias("c"), "id")).alias("x")).select("key", F.col("x.id").alias("b"))
+    met = live.join(leader, "key").filter("id <> b").groupBy("id", "b").agg(F.count("*").alias("n")).filter(f"n >= {MEETINGS}")
     best = met.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "b")).alias("best"))
     return best.select(F.col("id").alias("a"), F.col("best.b").alias("b"))
 
@@ -202,30 +212,22 @@ def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
     return classes(found.select(F.col("id").alias("a"), F.col("class").alias("b")).unionByName(links))
 
 
-def _live(table: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, id, class) of the buckets (key, id) that hold more than one class."""
-    named = table.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"))
-    live = named.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key")
-    return named.join(live, "key", "left_semi")
+def _open(live: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, class) of the texts in buckets (key, id) that hold more than one class."""
+    named = live.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("class", "id").alias("class"))
+    mixed = named.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("key")
+    return named.join(mixed, "key", "left_semi").select("id", "class").distinct()
 
 
-def _across(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _across(members: DataFrame, rare: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): all pairs of texts (id, class) of different classes that share a shingle of their rarest ones."""
-    # Rows of a shingle carry no more than they are ranked by; what else is known of a text comes to those that stay.
-    rows = sets.join(members, "id", "left_semi").select("id", F.size("s").alias("n"), F.explode("s").alias("s"))
-    often = rows.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
-    rows = rows.join(often, "s")
-    # Shingles that no other text has come first in the order and match nothing.
-    own = Window.partitionBy("id")
-    place = F.row_number().over(own.orderBy("df", "s")) + F.col("n") - F.count("*").over(own)
-    ranked = rows.select("id", "n", "s", place.alias("place")).filter(f"place <= n - ceil(n * {PERCENT} / 100) + 1")
-    first = session.materialize(ranked.join(members, "id").join(sets.select("id", "bits"), "id"), "rare-shingles")
+    named = rare.select("id", "n", "s", "place").join(members, "id")
+    mixed = named.groupBy("s").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("s")
+    first = session.materialize(named.join(mixed, "s", "left_semi").join(sets.select("id", "bits"), "id"), "rare-shingles")
     # The smaller of two texts has at least 2 t / (1 + t) of its shingles in common with the other, so fewer of its rarest
     # ones do; and a first common shingle so far up must leave room for all the others.
     common = f"ceil({PERCENT} * (n + m) / {100 + PERCENT})"
     asked = first.filter(f"place <= n - ceil(n * 2 * {PERCENT} / {100 + PERCENT}) + 1")
-    live = first.groupBy("s").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("s")
-    asked = asked.join(live, "s", "left_semi")
     there = first.select("s", F.col("class").alias("other"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("bits").alias("others"))
     # Sets whose bits differ in more places than they may have shingles of their own can't be similar enough.
     apart = " + ".join(f"bit_count(bits[{k}] ^ others[{k}])" for k in range(BITS // 64))
@@ -245,23 +247,17 @@ def _classified(docs: DataFrame) -> DataFrame:
     named = docs.select("doc_id", _mark().alias("mark"), "text").withColumn("id", F.struct("doc_id", "mark"))
     texts = named.join(candidates, "id", "left_semi").dropDuplicates(["doc_id", "mark"]).drop("id")
     full = session.materialize(_sets(texts), "shingle-sets")
-    found = candidates.select("id", F.col("id").alias("class")).limit(0)
-    live = session.materialize(_live(table, found), "live-buckets")
+    rare = session.materialize(_rare(full), "ranked-shingles")
+    central = rare.groupBy("id").agg(F.first("central").alias("central"))
+    live = session.materialize(table.join(central, "id"), "live-buckets")
     session.discard(table)
-    for turn in range(TURNS):
-        links = session.materialize(verified(_leaders(live, turn), full), "leader-links")
-        if links.isEmpty():
-            break
-        found = session.materialize(_joined(found, links), "classes")
-        # Classes only grow, so a bucket of one class stays one.
-        before, live = live, session.materialize(_live(live, found), "live-buckets")
-        session.discard(before)
-    left_open = session.materialize(live.select("id", "class").distinct(), "open-texts")
+    found = classes(session.materialize(verified(_leaders(live), full), "leader-links"))
+    left_open = session.materialize(_open(live, found), "open-texts")
     session.discard(live)
     if not left_open.isEmpty():
-        more = session.materialize(verified(_across(left_open, full), full), "other-links")
+        more = session.materialize(verified(_across(left_open, rare, full), full), "other-links")
         if not more.isEmpty():
-            found = session.materialize(_joined(found, more), "classes")
+            found = _joined(found, more)
     names = members.select("digest", "id").join(found, "id", "left").select("digest", F.coalesce("class", "id").alias("class"))
     return signed.join(names, "digest", "left").select("doc_id", "mark", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class")).alias("class"))
 

@@ -179,3 +179,27 @@ def test_tables_of_links_are_short_and_those_no_longer_read_go(spark, tmp_path,
     assert not [n for n in names if n.startswith(("buckets-", "live-buckets-"))]
     stars = [p for p in Path(tmp_path).iterdir() if p.name.startswith(("links-", "large-star-", "small-star-"))]
     assert stars and all(len([*p.glob("part-*")]) <= H.LEAST_TASKS for p in stars)
+
+
+def test_texts_that_only_the_middle_of_a_large_group_links_are_no_pairs_of_the_exact_join(spark, monkeypatch):
+    """Copies with two edits each, and texts with three edits that few of the copies but the text without edits link."""
+    r = random.Random(8)
+    base = [f"n{k}" for k in range(150)]
+
+    def edited(k, n):
+        words = list(base)
+        for at in r.sample(range(5, 145, 6), n):
+            words[at] = f"e{k}_{at}"
+        return " ".join(words)
+
+    rows = [(500, " ".join(base))] + [(k, edited(k, 2)) for k in range(250)] + [(1000 + k, edited(1000 + k, 3)) for k in range(50)]
+    proposed, across = [0], minhash_tensor._across
+
+    def counted(*tables):
+        pairs = across(*tables)
+        proposed.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(minhash_tensor, "_across", counted)
+    agrees(minhash_tensor.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect(), rows)
+    assert max(proposed) <= 100
