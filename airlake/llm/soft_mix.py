@@ -3,7 +3,8 @@
 1. A multinomial naive Bayes model over hashed words is fitted on labelled rows and gives each document a posterior over
    domains, tempered by length (long texts would otherwise always have a posterior of 0 or 1) and kept in thousandths.
 2. Nonnegative rates minimise the squared distance between expected domain tokens, sum of rate x tokens x posterior, and
-   the targets, plus a small pull towards one common rate. Accelerated projected gradient: each step is one aggregation.
+   the targets, plus a small pull towards one common rate. Accelerated projected gradient: each step is one scan, whose tasks
+   send their sums without a shuffle.
    A rate depends on the posterior alone, so equal posteriors are added up first and the steps run over those sums.
 
 Built-in Spark functions and Spark ML only.
@@ -16,7 +17,7 @@ import json
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from airlake import session
@@ -106,8 +107,12 @@ def fit_rates(docs: DataFrame, names: list[str], targets: dict[str, float], budg
     for k in range(STEPS):
         probe = cells.select("n", "membership", _rate(steps, common)["y"].alias("y"))
         sums = [F.sum(F.col("n") * F.col("y") * F.col("membership")[i] / 1000).alias(str(i)) for i in range(len(names))]
-        # One row of sums, whatever the corpus.
-        error = [x / total - w for x, w in zip(probe.agg(*sums).first(), want)]
+        # One row of sums, whatever the corpus, added up while the rows are read: Spark keeps a thread of the driver for a
+        # minute for each exchange, and so many short jobs in a row would leave it with as many threads as steps.
+        seen = Observation()
+        probe.observe(seen, *sums).write.format("noop").mode("overwrite").save()
+        found = seen.get
+        error = [found[str(i)] / total - w for i, w in enumerate(want)]
         if steps and max(abs(a - b) for a, b in zip(error, steps[-1][0])) < TOLERANCE * common:
             break
         steps.append((error, k / (k + 3)))

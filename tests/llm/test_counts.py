@@ -163,3 +163,18 @@ def test_rates_follow_the_steps_and_words_are_not_empty(spark):
     domains = M.Domains(spark.createDataFrame([("a  b ", "x"), (" c", "y")], "text string, domain string"))
     texts = spark.createDataFrame([(" a \t b\n",), ("",), (None,), ("   ",)], "text string")
     assert [r.n_tokens for r in domains.posteriors(texts).collect()] == [2, 0, 0, 0]
+
+
+def test_steps_of_rates_leave_no_threads_of_exchanges(spark):
+    """Spark keeps a thread for a minute for each exchange; steps that shuffle fill the driver with them."""
+    from airlake.llm import soft_mix as M
+
+    def threads():
+        live = spark.sparkContext._jvm.java.lang.Thread.getAllStackTraces().keySet()
+        return {t.getId() for t in live if t.getName().startswith("shuffle-exchange")}
+
+    rows = [(100 + k, [k * 10, 1000 - k * 10]) for k in range(100)]
+    docs, before = spark.createDataFrame(rows, "n_tokens long, membership array<int>"), threads()
+    rate = M.fit_rates(docs, ["a", "b"], {"a": 0.8, "b": 0.2})
+    assert len(threads() - before) <= 6
+    assert docs.select((rate >= 0).alias("ok")).filter("ok").count() == 100
